@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import byte_bpe, jaccard_join, suffix_dedup
+from palimpsest.llm import byte_bpe, jaccard_join, quality_rules, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,8 +32,12 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_byte_bpe, op6_jaccard_join, op7_suffix_dedup)}
+    return {f.__name__: f for f in (op4_byte_bpe, op6_jaccard_join, op7_suffix_dedup, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
