@@ -84,9 +84,10 @@ class ByteBpe:
 
     def __init__(self, blob: bytes, pattern: str):
         import ahocorasick
+        import regex
 
         self.ranks = parse_ranks(blob)
-        self.find = splitter(pattern)
+        self.find, self.pattern = splitter(pattern), regex.compile(pattern)
         self.token = {i: t for t, i in self.ranks.items()}
         self.parts: dict[int, tuple[int, int]] = {}
         self.joined: dict[tuple[int, int], int] = {}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import byte_bpe, jaccard_join, lattice_neardup, mixing, quality_rules, suffix_dedup
+from palimpsest.llm import backoff_lm, byte_bpe, jaccard_join, lattice_neardup, mixing, quality_rules, suffix_dedup, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,15 @@ def tokenizer() -> tuple[bytes, str]:
     return byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN
 
 
+#: What the token-count query redacts, in this order.
+REDACTIONS = [(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+", "<EMAIL>"), (r"(?i)\b(?:api_?key|token|secret|password)\s*[=:]\s*\S+", "<SECRET>"), (r"[ \t]{2,}", " ")]
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trees = token_counts.build_trees(table(spark, sf_dir, "documents"), *tokenizer())
+    return token_counts.apply_edits(token_counts.edits_by_rule(trees, REDACTIONS), *tokenizer())
+
+
 def op2_lattice_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_neardup.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -28,6 +37,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), *tokenizer())
 
 
+def op5_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_lm.score_documents(table(spark, sf_dir, "documents"), order=2)
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), words_each=4, percent=85)
 
@@ -45,7 +58,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_lattice_neardup, op4_byte_bpe, op6_jaccard_join, op7_suffix_dedup, op9_source_mixing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op2_lattice_neardup, op4_byte_bpe, op5_backoff_lm, op6_jaccard_join, op7_suffix_dedup, op9_source_mixing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
