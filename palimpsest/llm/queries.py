@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import backoff_lm, byte_bpe, jaccard_join, lattice_neardup, mixing, quality_rules, suffix_dedup, token_counts
+from palimpsest.llm import backoff_lm, byte_bpe, chain_dedup, jaccard_join, lattice_neardup, license_scan, mixing, quality_rules, suffix_dedup, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op2_lattice_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_neardup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op3_chain_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chain_dedup.fuzzy_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), *tokenizer())
 
@@ -49,6 +53,10 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), repetition_limit=2.0)
 
@@ -58,7 +66,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_lattice_neardup, op4_byte_bpe, op5_backoff_lm, op6_jaccard_join, op7_suffix_dedup, op9_source_mixing, op10_quality_rules)}
+    ops = (op1_token_counts, op2_lattice_neardup, op3_chain_dedup, op4_byte_bpe, op5_backoff_lm, op6_jaccard_join, op7_suffix_dedup, op8_license_scan, op9_source_mixing, op10_quality_rules)
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
