@@ -178,3 +178,31 @@ def groups(keys: np.ndarray) -> Iterator[tuple[int, slice]]:
     for a, b in zip([0, *cuts], [*cuts, len(keys)], strict=True):
         if b > a:
             yield keys[a], slice(a, b)
+
+
+def pack_counts(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending keys and a count of each as one blob."""
+    body = pack_sorted(keys)
+    return np.array([len(body)], "<i8").tobytes() + body + squeeze(counts.astype("<u4"))
+
+
+def unpack_counts(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    size = int(np.frombuffer(blob, "<i8", 1)[0])
+    return unpack_sorted(blob[8 : 8 + size]), unsqueeze(blob[8 + size :], "<u4")[0]
+
+
+def ranges(keys: np.ndarray, bits: int, n: int) -> np.ndarray:
+    """Bounds within ascending keys of n equal ranges of the numbers of so many bits."""
+    edges = [-(-(b << bits) // n) for b in range(n)]
+    return np.append(np.searchsorted(keys, np.array(edges, U64)), len(keys))
+
+
+def totals(came: list[tuple[int, bytes]]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each pack's keys and counts, the counts summed over all packs."""
+    got = [unpack_counts(blob) for _, blob in came]
+    _, inverse = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
+    total = np.bincount(inverse, np.concatenate([g[1] for g in got]))[inverse]
+    at = 0
+    for (pack, _), (keys, _) in zip(came, got, strict=True):
+        yield pack, total[at : at + len(keys)]
+        at += len(keys)

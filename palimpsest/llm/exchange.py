@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 PACK_BYTES = 4 << 20
 
-#: (bucket, blob) for each bucket that a pack asks
-Send = Callable[[pa.Table, int], Iterator[tuple[int, bytes]]]
+#: (bucket, blob) for each bucket that a pack asks, from its rows and the answers of the step before
+Send = Callable[[pa.Table, dict[int, bytes], int], Iterator[tuple[int, bytes]]]
 #: answers by pack for what the packs sent to one bucket
 Reduce = Callable[[list[tuple[int, bytes]]], Iterator[tuple[int, bytes]]]
 #: rows for a pack and its answers by bucket
@@ -39,26 +39,38 @@ def in_order(table: pa.Table) -> pa.Table:
     return table.sort_by([("id", "ascending"), ("text", "ascending")])
 
 
-def exchange(docs: DataFrame, send: Send, reduce: Reduce, finish: Finish, schema: str, sent_share: float, pack_bytes: int = PACK_BYTES, bucket_bytes: int = 12 << 20) -> DataFrame:
-    """docs: columns id and text. sent_share: bytes sent for each byte of text, for the number of buckets."""
+def exchange(docs: DataFrame, steps: list[tuple[Send, Reduce]], finish: Finish, schema: str, sent_share: float, pack_bytes: int = PACK_BYTES, bucket_bytes: int = 12 << 20) -> DataFrame:
+    """docs: columns id and text. steps: questions and answers, each step knowing the last one's answers.
+
+    sent_share: bytes that a step sends for each byte of text, for the number of buckets.
+    """
     total = text_bytes(docs, "text")
     n_packs = max(1, -(-total // pack_bytes))
     n_buckets = max(1, int(total * sent_share) // bucket_bytes + 1)
-    packed = docs.select(F.pmod(F.xxhash64("id", F.length("text")), F.lit(n_packs)).cast("int").alias("pack"), "id", "text")
+    packed = docs.select(F.pmod(F.xxhash64("id", F.length("text")), F.lit(n_packs)).cast("int").alias("pack"), *docs.columns)
+
+    def by_bucket(table: pa.Table) -> dict[int, bytes]:
+        return dict(zip(table["bucket"].to_pylist(), table["blob"].to_pylist(), strict=True))
+
+    def asks(send: Send, replies: DataFrame | None) -> DataFrame:
+        def ask(key: tuple, table: pa.Table, answers: dict[int, bytes]) -> pa.Table:
+            rows = [(b, blob) for b, blob in send(in_order(table), answers, n_buckets) if blob] if table.num_rows else []
+            return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "pack": pa.array([key[0].as_py()] * len(rows), pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())})
 
-    def asked(key: tuple, table: pa.Table) -> pa.Table:
-        rows = [(b, blob) for b, blob in send(in_order(table), n_buckets) if blob]
-        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "pack": pa.array([key[0].as_py()] * len(rows), pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())})
+        kind = "bucket int, pack int, blob binary"
+        if replies is None:
+            return packed.groupBy("pack").applyInArrow(lambda key, table: ask(key, table, {}), kind)
+        return packed.groupBy("pack").cogroup(replies.groupBy("pack")).applyInArrow(lambda key, left, right: ask(key, left, by_bucket(right)), kind)
 
-    def answered(key: tuple, table: pa.Table) -> pa.Table:
-        came = sorted(zip(table["pack"].to_pylist(), table["blob"].to_pylist(), strict=True))
-        rows = [(p, blob) for p, blob in reduce(came) if blob]
-        return pa.table({"pack": pa.array([r[0] for r in rows], pa.int32()), "bucket": pa.array([key[0].as_py()] * len(rows), pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())})
+    def answers(sent: DataFrame, reduce: Reduce) -> DataFrame:
+        def answer(key: tuple, table: pa.Table) -> pa.Table:
+            came = sorted(zip(table["pack"].to_pylist(), table["blob"].to_pylist(), strict=True))
+            rows = [(p, blob) for p, blob in reduce(came) if blob]
+            return pa.table({"pack": pa.array([r[0] for r in rows], pa.int32()), "bucket": pa.array([key[0].as_py()] * len(rows), pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())})
 
-    def finished(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        replies = dict(zip(right["bucket"].to_pylist(), right["blob"].to_pylist(), strict=True))
-        return finish(in_order(left), replies, n_buckets)
+        return sent.groupBy("bucket").applyInArrow(answer, "pack int, bucket int, blob binary")
 
-    sent = packed.groupBy("pack").applyInArrow(asked, "bucket int, pack int, blob binary")
-    replies = sent.groupBy("bucket").applyInArrow(answered, "pack int, bucket int, blob binary")
-    return packed.groupBy("pack").cogroup(replies.groupBy("pack")).applyInArrow(finished, schema)
+    replies = None
+    for send, reduce in steps:
+        replies = answers(asks(send, replies), reduce)
+    return packed.groupBy("pack").cogroup(replies.groupBy("pack")).applyInArrow(lambda key, left, right: finish(in_order(left), by_bucket(right), n_buckets), schema)

@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.arrays import STEP, U64, flat, mix, powers, sliding_min, squeeze, unsqueeze
+from palimpsest.llm.arrays import STEP, U64, flat, mix, pack_counts, powers, ranges, sliding_min, squeeze, totals, unsqueeze
 from palimpsest.llm.exchange import exchange
 
 #: Bytes of the grams whose least hash decides where a window goes.
-GRAM = 16
+GRAM = 24
+#: Bits of a least hash by which its holders are counted; a collision only makes a run travel in vain.
+KEY_BITS = 46
 #: Documents' ids are compared as signed 64-bit integers; this one stands for no id.
 NO_DOC = np.int64(np.iinfo(np.int64).max)
 
@@ -135,8 +137,8 @@ def earlier_factor(rank: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """Returns id_col, n_bytes, n_removed, n_spans, kept_sha256 and, with_text, the text that is left.
+def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, carried: list[str] | None = None) -> DataFrame:
+    """Returns id_col, n_bytes, n_removed, n_spans, kept_sha256 and, with_text, the text that is left; then the columns carried along.
 
     with_text decodes what is left as UTF-8; characters cut apart are dropped from the text (the hash is
     that of the bytes).
@@ -173,53 +175,89 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
             if cuts[b + 1] > cuts[b]:
                 yield b, who[order[cuts[b] : cuts[b + 1]]]
 
-    def send(table: pa.Table, n_buckets: int) -> Iterator[tuple[int, bytes]]:
-        data, at, ids, start, count, key, doc, asks, _ = parts(table)
-        for b, i in dealt(key, asks, n_buckets):
-            yield b, squeeze(key[i], ids[doc[i]], count[i].astype("<i4"), gather(data, start[i], count[i] + width - 1))
+    def holders(table: pa.Table) -> tuple:
+        """A pack's runs (parts), their shortened keys in order, and in how many documents each occurs."""
+        got = parts(table)
+        short, doc = got[5] >> U64(64 - KEY_BITS), got[6]
+        order = np.lexsort((doc, short))
+        k, d = short[order], doc[order]
+        lead = np.append(True, k[1:] != k[:-1]) if len(k) else np.zeros(0, bool)
+        other = lead | np.append(True, d[1:] != d[:-1]) if len(k) else lead
+        head = np.flatnonzero(lead)
+        return got, short, k[head], np.add.reduceat(other.astype(np.int64), head) if len(head) else head
 
-    def reduce(came: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
-        got = [unsqueeze(blob, "<u8", "<i8", "<i4", "u1") for _, blob in came]
-        sizes = [len(g[0]) for g in got]
-        key, ids, count = (np.concatenate([g[k] for g in got]) for k in range(3))
+    def ask_holders(table: pa.Table, replies: dict[int, bytes], n_buckets: int) -> Iterator[tuple[int, bytes]]:
+        _, _, keys, docs = holders(table)
+        cut = ranges(keys, KEY_BITS, n_buckets)
+        for b in range(n_buckets):
+            if cut[b + 1] > cut[b]:
+                yield b, pack_counts(keys[cut[b] : cut[b + 1]], docs[cut[b] : cut[b + 1]])
+
+    def tell_shared(came: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
+        for pack, total in totals(came):
+            shared = total > 1
+            yield pack, squeeze(np.packbits(shared)) if shared.any() else b""
+
+    def send_runs(table: pa.Table, replies: dict[int, bytes], n_buckets: int) -> Iterator[tuple[int, bytes]]:
+        (data, at, ids, start, count, key, doc, asks, _), short, keys, _ = holders(table)
+        cut = ranges(keys, KEY_BITS, n_buckets)
+        shared = np.zeros(len(keys), bool)
+        for b, blob in replies.items():
+            shared[cut[b] : cut[b + 1]] = np.unpackbits(unsqueeze(blob, "u1")[0])[: cut[b + 1] - cut[b]]
+        for b, i in dealt(key, asks & shared[np.searchsorted(keys, short)] if len(keys) else asks, n_buckets):
+            yield b, squeeze(i.astype("<i8"), key[i], ids[doc[i]], count[i].astype("<i4"), gather(data, start[i], count[i] + width - 1))
+
+    def find_repeats(came: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
+        got = [unsqueeze(blob, "<i8", "<u8", "<i8", "<i4", "u1") for _, blob in came]
+        run, key, ids, count = (np.concatenate([g[k] for g in got]) for k in range(4))
+        data = np.concatenate([g[4] for g in got])
         count = count.astype(np.int64)
-        data = np.concatenate([g[3] for g in got])
         size = count + width - 1
         start = np.cumsum(size) - size
-        order = np.argsort(key, kind="stable")
-        k, d = key[order], ids[order]
+        # Of equal strings only the smallest document's goes on; the others are repeats as a whole.
+        same = string_hashes(data, start, start + size)
+        order = np.lexsort((ids, same, key))
+        k, s = key[order], same[order]
+        lead = np.append(True, (k[1:] != k[:-1]) | (s[1:] != s[:-1]))
+        owner = order[np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))]
+        whole = np.zeros(len(key), bool)
+        whole[order] = ids[order] > ids[owner]
+        firsts = order[lead]
+        k, d = key[firsts], ids[firsts]
         head = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
         mixed = np.minimum.reduceat(d, head) < np.maximum.reduceat(d, head)
-        keep = np.zeros(len(key), bool)
-        keep[order] = np.repeat(mixed, np.diff(np.append(head, len(k))))
-        hit = np.zeros(int(count.sum()), bool)
+        chosen = firsts[np.repeat(mixed, np.diff(np.append(head, len(k))))]
+        hit = np.repeat(whole, count)
         first = np.cumsum(count) - count
-        chosen = np.flatnonzero(keep)
         if len(chosen):
-            body = gather(data, start[chosen], size[chosen])
-            windows = count[chosen]
+            body, windows = gather(data, start[chosen], size[chosen]), count[chosen]
             own = np.cumsum(size[chosen]) - size[chosen]
-            pos = gather(np.arange(len(body)), own, windows)
-            rank = suffix_ranks(body, pos, width)
-            hit[gather(np.arange(len(hit)), first[chosen], windows)] = earlier_factor(rank, np.repeat(ids[chosen], windows))
+            rank = suffix_ranks(body, gather(np.arange(len(body)), own, windows), width)
+            found = np.zeros(len(hit), bool)
+            found[gather(np.arange(len(hit)), first[chosen], windows)] = earlier_factor(rank, np.repeat(ids[chosen], windows))
+            # A row of the same document and string as its owner shares its verdict.
+            twin = np.flatnonzero(~whole)
+            of = np.empty(len(key), np.int64)
+            of[order] = owner
+            hit[gather(np.arange(len(hit)), first[twin], count[twin])] = found[gather(np.arange(len(hit)), first[of[twin]], count[twin])]
+        some = np.add.reduceat(hit.astype(np.int64), first) > 0
         at = 0
-        ends = first + count
-        for (pack, _), n in zip(came, sizes, strict=True):
-            part = hit[first[at] : ends[at + n - 1]] if n else hit[:0]
-            yield pack, squeeze(np.packbits(part)) if part.any() else b""
-            at += n
+        for (pack, _), g in zip(came, got, strict=True):
+            i = at + np.flatnonzero(some[at : at + len(g[0])])
+            yield pack, squeeze(run[i], count[i].astype("<i4"), np.packbits(hit[gather(np.arange(len(hit)), first[i], count[i])])) if len(i) else b""
+            at += len(g[0])
 
     def finish(table: pa.Table, replies: dict[int, bytes], n_buckets: int) -> pa.Table:
         data, at, ids, start, count, key, doc, asks, covered = parts(table)
         hit = np.zeros(len(data) + 1, np.int32)  # +1 where a removed string begins, -1 after its end
         np.add.at(hit, start[covered], 1)
         np.add.at(hit, start[covered] + count[covered] + width - 1, -1)
-        for b, i in dealt(key, asks, n_buckets):
-            if b in replies:
-                bits = np.unpackbits(unsqueeze(replies[b], "u1")[0])[: int(count[i].sum())].astype(bool)
-                place = gather(np.arange(len(data)), start[i], count[i])[bits]
-                np.add.at(hit, place, 1)
-                np.add.at(hit, place + width, -1)
+        for blob in replies.values():
+            run, windows, bits = unsqueeze(blob, "<i8", "<i4", "u1")
+            bits = np.unpackbits(bits)[: int(windows.sum())].astype(bool)
+            place = gather(np.arange(len(data)), start[run], windows.astype(np.int64))[bits]
+            np.add.at(hit, place, 1)
+            np.add.at(hit, place + width, -1)
         gone = np.cumsum(hit[:-1]) > 0
         edge = gone.copy()
         edge[1:] &= ~gone[:-1]
@@ -231,9 +269,20 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
         out["kept_sha256"] = [hashlib.sha256(x).hexdigest() for x in kept]
         if with_text:
             out["kept_text"] = [x.decode("utf-8", "ignore") for x in kept]
-        return pa.table(out)
+        return pa.table(out | {f"_c{i}": table[f"_c{i}"] for i in range(len(more))})
 
+    more = carried or []
     kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
-    return exchange(rows, send, reduce, finish, schema, 4.0).withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(more)))
+    schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text + "".join(f", _c{i} {dict(docs.dtypes)[c]}" for i, c in enumerate(more))
+    return exchange(rows, [(ask_holders, tell_shared), (send_runs, find_repeats)], finish, schema, 1.5).withColumnRenamed("id", id_col).withColumnsRenamed({f"_c{i}": c for i, c in enumerate(more)})
+
+
+def cleaned(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with each text less its repeats; a document of which nothing is left stays, empty, and null texts stay null. A column n_chars follows the text."""
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    out = remove_repeats(docs.withColumn("_null", F.col(text_col).isNull()), width, id_col, text_col, with_text=True, carried=[*others, "_null"])
+    out = out.withColumn(text_col, F.when(~F.col("_null"), F.col("kept_text")))
+    if "n_chars" in others:
+        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length(text_col)).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(docs.columns)
