@@ -1,15 +1,716 @@
-"""The registered queries of the reference's operators and their SQL."""
+"""The registered queries of the engine's operators, each with its SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from palimpsest import model as M
+from palimpsest.functions import filters, temporal
+from palimpsest.functions import text as T
+from palimpsest.model import DAY, HOUR, NOW, START, with_views
+from palimpsest.operators import aggregate as A
+from palimpsest.operators import combine, graph, hydrate, ingest, leaves, lifecycle, rescore
+from palimpsest.plans import tree
+from palimpsest.sources import tables
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql is not None:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
+
+
+def context(spark: SparkSession, d: str) -> tree.Context:
+    return tree.Context(M.query_vectors(spark, d), M.query_texts(spark, d), {"chunks": M.vectors(spark, d)}, {"chunks": M.episodes(spark, d)})
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hybrid_recall(spark, sf_dir)
+
+
+# --- leaves -------------------------------------------------------------------------------------------
+
+
+@query(with_views("knn") + " SELECT query_id, id, score FROM knn")
+def knn_topk(s, d):
+    return leaves.vector_search(M.query_vectors(s, d), M.vectors(s, d), 30).select("query_id", "id", "score")
+
+
+@query(with_views("knn_all") + " SELECT query_id, id, score, round(1 / score - 1, 4) AS distance FROM knn_all QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5")
+def knn_distance_score(s, d):
+    return leaves.vector_search(M.query_vectors(s, d), M.vectors(s, d), 5).select("query_id", "id", "score", F.round(F.lit(1.0) / F.col("score") - 1, 4).alias("distance"))
+
+
+@query(with_views("knn_all") + " SELECT query_id, id, score FROM knn_all WHERE label = 3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10")
+def knn_filtered(s, d):
+    """The filter narrows the index before the ten best are taken."""
+    return leaves.vector_search(M.query_vectors(s, d), M.vectors(s, d).where(filters.Eq("label", 3).column()), 10).select("query_id", "id", "score")
+
+
+@query(with_views("kwr") + " SELECT query_id, id, score FROM kwr")
+def bm25_topk(s, d):
+    return leaves.keyword_search(M.query_texts(s, d), M.episodes(s, d), 30, normalise=False).select("query_id", "id", "score")
+
+
+@query(with_views("kw") + " SELECT query_id, id, score FROM kw")
+def bm25_normalized(s, d):
+    return leaves.keyword_search(M.query_texts(s, d), M.episodes(s, d), 30).select("query_id", "id", "score")
+
+
+@query(with_views("qt", "bm").replace("FROM documents)", "FROM documents WHERE lang = 'en')", 1) + " SELECT query_id, id, score FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10")
+def bm25_filtered(s, d):
+    return leaves.keyword_search(M.query_texts(s, d), M.episodes(s, d).where(filters.Eq("scope", "en").column()), 10, normalise=False).select("query_id", "id", "score")
+
+
+# --- combinators --------------------------------------------------------------------------------------
+
+
+def _legs(s, d):
+    return leaves.vector_search(M.query_vectors(s, d), M.vectors(s, d), 30), leaves.keyword_search(M.query_texts(s, d), M.episodes(s, d), 30)
+
+
+@query(with_views("legs") + " SELECT query_id, id, score, source_op FROM legs")
+def and_bag_union(s, d):
+    return combine.both(*_legs(s, d)).select("query_id", "id", "score", "source_op")
+
+
+@query(with_views("legs") + " SELECT query_id, id, max(score) AS score FROM legs GROUP BY query_id, id")
+def or_max_dedupe(s, d):
+    return combine.either(*_legs(s, d)).select("query_id", "id", "score")
+
+
+@query(with_views("knn_all", "kw") + " SELECT query_id, id, score FROM knn_all WHERE id IN (SELECT id FROM kw) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10")
+def then_semijoin(s, d):
+    return combine.then(_legs(s, d)[1], lambda index: leaves.vector_search(M.query_vectors(s, d), index, 10), M.vectors(s, d)).select("query_id", "id", "score")
+
+
+@query(with_views("fused") + " SELECT query_id, id, score FROM fused")
+def hybrid_rrf(s, d):
+    return combine.fuse_rrf(combine.both(*_legs(s, d))).select("query_id", "id", "score")
+
+
+@query(with_views("ranked") + " SELECT query_id, id, round(sum(CASE source_op WHEN 'Vector' THEN 0.7::DOUBLE ELSE 0.3::DOUBLE END / (60 + rk)), 6) AS score FROM ranked GROUP BY query_id, id")
+def hybrid_rrf_weighted(s, d):
+    return combine.fuse_rrf(combine.both(*_legs(s, d)), weights={"Vector": 0.7, "Keyword": 0.3}).select("query_id", "id", "score")
+
+
+@query(with_views("fused", "ep") + " SELECT query_id, f.id, score, rank, source, text FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM fused) f JOIN (SELECT id, source, sys_to, content[1:200] AS text FROM ep) e ON f.id = e.id WHERE rank <= 10 AND sys_to IS NULL")
+def hybrid_recall(s, d):
+    """The production plan: top 10 of vector and keyword legs fused, hydrated, closed rows dropped."""
+    hits = tree.compile_plan({"op": "top", "n": 10, "input": {"op": "fuse_rrf", "k": 60, "input": {"op": "and", "left": {"op": "vector", "index": "chunks", "k": 30}, "right": {"op": "keyword", "index": "chunks", "k": 30}}}}, context(s, d))
+    return hydrate.hydrate(hits, M.chunks(s, d), M.episodes(s, d)).select("query_id", "id", "score", "rank", "source", "text")
+
+
+@query(with_views("ranked") + " SELECT query_id, id, round(sum(CASE source_op WHEN 'Vector' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END / (60 + rk)), 6) AS score, string_agg(lower(source_op), ',' ORDER BY lower(source_op)) AS legs FROM ranked GROUP BY query_id, id")
+def collection_rrf_provenance(s, d):
+    v, k = _legs(s, d)
+    return combine.fuse_with_provenance(combine.both(v.withColumn("leg", F.lit("vector")), k.withColumn("leg", F.lit("keyword"))), {"keyword": 0.0})
+
+
+@query(with_views("fused") + " SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM fused) WHERE rank <= 5")
+def top_n(s, d):
+    return leaves.top(combine.fuse_rrf(combine.both(*_legs(s, d))), 5).select("query_id", "id", "score", "rank")
+
+
+@query(with_views("legs") + """, a AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_op ORDER BY score DESC, id) AS own FROM legs),
+    b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY source_op = 'Keyword' AND own <= 6 DESC, score DESC, id) AS place FROM a)
+    SELECT query_id, id, score, source_op FROM b WHERE place <= 10""")
+def floored_top(s, d):
+    v, k = _legs(s, d)
+    hits = combine.both(v.withColumn("leg", F.lit("v")), k.withColumn("leg", F.lit("k")))
+    return combine.floored_top(hits, 10, "k", 6).select("query_id", "id", "score", "source_op")
+
+
+@query(with_views("knn") + " SELECT query_id, id, score, FALSE AS degraded FROM knn")
+def degraded_fallback(s, d):
+    search = lambda: leaves.vector_search(M.query_vectors(s, d), M.vectors(s, d), 30).select("query_id", "id", "score")
+    return combine.degraded_fallback(search, lambda: search().limit(0))
+
+
+# --- hydration ----------------------------------------------------------------------------------------
+
+
+@query(with_views("knn", "ep") + " SELECT query_id, k.id, score, source FROM knn k JOIN ep ON ep.id = k.id WHERE sys_to IS NULL")
+def hydrate_sys_gate(s, d):
+    return hydrate.hydrate(_legs(s, d)[0], M.chunks(s, d), M.episodes(s, d)).select("query_id", "id", "score", "source")
+
+
+@query(with_views("ep", "fa") + ", h AS (SELECT i AS id FROM range(0, 60) t(i)) SELECT h.id, coalesce(ep.content[1:200], fa.subject || ' supplied_by ' || fa.object) AS text, coalesce(ep.source, 'fact:supplied_by') AS source FROM h LEFT JOIN ep ON ep.id = h.id AND ep.id % 2 = 0 LEFT JOIN fa ON fa.id = h.id WHERE ep.id IS NOT NULL OR fa.id IS NOT NULL")
+def hydrate_mixed(s, d):
+    f = M.facts(s, d).select("id", "predicate", F.concat(F.col("subject").cast("string"), F.lit(" supplied_by "), F.col("object").cast("string")).alias("fact_text"))
+    return hydrate.hydrate_mixed(s.range(60), M.chunks(s, d).where("id % 2 = 0"), f)
+
+
+# --- rescoring ----------------------------------------------------------------------------------------
+
+
+def _dated(s, d):
+    return _legs(s, d)[0].join(M.episodes(s, d).select("id", "valid_from", "source"), "id")
+
+
+@query(with_views("knn", "ep") + f" SELECT query_id, k.id, round(score * pow(2, -(({NOW} - valid_from) / 1000) / 604800), 6) AS score FROM knn k JOIN ep ON ep.id = k.id")
+def recency_exp(s, d):
+    return rescore.recency(_dated(s, d), "valid_from", NOW).select("query_id", "id", "score")
+
+
+@query(with_views("knn", "ep") + f" SELECT query_id, k.id, round(score - 0.5::DOUBLE * ln(greatest(({NOW} - valid_from) / 1000, 1)), 6) AS score FROM knn k JOIN ep ON ep.id = k.id")
+def recency_actr(s, d):
+    return rescore.recency_power(_dated(s, d), "valid_from", NOW).select("query_id", "id", "score")
+
+
+LEDGER = """, ss AS (SELECT *, sum(strength) OVER (PARTITION BY id ORDER BY at, seq ROWS UNBOUNDED PRECEDING) AS run FROM sg), ll AS (SELECT *, min(run) OVER (PARTITION BY id ORDER BY at, seq ROWS UNBOUNDED PRECEDING) AS low, row_number() OVER (PARTITION BY id ORDER BY at DESC, seq DESC) AS back FROM ss),
+    led AS (SELECT id, count(*) AS n, max(CASE WHEN back = 1 THEN run - least(0, low) END) AS weighted, min(at) AS first_ref, max(at) AS last_ref FROM ll GROUP BY id)"""
+ACTIVE = f", act AS (SELECT *, CASE WHEN weighted = 0 THEN '-Infinity'::DOUBLE ELSE round(ln(weighted * pow(greatest(({NOW} - last_ref) / 1000, 1), -0.5)), 6) END AS activation FROM led)"
+
+
+@query(with_views("knn", "sg") + LEDGER + ACTIVE + " SELECT query_id, k.id, round(score + CASE WHEN a.id IS NULL THEN 0 ELSE 0.3::DOUBLE / (1 + exp(-activation / 3)) END, 6) AS score FROM knn k LEFT JOIN act a ON a.id = k.id AND a.weighted > 0")
+def ledger_boost(s, d):
+    led = lifecycle.ledger_activation(lifecycle.ledger(M.signals(s, d)), NOW).where("weighted > 0").withColumn("archived_at", F.lit(None).cast("long"))
+    return rescore.ledger_prior(_legs(s, d)[0], led).select("query_id", "id", "score")
+
+
+@query(with_views("knn") + " SELECT query_id, id, round(score + CASE WHEN id % 3 = 0 THEN 0.5 WHEN id % 3 = 1 THEN 0.25 ELSE 0 END, 6) AS score FROM knn")
+def boost_cache(s, d):
+    ids = M.vectors(s, d).select("id")
+    return rescore.boosted(_legs(s, d)[0], ids.where("id % 3 = 0").union(ids.where("id % 3 < 2"))).select("query_id", "id", "score")
+
+
+@query(with_views("knn", "ep") + " SELECT query_id, k.id, round(CASE WHEN split_part(source, '/', 1) IN ('doc:src1', 'doc:src4') THEN score * 0.7 ELSE score END, 6) AS score FROM knn k JOIN ep ON ep.id = k.id")
+def stale_decay(s, d):
+    return rescore.stale(_dated(s, d).withColumn("files", F.array(F.substring_index("source", "/", 1))), ["doc:src1", "doc:src4"]).select("query_id", "id", "score")
+
+
+RERANK = with_views("kw") + """, pool AS (SELECT k.query_id, k.id, terms, list_distinct(regexp_extract_all(lower(text[1:200]), '[a-z0-9]+')) AS t FROM kw k JOIN qt ON qt.query_id = k.query_id JOIN documents ON doc_id = k.id),
+    sc AS (SELECT query_id, id, round(CASE WHEN len(terms) = 0 THEN 0 ELSE len(list_intersect(terms, t)) / len(terms) END, 6) AS score FROM pool)"""
+
+
+def _pool(s, d):
+    q = M.query_texts(s, d).withColumnRenamed("text", "query_text")
+    return _legs(s, d)[1].join(q, "query_id").join(M.chunks(s, d).select("id", "text"), "id")
+
+
+@query(RERANK + " SELECT * FROM sc")
+def rerank_overlap(s, d):
+    return rescore.rerank(_pool(s, d), rescore.token_overlap).select("query_id", "id", "score")
+
+
+@query(RERANK + " SELECT * FROM sc WHERE score >= 0.4")
+def rerank_min_score(s, d):
+    return rescore.rerank(_pool(s, d), rescore.token_overlap, min_score=0.4).select("query_id", "id", "score")
+
+
+@query(with_views("ep") + """, h AS (SELECT id, (id * 37 % 101) / 101 AS score, CASE id % 7 WHEN 0 THEN 'decision:' WHEN 1 THEN 'edit:' WHEN 2 THEN 'x:stop' WHEN 3 THEN 'x:tool_call:post' WHEN 4 THEN 'fix:' ELSE 'note:' END || CASE WHEN id % 7 IN (2, 3) THEN '' ELSE scope END AS source, 'Snippet ' || (id % 40) AS snippet FROM ep),
+    p AS (SELECT *, CASE WHEN source LIKE 'decision:%' THEN 90 WHEN source LIKE 'fix:%' THEN 87 WHEN source LIKE 'edit:%' THEN 85 WHEN source = 'x:tool_call:post' THEN 75 ELSE 50 END AS priority FROM h WHERE source <> 'x:stop'),
+    o AS (SELECT *, row_number() OVER (PARTITION BY split_part(source, ':', 1), lower(snippet) ORDER BY priority DESC, score DESC, id) AS n FROM p)
+    SELECT id, source, snippet, priority FROM o WHERE n = 1 ORDER BY priority DESC, score DESC, id LIMIT 25""")
+def context_curation(s, d):
+    kinds = F.when(F.col("id") % 7 == 0, "decision:").when(F.col("id") % 7 == 1, "edit:").when(F.col("id") % 7 == 2, "x:stop").when(F.col("id") % 7 == 3, "x:tool_call:post").when(F.col("id") % 7 == 4, "fix:").otherwise("note:")
+    hits = M.episodes(s, d).select("id", ((F.col("id") * 37 % 101) / 101).alias("score"), F.concat(kinds, F.when((F.col("id") % 7).isin(2, 3), "").otherwise(F.col("scope"))).alias("source"), F.concat(F.lit("Snippet "), (F.col("id") % 40).cast("string")).alias("snippet"))
+    return rescore.curated(hits, 25).select("id", "source", "snippet", "priority")
+
+
+# --- filters, scans and time --------------------------------------------------------------------------
+
+
+@query(with_views("ep") + " SELECT id, source FROM ep WHERE scope = 'fr'")
+def filter_eq(s, d):
+    return M.episodes(s, d).where(filters.Eq("scope", "fr").column()).select("id", "source")
+
+
+@query(with_views("ep") + " SELECT id, source FROM ep WHERE starts_with(source, 'doc:src1')")
+def filter_prefix(s, d):
+    return M.episodes(s, d).where(filters.StartsWith("source", "doc:src1").column()).select("id", "source")
+
+
+@query(with_views("ep") + " SELECT id, scope FROM ep WHERE (scope = 'de' OR scope = 'es') AND starts_with(source, 'doc:src1')")
+def filter_and_or(s, d):
+    f = filters.And((filters.Or((filters.Eq("scope", "de"), filters.Eq("scope", "es"))), filters.StartsWith("source", "doc:src1"), filters.And()))
+    return M.episodes(s, d).where(f.column()).select("id", "scope")
+
+
+@query(with_views("ep") + f" SELECT id, valid_from FROM ep WHERE valid_from >= {START + 10 * HOUR} AND valid_from < {START + 90 * HOUR}")
+def filter_valid_range(s, d):
+    return M.episodes(s, d).where(filters.ValidTimeRange(START + 10 * HOUR, START + 90 * HOUR).column()).select("id", "valid_from")
+
+
+@query(with_views("ep") + " SELECT id, source FROM ep WHERE source LIKE 'doc:src3/%'")
+def filter_str(s, d):
+    return M.episodes(s, d).where(filters.parse_filter("source LIKE 'doc:src3/%'").column()).select("id", "source")
+
+
+@query(with_views("ep") + " SELECT id FROM ep WHERE id % 4 = 1 OR scope = 'fr'")
+def filter_categories(s, d):
+    rows = M.episodes(s, d).withColumn("categories", F.array(F.col("scope"), F.concat(F.lit("m"), (F.col("id") % 4).cast("string"))))
+    return rows.where(filters.AnyCategory(("m1", "fr")).column()).select("id")
+
+
+@query(with_views("ep") + f" SELECT id FROM ep WHERE valid_from <= {START + 30 * DAY} AND (valid_to IS NULL OR {START + 30 * DAY} < valid_to)")
+def valid_at(s, d):
+    return M.episodes(s, d).where(temporal.valid_at(START + 30 * DAY)).select("id")
+
+
+@query(with_views("ep") + f" SELECT id FROM ep WHERE sys_from <= {START + 12 * DAY} AND (sys_to IS NULL OR {START + 12 * DAY} < sys_to)")
+def system_at(s, d):
+    return M.episodes(s, d).where(temporal.system_at(START + 12 * DAY)).select("id")
+
+
+@query(with_views("ep") + f" SELECT id FROM ep WHERE valid_from <= {START + 8 * DAY} AND (valid_to IS NULL OR {START + 8 * DAY} < valid_to) AND sys_from <= {START + 9 * DAY} AND (sys_to IS NULL OR {START + 9 * DAY} < sys_to)")
+def bitemporal_overlap(s, d):
+    return M.episodes(s, d).where(temporal.both_at(START + 8 * DAY, START + 9 * DAY)).select("id")
+
+
+@query(with_views("ep") + f" SELECT id, source FROM ep WHERE scope = 'en' AND starts_with(source, 'doc:src2') AND sys_from <= {START + 15 * DAY} AND (sys_to IS NULL OR {START + 15 * DAY} < sys_to)")
+def as_of_versions(s, d):
+    return tables.scan(M.episodes(s, d), "en", "doc:src2", START + 15 * DAY).select("id", "source")
+
+
+@query(with_views("ep") + " SELECT id, source FROM ep WHERE id > 40 ORDER BY id LIMIT 25")
+def keyset_page(s, d):
+    return tables.page(M.episodes(s, d), 25, 40).select("id", "source")
+
+
+@query("SELECT DISTINCT lang AS scope FROM documents WHERE starts_with(lang, 'e') ORDER BY 1")
+def list_scopes(s, d):
+    return tables.scopes(M.episodes(s, d), "e")
+
+
+@query(with_views("ep") + " SELECT id, source FROM ep WHERE starts_with(source, 'doc:src1/') OR starts_with(source, 'doc:src2/') ORDER BY id DESC LIMIT 15")
+def recent_by_source(s, d):
+    return tables.recent(M.episodes(s, d), ["doc:src1/", "doc:src2/"], 15).select("id", "source")
+
+
+@query("SELECT source, max(doc_id) AS id, arg_max(lang, doc_id) AS content FROM documents GROUP BY source")
+def latest_by_source(s, d):
+    return leaves.latest_by_source(M.table(s, d, "documents").select("source", F.col("doc_id").alias("id"), F.col("lang").alias("content")))
+
+
+@query("SELECT user_id AS key, count(*) AS hits FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
+def hot_keys(s, d):
+    return tables.hot_keys(M.table(s, d, "events").withColumnRenamed("user_id", "key"), 20)
+
+
+@query("SELECT event_id, event_type FROM events WHERE epoch_ms(ts) BETWEEN 1704412800000 AND 1704499200000 ORDER BY event_id LIMIT 100")
+def queue_range_read(s, d):
+    at = M.millis(F.col("ts"))
+    return M.table(s, d, "events").where(at.between(1704412800000, 1704499200000)).orderBy("event_id").limit(100).select("event_id", "event_type")
+
+
+# --- aggregates ---------------------------------------------------------------------------------------
+
+
+@query("SELECT event_type, count(*) AS count FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3")
+def aggregate_count(s, d):
+    return A.aggregate(M.table(s, d, "events"), "event_type", [("count", None)], limit=3)
+
+
+@query("SELECT event_type, count(*) AS count, count(DISTINCT user_id) AS count_distinct_user_id, round(sum(value), 2) AS sum_value, round(avg(value), 4) AS avg_value, min(value) AS min_value, max(value) AS max_value FROM events WHERE event_type <> 'error' GROUP BY 1")
+def aggregate_all_reducers(s, d):
+    out = A.aggregate(M.table(s, d, "events"), "event_type", [("count", None), ("count_distinct", "user_id"), ("sum", "value"), ("avg", "value"), ("min", "value"), ("max", "value")], F.col("event_type") != "error")
+    return out.withColumns({"sum_value": F.round("sum_value", 2), "avg_value": F.round("avg_value", 4)})
+
+
+# --- graph --------------------------------------------------------------------------------------------
+
+WALK = with_views("gr", recursive=True) + """, sd AS (SELECT 0::BIGINT AS query_id, 1000000000 + c AS seed, CASE WHEN c = 2 THEN 0.5::DOUBLE ELSE 0.9::DOUBLE END AS confidence FROM range(1, 4) t(c)),
+    w1 AS (SELECT query_id, seed, confidence, dst AS node, max(weight) AS p, 1 AS path_len FROM sd JOIN ug ON src = seed WHERE dst <> seed GROUP BY ALL),
+    w2 AS (SELECT w1.query_id, w1.seed, w1.confidence, ug.dst AS node, max(p * ug.weight) AS p, 2 AS path_len FROM w1 JOIN ug ON ug.src = w1.node WHERE ug.dst <> w1.seed AND NOT EXISTS (SELECT 1 FROM w1 x WHERE x.seed = w1.seed AND x.node = ug.dst) GROUP BY ALL),
+    w AS (SELECT * FROM w1 UNION ALL SELECT * FROM w2)"""
+
+
+def _seeds(s, d):
+    return M.table(s, d, "customer").where("c_custkey BETWEEN 1 AND 3").select(F.lit(0).cast("long").alias("query_id"), (F.col("c_custkey") + 1_000_000_000).alias("id"), F.when(F.col("c_custkey") == 2, 0.5).otherwise(0.9).alias("confidence"))
+
+
+@query(WALK + " SELECT seed, node, path_len FROM w")
+def graph_bfs_2hop(s, d):
+    return graph.walk(_seeds(s, d), M.graph(s, d), 2).select("seed", "node", F.col("path_len").cast("long").alias("path_len"))
+
+
+@query(WALK + ", b AS (SELECT query_id, node AS id, max(round(p / (1 + path_len) * confidence, 6)) AS score FROM w GROUP BY query_id, node) SELECT id, score FROM b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 30")
+def graph_scored(s, d):
+    return graph.graph_hits(_seeds(s, d), M.graph(s, d), 2).select("id", "score")
+
+
+@query(with_views("gr") + " SELECT src, dst, round(abs(weight) + 0.001::DOUBLE * 2 * ((src + dst) % 1000), 6) AS cost FROM gr WHERE src < 2000000000")
+def graph_decay(s, d):
+    e = M.graph(s, d).where("src < 2000000000")
+    return e.select("src", "dst", F.round(graph.decay_cost(F.col("weight"), (F.col("src") + F.col("dst")) % 1000, 0.001, 2.0), 6).alias("cost"))
+
+
+@query("WITH q AS (SELECT c_custkey AS query_id, 'about ' || replace(c_name, '#', ' ') || ' in Nation and ' || upper(n_name) AS text FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey <= 50), t AS (SELECT query_id, unnest(string_split(text, ' ')[2:]) AS name FROM q) SELECT DISTINCT query_id, n_nationkey AS id, n_name AS name FROM t JOIN nation ON n_name = name AND regexp_matches(name, '^[A-Z]')")
+def entity_link(s, d):
+    n = M.table(s, d, "nation")
+    q = M.table(s, d, "customer").where("c_custkey <= 50").join(n, F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("c_custkey").alias("query_id"), F.concat(F.lit("about "), F.replace(F.col("c_name"), F.lit("#"), F.lit(" ")), F.lit(" in Nation and "), F.upper("n_name")).alias("text"))
+    return graph.entity_links(q, n.select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("id")))
+
+
+@query(with_views("knn_all") + """, seeds AS (SELECT query_id, id, score FROM knn_all QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5), e AS (SELECT DISTINCT l_partkey AS src, l_suppkey + 1000000 AS dst FROM lineitem), u AS (SELECT * FROM e UNION ALL SELECT dst, src FROM e),
+    a AS (SELECT query_id, id AS seed, dst AS node, 1 AS n, 1 / score - 1 AS dd FROM seeds JOIN u ON src = id WHERE dst <> id), b AS (SELECT DISTINCT a.query_id, seed, u.dst AS node, 2 AS n, dd FROM a JOIN u ON u.src = a.node WHERE u.dst <> seed), w AS (SELECT * FROM a UNION ALL SELECT * FROM b),
+    f AS (SELECT query_id, node AS id, round(1 / (1 + greatest(min(dd + 0.1::DOUBLE * n), 0)), 6) AS score FROM w GROUP BY query_id, node) SELECT query_id, id, score FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 20""")
+def navigate(s, d):
+    e = M.table(s, d, "lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 1_000_000).alias("dst")).distinct().withColumn("weight", F.lit(1.0))
+    return graph.navigate(leaves.vector_search(M.query_vectors(s, d), M.vectors(s, d), 5), e, 2, 20).select("query_id", "id", "score")
+
+
+TREE = with_views("qv") + ", c AS (SELECT label, list(a ORDER BY i) AS v FROM (SELECT label, i, avg(x) AS a FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY label, i) GROUP BY label), t AS (SELECT query_id, label, round(1 / (1 + greatest(1 - list_cosine_similarity(c.v, qv.v), 0)), 5) AS score FROM c, qv QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label) <= 2)"
+
+
+@query(TREE + " SELECT query_id, vec_id AS id, score FROM t JOIN embeddings e ON e.label = t.label")
+def tree_descent(s, d):
+    v = M.vectors(s, d)
+    mean = v.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("a"))
+    centres = mean.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "a"))), lambda x: x["a"]).alias("embedding"))
+    hits = leaves.vector_search(M.query_vectors(s, d), centres.withColumnRenamed("label", "id"), 2, "communities")
+    members = v.select(F.col("label").alias("parent"), F.col("id").alias("child"), F.lit(True).alias("is_leaf"))
+    return graph.descend(hits.withColumn("score", F.round("score", 5)), members, 1)
+
+
+@query("WITH m AS (SELECT DISTINCT l_orderkey AS e, l_suppkey AS x FROM lineitem) SELECT a.x AS a, b.x AS b, count(*) AS episodes FROM m a JOIN m b ON a.e = b.e AND a.x < b.x GROUP BY ALL")
+def cooccurrence_edges(s, d):
+    return graph.cooccurrence(M.table(s, d, "lineitem").select(F.col("l_orderkey").alias("episode_id"), F.col("l_suppkey").alias("entity")))
+
+
+@query()
+def label_propagation(s, d):
+    edges = M.table(s, d, "lineitem").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 10_000_000).alias("b")).where("a % 10 = 0").distinct()
+    return graph.label_propagation(edges.join(graph.components(edges).withColumnRenamed("node", "a"), "a"))
+
+
+# --- ingest -------------------------------------------------------------------------------------------
+
+WORDS = "w AS (SELECT doc_id AS episode_id, list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '') AS w FROM documents)"
+CHUNKS = f"WITH {WORDS}, c AS (SELECT episode_id, i AS chunk_no, w[284 * i + 1:284 * i + 384] AS c FROM (SELECT *, unnest(range(greatest(1, ceil((len(w) - 100) / 284)::BIGINT))) AS i FROM w WHERE len(w) > 0))"
+
+
+@query(CHUNKS + " SELECT episode_id, chunk_no, array_to_string(c, ' ') AS text, len(c) AS n_words FROM c")
+def chunk_plain(s, d):
+    out = ingest.chunk_plain(M.episodes(s, d))
+    return out.select("episode_id", F.col("chunk_no").cast("long").alias("chunk_no"), "text", F.col("n_words").cast("long").alias("n_words"))
+
+
+@query(f"WITH {WORDS} SELECT episode_id AS id, ceil(len(w) * 1.3::DOUBLE)::BIGINT AS tokens FROM w")
+def token_estimate(s, d):
+    return M.episodes(s, d).select("id", T.token_estimate(F.col("content")).alias("tokens"))
+
+
+@query("SELECT doc_id AS id, coalesce(nullif(trim(regexp_extract(text, '^\\s*([\\s\\S]*?[.!?]+)(?:\\s|$)', 1)), ''), trim(text)) AS sentence FROM documents")
+def sentence_first(s, d):
+    return M.episodes(s, d).select("id", ingest.first_sentence(F.col("content")).alias("sentence"))
+
+
+@query()
+def sentence_segments(s, d):
+    return ingest.sentences(M.episodes(s, d))
+
+
+@query()
+def chunk_markdown(s, d):
+    return ingest.chunk_markdown(M.episodes(s, d))
+
+
+@query(CHUNKS + " SELECT episode_id, count(*) AS chunks, round(avg(CASE WHEN ceil(len(c) * 1.3::DOUBLE) BETWEEN 250 AND 600 THEN 1.0 ELSE 0.0 END), 6) AS size_compliance FROM c GROUP BY episode_id")
+def size_compliance(s, d):
+    return ingest.size_compliance(ingest.chunk_plain(M.episodes(s, d)))
+
+
+@query("WITH p AS (SELECT label, vec_id, embedding::DOUBLE[] AS v, lag(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings) SELECT label::BIGINT AS label, round(avg(list_cosine_similarity(v, p)), 5) AS coherence FROM p WHERE p IS NOT NULL GROUP BY label")
+def adjacent_coherence(s, d):
+    return ingest.adjacent_coherence(M.vectors(s, d), "label", "id").withColumn("coherence", F.round("coherence", 5))
+
+
+@query("WITH c AS (SELECT doc_id AS episode_id, unnest([0, 1, 2]) AS candidate_no, (doc_id * 7 % 11) / 11 AS a, (doc_id * 5 % 13) / 13 AS b FROM documents), t AS (SELECT episode_id, candidate_no, round(0.6::DOUBLE * a * (candidate_no + 1) + 0.4::DOUBLE * b * (3 - candidate_no), 6) AS total FROM c) SELECT episode_id, candidate_no::BIGINT AS candidate_no, total FROM t QUALIFY row_number() OVER (PARTITION BY episode_id ORDER BY total DESC, candidate_no) = 1")
+def bakeoff_select(s, d):
+    c = M.episodes(s, d).select(F.col("id").alias("episode_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("candidate_no"))
+    c = c.withColumns({"x": (F.col("episode_id") * 7 % 11) / 11 * (F.col("candidate_no") + 1), "y": (F.col("episode_id") * 5 % 13) / 13 * (3 - F.col("candidate_no"))})
+    return ingest.bakeoff(c, {"x": 0.6, "y": 0.4})
+
+
+@query("WITH h AS (SELECT conv_id AS episode_id, turn AS seq, 1 + turn % 3 AS level FROM conversations) SELECT episode_id, seq, level, (SELECT max(p.seq) FROM h p WHERE p.episode_id = h.episode_id AND p.seq < h.seq AND p.level < h.level) AS parent FROM h")
+def doctree_parents(s, d):
+    return ingest.heading_parents(M.table(s, d, "conversations").select(F.col("conv_id").alias("episode_id"), F.col("turn").alias("seq"), (F.col("turn") % 3 + 1).alias("level")))
+
+
+@query("SELECT conv_id, string_agg(coalesce(nullif(trim(regexp_extract(text, '^\\s*([\\s\\S]*?[.!?]+)(?:\\s|$)', 1)), ''), trim(text)), ' ' ORDER BY turn) AS summary FROM conversations WHERE turn < 2 GROUP BY conv_id HAVING sum(strlen(text)) <= 1500")
+def extractive_summary(s, d):
+    c = M.table(s, d, "conversations").where("turn < 2")
+    short = c.groupBy("conv_id").agg(F.sum(F.octet_length("text")).alias("n")).where("n <= 1500")
+    return ingest.descendants_summary(c.join(short, "conv_id", "left_semi"), "conv_id", "turn")
+
+
+def _scrub_sql() -> str:
+    e = "text"
+    for name, pattern in T.SECRETS:
+        e = f"regexp_replace({e}, '{pattern.replace(chr(39), chr(39) * 2)}', '<REDACTED:{name}>', 'g')"
+    return e
+
+
+@query(f"SELECT doc_id AS id, sha256({_scrub_sql()}) AS clean_sha256 FROM documents")
+def scrub_secrets(s, d):
+    return M.episodes(s, d).select("id", F.sha2(T.scrubbed(F.col("content")).cast("binary"), 256).alias("clean_sha256"))
+
+
+@query("SELECT page_id AS id, CASE WHEN strlen(html) <= 4096 THEN html ELSE html[1:2048] || '…elided…' || right(html, 1024) END AS payload FROM pages")
+def truncate_payload(s, d):
+    return M.table(s, d, "pages").select(F.col("page_id").alias("id"), T.truncated_payload(F.col("html"), 4096, 2048, 1024).alias("payload"))
+
+
+# --- validation and reconciliation --------------------------------------------------------------------
+
+
+@query(with_views("fa") + " SELECT id, CASE WHEN confidence > 0.98::DOUBLE THEN 'empty_predicate' WHEN confidence < 0.92::DOUBLE THEN 'confidence_range' WHEN object % 7 = 0 THEN 'invalid_interval' END AS reason FROM fa WHERE subject % 20 = 0")
+def validate_intervals(s, d):
+    f = M.facts(s, d).where("subject % 20 = 0")
+    f = f.withColumns({"predicate": F.when(F.col("confidence") > 0.98, " ").otherwise(F.col("predicate")), "valid_to": F.when(F.col("object") % 7 == 0, F.col("valid_from")).otherwise(F.col("valid_to")), "confidence": F.when(F.col("confidence") < 0.92, -F.col("confidence")).otherwise(F.col("confidence"))})
+    return lifecycle.validated(f).select("id", "reason")
+
+
+@query(with_views("fa") + " SELECT DISTINCT a.subject FROM fa a JOIN fa b ON a.subject = b.subject AND a.object <> b.object AND a.valid_from < b.valid_to AND b.valid_from < a.valid_to")
+def contradictions(s, d):
+    return lifecycle.contradictions(M.facts(s, d)).select("subject")
+
+
+@query(with_views("fa") + " SELECT subject, object, valid_from // 864000000 AS valid_from, min(id) AS id, max(confidence) AS confidence FROM fa GROUP BY ALL")
+def triple_dedupe(s, d):
+    f = M.facts(s, d).withColumns({"valid_from": F.expr("valid_from div 864000000"), "valid_to": F.lit(None).cast("long")})
+    return lifecycle.deduped_triples(f).select("subject", "object", "valid_from", "id", "confidence")
+
+
+@query(with_views("fa") + " SELECT id, CASE WHEN id % 2 = 0 THEN least(valid_from, 820454400000) ELSE valid_from END AS valid_from FROM fa")
+def future_cap(s, d):
+    f = M.facts(s, d).withColumn("valid_to", F.when(F.col("id") % 2 == 1, F.col("valid_to")))
+    return lifecycle.capped_dates(f, 820454400000).select("id", "valid_from")
+
+
+RECON = with_views("fa") + ", n AS (SELECT * FROM fa WHERE id % 3 = 0), p AS (SELECT * FROM fa WHERE id % 3 <> 0), j AS (SELECT n.id, bool_or(p.object = n.object) AS same, min(CASE WHEN p.object <> n.object AND n.valid_from < p.valid_to AND p.valid_from < n.valid_to THEN p.id END) AS loser FROM n LEFT JOIN p ON p.subject = n.subject GROUP BY n.id)"
+
+
+@query(RECON + " SELECT id, CASE WHEN coalesce(same, FALSE) THEN 'Noop' WHEN loser IS NOT NULL THEN 'Supersede' ELSE 'Append' END AS decision, CASE WHEN NOT coalesce(same, FALSE) THEN loser END AS loser FROM j")
+def reconcile_classify(s, d):
+    f = M.facts(s, d)
+    return lifecycle.classified(f.where("id % 3 = 0"), f.where("id % 3 <> 0")).select("id", "decision", "loser")
+
+
+@query(with_views("fa") + " SELECT subject, object, id FROM fa QUALIFY row_number() OVER (PARTITION BY subject ORDER BY valid_from DESC, id DESC) = 1")
+def supersede_latest(s, d):
+    return lifecycle.latest_assertions(M.facts(s, d)).select("subject", "object", "id")
+
+
+@query()
+def spo_fold(s, d):
+    return lifecycle.folded_spo(M.facts(s, d).withColumn("seq", F.col("id")))
+
+
+# --- ledgers and consolidation ------------------------------------------------------------------------
+
+
+@query(with_views("sg") + LEDGER + " SELECT id, n, weighted, first_ref, last_ref FROM led")
+def ledger_fold(s, d):
+    return lifecycle.ledger(M.signals(s, d))
+
+
+@query(with_views("sg") + LEDGER + ACTIVE + " SELECT id, CASE WHEN isinf(activation) THEN NULL ELSE activation END AS activation FROM act")
+def ledger_activation(s, d):
+    a = F.col("activation")
+    return lifecycle.ledger_activation(lifecycle.ledger(M.signals(s, d)), NOW).select("id", F.when(a != float("-inf"), a).alias("activation"))
+
+
+BASE = with_views("sg") + f", b AS (SELECT id AS episode_id, source, count(*) AS n, round(ln(sum(pow(greatest(({NOW} - at) / 1000, 1), -0.5))), 6) AS activation FROM sg GROUP BY id, source)"
+
+
+@query(BASE.replace(", source, count", ", count").replace("GROUP BY id, source", "GROUP BY id") + " SELECT episode_id, n, activation FROM b")
+def actr_base_level(s, d):
+    return lifecycle.base_level(M.signals(s, d).withColumnRenamed("id", "episode_id"), NOW)
+
+
+@query(BASE.replace("FROM sg GROUP", "FROM sg WHERE starts_with(source, 'p') GROUP").replace(", source, count", ", count").replace("GROUP BY id, source", "GROUP BY id") + " SELECT episode_id, activation, CASE WHEN activation > 1 THEN 'promote' WHEN activation < -0.5 THEN 'archive' ELSE 'noop' END AS decision FROM b")
+def consolidate_decisions(s, d):
+    events = M.signals(s, d).where(F.col("source").startswith("p")).withColumnRenamed("id", "episode_id")
+    return lifecycle.decided(lifecycle.base_level(events, NOW)).select("episode_id", "activation", "decision")
+
+
+@query(with_views("sg") + LEDGER + ACTIVE + ", q AS (SELECT d.source AS cluster, a.activation, 'c' || d.doc_id % 3 AS sub FROM act a JOIN documents d ON d.doc_id = a.id WHERE a.weighted > 0 AND a.activation <= 2), k AS (SELECT cluster, cluster || ':' || sub AS source, count(*) AS k, sum(activation) AS s, max(activation) AS m FROM q GROUP BY ALL) SELECT cluster, sum(k)::BIGINT AS size, round(sum(s) / sum(k), 6) AS mean_activation, max(m) AS max_activation, arg_min(source, {'a': -k, 'b': source}) AS dominant_source FROM k GROUP BY cluster HAVING sum(k) >= 2 ORDER BY 2 DESC, 3 DESC, 1 LIMIT 10")
+def source_class_clusters(s, d):
+    led = lifecycle.ledger_activation(lifecycle.ledger(M.signals(s, d)), NOW).where("weighted > 0").withColumn("archived_at", F.lit(None).cast("long"))
+    ep = M.table(s, d, "documents").select(F.col("doc_id").alias("id"), F.concat("source", F.lit(":c"), (F.col("doc_id") % 3).cast("string")).alias("source"), F.lit(None).cast("long").alias("sys_to"))
+    return lifecycle.dream_agenda(led, ep, 2.0)
+
+
+# --- lifecycle ----------------------------------------------------------------------------------------
+
+
+@query("SELECT source AS dedupe_key, min(doc_id) AS seq FROM documents WHERE doc_id % 2 = 1 AND source NOT IN (SELECT source FROM documents WHERE doc_id < 4) GROUP BY source")
+def idempotent_ingest(s, d):
+    t = M.table(s, d, "documents").select(F.col("source").alias("dedupe_key"), F.col("doc_id").alias("seq"))
+    return lifecycle.first_writers(t.where("seq < 4"), t.where("seq % 2 = 1"))
+
+
+@query(with_views("ep") + f" SELECT id, CASE WHEN starts_with(source, 'doc:src5') AND sys_to IS NULL THEN {NOW} ELSE sys_to END AS sys_to FROM ep")
+def soft_forget(s, d):
+    return lifecycle.soft_forget(M.episodes(s, d), F.col("source").startswith("doc:src5"), NOW).select("id", "sys_to")
+
+
+@query(with_views("ep") + " SELECT id FROM ep WHERE NOT starts_with(source, 'doc:src5')")
+def hard_forget(s, d):
+    return lifecycle.hard_forget(M.episodes(s, d), F.col("source").startswith("doc:src5"), "token").select("id")
+
+
+@query(with_views("ep") + f" SELECT id, CASE WHEN scope = 'fr' AND sys_to IS NULL THEN {NOW} ELSE sys_to END AS sys_to FROM ep")
+def forget_cascade(s, d):
+    return lifecycle.cascade(M.episodes(s, d), M.chunks(s, d), F.col("scope") == "fr", NOW).select("id", "sys_to")
+
+
+@query(with_views("ep") + f" SELECT count(*) AS matched, 2 * count(*) AS rows_written, TRUE AS preview FROM ep WHERE valid_from < {NOW - 30 * DAY} AND sys_to IS NULL")
+def retention_preview(s, d):
+    return lifecycle.dry_run(M.episodes(s, d), M.chunks(s, d), lifecycle.older_than(NOW, 30 * DAY))
+
+
+@query(with_views("ep") + f" SELECT id, CASE WHEN id = 40 AND sys_to IS NULL AND sys_from BETWEEN {START} AND {START + 64 * HOUR} THEN {NOW} ELSE sys_to END AS sys_to FROM ep")
+def range_invalidate(s, d):
+    return lifecycle.invalidate_range(M.episodes(s, d), 40, START, START + 64 * HOUR, NOW).select("id", "sys_to")
+
+
+@query("WITH a AS (SELECT user_id AS episode_id, event_type AS h, event_id AS t FROM events) SELECT episode_id, arg_max(h, t) AS current_head, min(t) AS first_seen, max(t) AS last_seen FROM a GROUP BY 1")
+def agenda_upsert(s, d):
+    a = M.table(s, d, "events").select(F.col("user_id").alias("episode_id"), F.col("event_type").alias("current_head"), F.col("event_id").alias("first_seen"), F.col("event_id").alias("last_seen"))
+    return lifecycle.agenda_merged(a.where("first_seen % 2 = 0"), a.where("first_seen % 2 = 1"))
+
+
+@query(with_views("ep") + ", p AS (SELECT *, CASE id % 3 WHEN 0 THEN 'decision:' WHEN 1 THEN 'fix:' ELSE 'note:' END AS section FROM ep WHERE sys_to IS NULL), r AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY id DESC) AS n, count(*) OVER (PARTITION BY section) AS total FROM p WHERE section IN ('decision:', 'fix:')) SELECT section, any_value(total) AS total, string_agg('- ' || source, chr(10) ORDER BY id DESC) AS markdown FROM r WHERE n <= 10 GROUP BY section")
+def profile_sections(s, d):
+    rows = M.episodes(s, d).where("sys_to IS NULL").withColumn("line", F.col("source")).withColumn("source", F.concat(F.when(F.col("id") % 3 == 0, "decision:").when(F.col("id") % 3 == 1, "fix:").otherwise("note:"), "source"))
+    from palimpsest.operators.recipes import profile
+
+    return profile(rows).select("section", "total", "markdown")
+
+
+# --- citations, recipes and measures ------------------------------------------------------------------
+
+STOP = ", ".join(f"'{x}'" for x in A.STOPWORDS)
+
+
+@query(f"""WITH m AS (SELECT doc_id AS id, list_filter(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)), lambda x: x NOT IN ({STOP})) AS w FROM documents WHERE n_chars < 1500),
+    g AS (SELECT DISTINCT id, array_to_string(w[i:i + 4], ' ') AS gram FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS i FROM m WHERE len(w) >= 5)), one AS (SELECT gram, min(id) AS id FROM g GROUP BY gram HAVING count(*) = 1),
+    b AS (SELECT list_filter(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)), lambda x: x NOT IN ({STOP})) AS w FROM benchmark), bg AS (SELECT DISTINCT array_to_string(w[i:i + 4], ' ') AS gram FROM (SELECT w, unnest(range(1, len(w) - 3)) AS i FROM b WHERE len(w) >= 5))
+    SELECT DISTINCT id FROM one WHERE gram IN (SELECT gram FROM bg)""")
+def citation_ngrams(s, d):
+    docs = M.table(s, d, "documents").where("n_chars < 1500").select(F.col("doc_id").alias("id"), "text")
+    return A.cited(docs, M.table(s, d, "benchmark").select("text"))
+
+
+@query(with_views("fused", "ep") + f" SELECT query_id, f.id, round(f.score - 0.5::DOUBLE * ln(greatest(({NOW} - valid_from) / 1000, 1)), 6) AS score FROM fused f JOIN ep ON ep.id = f.id WHERE starts_with(source, 'doc:src1') QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(f.score - 0.5::DOUBLE * ln(greatest(({NOW} - valid_from) / 1000, 1)), 6) DESC, f.id) <= 8")
+def message_stream_recall(s, d):
+    from palimpsest.operators.recipes import message_stream
+
+    return message_stream(combine.both(*_legs(s, d)), M.episodes(s, d), "doc:src1", NOW).select("query_id", "id", "score")
+
+
+@query(with_views("ep") + f" SELECT id, valid_from FROM ep WHERE valid_from >= {START + 20 * HOUR} AND valid_from < {START + 60 * HOUR} AND sys_from <= {START + 200 * HOUR} AND (sys_to IS NULL OR {START + 200 * HOUR} < sys_to)")
+def timeline_between(s, d):
+    from palimpsest.operators.recipes import between
+
+    return between(M.episodes(s, d), START + 20 * HOUR, START + 60 * HOUR, START + 200 * HOUR).select("id", "valid_from")
+
+
+@query("SELECT 0 AS part, conv_id AS id, max(turn) AS n FROM conversations WHERE role = 'user' GROUP BY conv_id UNION ALL SELECT 1, user_id, count(*) FROM events WHERE event_type = 'error' GROUP BY user_id")
+def support_history(s, d):
+    from palimpsest.operators.recipes import in_parts
+
+    a = M.table(s, d, "conversations").where("role = 'user'").groupBy(F.col("conv_id").alias("id")).agg(F.max("turn").alias("n"))
+    b = M.table(s, d, "events").where("event_type = 'error'").groupBy(F.col("user_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    return in_parts(a, b)
+
+
+@query("WITH g AS (SELECT doc_id FROM labels WHERE quality = 1), f AS (SELECT doc_id FROM documents WHERE n_chars > 1000 AND doc_id IN (SELECT doc_id FROM labels)) SELECT (SELECT count(*) FROM g) AS gold, (SELECT count(*) FROM f) AS found, (SELECT count(*) FROM g JOIN f USING (doc_id)) AS both, round(2 * (SELECT count(*) FROM g JOIN f USING (doc_id)) / ((SELECT count(*) FROM g) + (SELECT count(*) FROM f)), 6) AS f1")
+def eval_f1(s, d):
+    lab = M.table(s, d, "labels")
+    found = M.table(s, d, "documents").where("n_chars > 1000").join(lab, "doc_id", "left_semi")
+    return A.micro_f1(lab.where("quality = 1").select("doc_id"), found.select("doc_id"))
+
+
+@query(with_views("kw") + ", p AS (SELECT item_id AS query_id, max(CASE WHEN contains(d.text, b.text[1:40]) THEN 1 ELSE 0 END) AS ok FROM benchmark b LEFT JOIN kw ON kw.query_id = item_id LEFT JOIN documents d ON d.doc_id = kw.id WHERE item_id < 8 GROUP BY item_id) SELECT count(*) AS queries, round(100.0 * avg(ok), 6) AS score FROM p")
+def eval_jscore(s, d):
+    gold = M.table(s, d, "benchmark").where("item_id < 8").select(F.col("item_id").alias("query_id"), F.left("text", F.lit(40)).alias("gold"))
+    return A.any_gold(_legs(s, d)[1].join(M.episodes(s, d).select("id", F.col("content").alias("text")), "id"), gold)
+
+
+@query("SELECT count(*) AS total, sum(CASE WHEN (quality = 1) <> (doc_id % 2 = 0) THEN 1 ELSE 0 END)::BIGINT AS diverged, round(avg(CASE WHEN (quality = 1) <> (doc_id % 2 = 0) THEN 1.0 ELSE 0.0 END), 6) AS rate, avg(CASE WHEN (quality = 1) <> (doc_id % 2 = 0) THEN 1.0 ELSE 0.0 END) <= 0.05 AS passed FROM labels")
+def divergence_rate(s, d):
+    lab = M.table(s, d, "labels")
+    return A.divergence(lab.select(F.col("doc_id").alias("case_id"), (F.col("quality") == 1).alias("verdict")), lab.select(F.col("doc_id").alias("case_id"), (F.col("doc_id") % 2 == 0).alias("verdict")))
+
+
+@query("WITH g AS (SELECT DISTINCT conv_id % 8 AS query_id, 'src' || conv_id % 5 AS session FROM conversations), f AS (SELECT g.query_id, session, bool_or(contains(source, session)) AS hit FROM g LEFT JOIN documents d ON d.doc_id % 97 = g.query_id GROUP BY ALL) SELECT query_id, count(*) AS total, sum(CASE WHEN hit THEN 1 ELSE 0 END)::BIGINT AS covered, sum(CASE WHEN hit THEN 1 ELSE 0 END) > 0 AS any_hit, sum(CASE WHEN hit THEN 1 ELSE 0 END) = count(*) AS all_hit FROM f GROUP BY query_id")
+def evidence_recall(s, d):
+    gold = M.table(s, d, "conversations").select((F.col("conv_id") % 8).alias("query_id"), F.concat(F.lit("src"), (F.col("conv_id") % 5).cast("string")).alias("session")).distinct()
+    hits = M.table(s, d, "documents").where("doc_id % 97 < 8").select((F.col("doc_id") % 97).alias("query_id"), "source")
+    return A.evidence_recall(hits, gold)
+
+
+@query("WITH h AS (SELECT conv_id % 10 AS query_id, conv_id AS session, turn, row_number() OVER (PARTITION BY conv_id % 10 ORDER BY turn, conv_id) AS rank FROM conversations), f AS (SELECT *, min(rank) OVER (PARTITION BY query_id, session) AS first FROM h) SELECT query_id, session, turn, rank FROM (SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY first) AS k FROM f) WHERE k <= 3")
+def cap_sessions(s, d):
+    from pyspark.sql import Window
+
+    h = M.table(s, d, "conversations").select((F.col("conv_id") % 10).alias("query_id"), F.col("conv_id").alias("session"), "turn").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("turn", "session")).cast("long"))
+    return A.capped_sessions(h, 3)
+
+
+@query("WITH m AS (SELECT conv_id AS doc, count(*) AS size FROM conversations GROUP BY 1), h AS (SELECT conv_id AS doc, turn AS position FROM conversations WHERE turn % 4 = 1) SELECT DISTINCT 0::BIGINT AS query_id, doc, p AS position FROM (SELECT h.doc, size, unnest(range(greatest(position - 1, 0), least(position + 1, size - 1) + 1)) AS p FROM h JOIN m ON m.doc = h.doc)")
+def neighbor_expand(s, d):
+    c = M.table(s, d, "conversations")
+    hits = c.where("turn % 4 = 1").select(F.lit(0).cast("long").alias("query_id"), F.col("conv_id").alias("doc"), F.col("turn").alias("position"))
+    return A.neighbours(hits, 1, c.groupBy(F.col("conv_id").alias("doc")).agg(F.count(F.lit(1)).alias("size")))
+
+
+@query("WITH f AS (SELECT trim(p_brand || ' ') AS text, p_size / 50 AS confidence, p_partkey AS seq FROM part) SELECT text, max(confidence) AS confidence, min(seq) AS seq FROM f WHERE text <> '' GROUP BY text ORDER BY 2 DESC, 3 LIMIT 12")
+def distill_facts(s, d):
+    return A.distilled_facts(M.table(s, d, "part").select(F.concat("p_brand", F.lit(" ")).alias("text"), (F.col("p_size") / 50).alias("confidence"), F.col("p_partkey").alias("seq")), 12)
+
+
+QUESTIONS = ("When did it start?", "How many days passed between the two?", "How many books are there?", "What do you recommend?", "Who wrote it?", "How many days did I jog?", "what was the order of events", "How many weeks did it take?")
+
+
+@query("WITH q AS (SELECT doc_id AS id, [" + ", ".join(f"'{x}'" for x in QUESTIONS) + "][doc_id % 8 + 1] AS q FROM documents) SELECT id, ['Temporal', 'Temporal', 'Counting', 'Recommendation', 'Factual', 'Counting', 'Temporal', 'Temporal'][id % 8 + 1] AS intent FROM q")
+def intent_classify(s, d):
+    q = F.element_at(F.array(*map(F.lit, QUESTIONS)), (F.col("doc_id") % 8 + 1).cast("int"))
+    return M.table(s, d, "documents").select(F.col("doc_id").alias("id"), A.intent(q).alias("intent"))
+
+
+@query("SELECT event_type, max(CASE WHEN n = least(floor(c * 0.95::DOUBLE), c - 1) THEN value END) AS value FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS n, count(*) OVER (PARTITION BY event_type) AS c FROM events) GROUP BY event_type")
+def percentile_nearest(s, d):
+    return A.nearest_rank(M.table(s, d, "events"), "event_type", "value", 0.95)
+
+
+# --- streams ------------------------------------------------------------------------------------------
+
+
+@query(with_views("sg") + f" SELECT id AS episode_id, count(*) AS n, round(ln(sum(pow(greatest(({NOW} - at) / 1000, 1), -0.5))), 6) AS activation FROM sg GROUP BY id")
+def stream_consolidate(s, d):
+    from palimpsest.streaming import jobs
+
+    return jobs.consolidated(s, f"{d}/events.parquet", NOW)
+
+
+@query("SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT event_id, user_id, event_type FROM events) GROUP BY ALL")
+def stream_dedupe(s, d):
+    from palimpsest.streaming import jobs
+
+    return jobs.deduplicated(s, f"{d}/events.parquet").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))

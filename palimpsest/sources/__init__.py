@@ -1 +1 @@
-
+"""Tables, scans and writes."""
