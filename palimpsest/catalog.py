@@ -177,8 +177,8 @@ def recency_actr(s, d):
     return rescore.recency_power(_dated(s, d), "valid_from", NOW).select("query_id", "id", "score")
 
 
-LEDGER = """, ss AS (SELECT *, sum(strength) OVER (PARTITION BY id ORDER BY at, seq ROWS UNBOUNDED PRECEDING) AS run FROM sg), ll AS (SELECT *, min(run) OVER (PARTITION BY id ORDER BY at, seq ROWS UNBOUNDED PRECEDING) AS low, row_number() OVER (PARTITION BY id ORDER BY at DESC, seq DESC) AS back FROM ss),
-    led AS (SELECT id, count(*) AS n, max(CASE WHEN back = 1 THEN run - least(0, low) END) AS weighted, min(at) AS first_ref, max(at) AS last_ref FROM ll GROUP BY id)"""
+LEDGER = """, ss AS (SELECT *, sum(strength) OVER (PARTITION BY id ORDER BY ms, seq ROWS UNBOUNDED PRECEDING) AS run FROM sg), ll AS (SELECT *, min(run) OVER (PARTITION BY id ORDER BY ms, seq ROWS UNBOUNDED PRECEDING) AS low, row_number() OVER (PARTITION BY id ORDER BY ms DESC, seq DESC) AS back FROM ss),
+    led AS (SELECT id, count(*) AS n, max(CASE WHEN back = 1 THEN run - least(0, low) END) AS weighted, min(ms) AS first_ref, max(ms) AS last_ref FROM ll GROUP BY id)"""
 ACTIVE = f", act AS (SELECT *, CASE WHEN weighted = 0 THEN '-Infinity'::DOUBLE ELSE round(ln(weighted * pow(greatest(({NOW} - last_ref) / 1000, 1), -0.5)), 6) END AS activation FROM led)"
 
 
@@ -308,7 +308,7 @@ def hot_keys(s, d):
     return tables.hot_keys(M.table(s, d, "events").withColumnRenamed("user_id", "key"), 20)
 
 
-@query("SELECT event_id, event_type FROM events WHERE epoch_ms(ts) BETWEEN 1704412800000 AND 1704499200000 ORDER BY event_id LIMIT 100")
+@query("SELECT event_id, event_type FROM events WHERE epoch_us(ts) // 1000 BETWEEN 1704412800000 AND 1704499200000 ORDER BY event_id LIMIT 100")
 def queue_range_read(s, d):
     at = M.millis(F.col("ts"))
     return M.table(s, d, "events").where(at.between(1704412800000, 1704499200000)).orderBy("event_id").limit(100).select("event_id", "event_type")
@@ -432,9 +432,9 @@ def size_compliance(s, d):
     return ingest.size_compliance(ingest.chunk_plain(M.episodes(s, d)))
 
 
-@query("WITH p AS (SELECT label, vec_id, embedding::DOUBLE[] AS v, lag(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings) SELECT label::BIGINT AS label, round(avg(list_cosine_similarity(v, p)), 5) AS coherence FROM p WHERE p IS NOT NULL GROUP BY label")
+@query("WITH p AS (SELECT label, vec_id, embedding::DOUBLE[] AS v, lag(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings) SELECT label::BIGINT AS label, round(avg(list_cosine_similarity(v, p)), 4) AS coherence FROM p WHERE p IS NOT NULL GROUP BY label")
 def adjacent_coherence(s, d):
-    return ingest.adjacent_coherence(M.vectors(s, d), "label", "id").withColumn("coherence", F.round("coherence", 5))
+    return ingest.adjacent_coherence(M.vectors(s, d), "label", "id").withColumn("coherence", F.round("coherence", 4))
 
 
 @query("WITH c AS (SELECT doc_id AS episode_id, unnest([0, 1, 2]) AS candidate_no, (doc_id * 7 % 11) / 11 AS a, (doc_id * 5 % 13) / 13 AS b FROM documents), t AS (SELECT episode_id, candidate_no, round(0.6::DOUBLE * a * (candidate_no + 1) + 0.4::DOUBLE * b * (3 - candidate_no), 6) AS total FROM c) SELECT episode_id, candidate_no::BIGINT AS candidate_no, total FROM t QUALIFY row_number() OVER (PARTITION BY episode_id ORDER BY total DESC, candidate_no) = 1")
@@ -500,7 +500,7 @@ def future_cap(s, d):
     return lifecycle.capped_dates(f, 820454400000).select("id", "valid_from")
 
 
-RECON = with_views("fa") + ", n AS (SELECT * FROM fa WHERE id % 3 = 0), p AS (SELECT * FROM fa WHERE id % 3 <> 0), j AS (SELECT n.id, bool_or(p.object = n.object) AS same, min(CASE WHEN p.object <> n.object AND n.valid_from < p.valid_to AND p.valid_from < n.valid_to THEN p.id END) AS loser FROM n LEFT JOIN p ON p.subject = n.subject GROUP BY n.id)"
+RECON = with_views("fa") + ", n AS (SELECT * FROM fa WHERE id % 3 = 0), p AS (SELECT * FROM fa WHERE id % 3 <> 0), j AS (SELECT n.id, bool_or(p.object = n.object) AS same, min(CASE WHEN p.object <> n.object AND n.valid_from < p.valid_to AND p.valid_from < n.valid_to THEN p.id END) AS loser FROM n LEFT JOIN p ON p.subject = n.subject GROUP BY n.id, n.subject, n.object, n.valid_from, n.valid_to, n.confidence)"
 
 
 @query(RECON + " SELECT id, CASE WHEN coalesce(same, FALSE) THEN 'Noop' WHEN loser IS NOT NULL THEN 'Supersede' ELSE 'Append' END AS decision, CASE WHEN NOT coalesce(same, FALSE) THEN loser END AS loser FROM j")
@@ -533,7 +533,7 @@ def ledger_activation(s, d):
     return lifecycle.ledger_activation(lifecycle.ledger(M.signals(s, d)), NOW).select("id", F.when(a != float("-inf"), a).alias("activation"))
 
 
-BASE = with_views("sg") + f", b AS (SELECT id AS episode_id, source, count(*) AS n, round(ln(sum(pow(greatest(({NOW} - at) / 1000, 1), -0.5))), 6) AS activation FROM sg GROUP BY id, source)"
+BASE = with_views("sg") + f", b AS (SELECT id AS episode_id, source, count(*) AS n, round(ln(sum(pow(greatest(({NOW} - ms) / 1000, 1), -0.5))), 6) AS activation FROM sg GROUP BY id, source)"
 
 
 @query(BASE.replace(", source, count", ", count").replace("GROUP BY id, source", "GROUP BY id") + " SELECT episode_id, n, activation FROM b")
@@ -702,7 +702,7 @@ def percentile_nearest(s, d):
 # --- streams ------------------------------------------------------------------------------------------
 
 
-@query(with_views("sg") + f" SELECT id AS episode_id, count(*) AS n, round(ln(sum(pow(greatest(({NOW} - at) / 1000, 1), -0.5))), 6) AS activation FROM sg GROUP BY id")
+@query(with_views("sg") + f" SELECT id AS episode_id, count(*) AS n, round(ln(sum(pow(greatest(({NOW} - ms) / 1000, 1), -0.5))), 6) AS activation FROM sg GROUP BY id")
 def stream_consolidate(s, d):
     from palimpsest.streaming import jobs
 

@@ -91,7 +91,7 @@ SQL = {
     "ranked": "ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_op ORDER BY score DESC, id) AS rk FROM legs)",
     "fused": "fused AS (SELECT query_id, id, round(sum(1::DOUBLE / (60 + rk)), 6) AS score FROM ranked GROUP BY query_id, id)",
     "fa": f"fa AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey AS subject, l_suppkey AS object, epoch_ms(l_shipdate) AS valid_from, epoch_ms(l_shipdate) + {30 * DAY} AS valid_to, 1 - l_discount AS confidence FROM lineitem)",
-    "sg": "sg AS (SELECT user_id AS id, event_id AS seq, epoch_ms(ts) AS at, CASE event_type WHEN 'purchase' THEN 3.0::DOUBLE WHEN 'error' THEN -3.0::DOUBLE ELSE 1.0::DOUBLE END AS strength, event_type AS source FROM events)",
+    "sg": "sg AS (SELECT user_id AS id, event_id AS seq, epoch_us(ts) // 1000 AS ms, CASE event_type WHEN 'purchase' THEN 3.0::DOUBLE WHEN 'error' THEN -3.0::DOUBLE ELSE 1.0::DOUBLE END AS strength, event_type AS source FROM events)",
     "gr": """gr AS (SELECT 1000000000 + o_custkey AS src, 2000000000 + o_orderkey AS dst, 1.0::DOUBLE AS weight FROM orders
         UNION ALL SELECT 2000000000 + l_orderkey, 3000000000 + l_partkey, max(1 - l_discount) FROM lineitem GROUP BY l_orderkey, l_partkey
         UNION ALL SELECT 3000000000 + l_partkey, 4000000000 + l_suppkey, max(1 - l_discount) FROM lineitem GROUP BY l_partkey, l_suppkey

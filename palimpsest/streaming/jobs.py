@@ -23,10 +23,18 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
+def files_of(spark: SparkSession, path: str, reader) -> DataFrame:
+    """A stream of the Parquet files of a folder, or of the one file that path names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", p.getName()).parquet(p.getParent().toString())
+
+
 def drained(spark: SparkSession, path: str, write: Callable[[DataFrame, int], None], files: int = 4) -> None:
     """Feeds what a folder of Parquet files holds through write, batch by batch, and stops."""
     schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+    stream = files_of(spark, path, spark.readStream.schema(schema).option("maxFilesPerTrigger", files))
     stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{shared_folder(spark)}/c").trigger(availableNow=True).start().awaitTermination()
 
 
@@ -51,7 +59,7 @@ def deduplicated(spark: SparkSession, path: str) -> DataFrame:
     """Events once each: repeats within ten days of event time are dropped as they stream by."""
     out = shared_folder(spark)
     schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).parquet(path).withColumn("at", F.timestamp_millis(millis(F.col("ts"))))
+    stream = files_of(spark, path, spark.readStream.schema(schema)).withColumn("at", F.timestamp_millis(millis(F.col("ts"))))
     once = stream.withWatermark("at", "10 days").dropDuplicatesWithinWatermark(["event_id"])
     once.writeStream.format("parquet").option("path", f"{out}/d").option("checkpointLocation", f"{out}/c").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{out}/d")
