@@ -714,3 +714,143 @@ def stream_dedupe(s, d):
     from palimpsest.streaming import jobs
 
     return jobs.deduplicated(s, f"{d}/events.parquet").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- more scans, recipes and measures -----------------------------------------------------------------
+
+
+@query("SELECT vec_id AS id FROM embeddings WHERE vec_id % 5 > 0")
+def vector_guard(s, d):
+    """Vectors of zeros are stored but not searched."""
+    v = M.vectors(s, d)
+    return v.withColumn("embedding", F.when(F.col("id") % 5 == 0, F.transform("embedding", lambda x: x * 0)).otherwise(F.col("embedding"))).where(leaves.knn_eligible()).select("id")
+
+
+@query()
+def knn_lsh(s, d):
+    return leaves.lsh_candidates(M.query_vectors(s, d), M.vectors(s, d))
+
+
+@query("WITH p AS (SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE source END AS source FROM documents WHERE doc_id % 2 = 0) SELECT id, CASE WHEN source IS NULL THEN '' ELSE source END AS sources, source IS NULL AS partial FROM p")
+def detail_provenance(s, d):
+    from palimpsest.operators.recipes import detail
+
+    docs = M.table(s, d, "documents").withColumnRenamed("doc_id", "id")
+    rows = docs.where("id % 2 = 0").select("id")
+    out = detail(rows, rows.withColumn("episode_id", F.col("id")), docs.where("id % 3 <> 0"))
+    return out.select("id", F.array_join("sources", ",").alias("sources"), "partial")
+
+
+@query(with_views("ep") + f" SELECT 'episode' AS kind, id::VARCHAR AS id FROM ep WHERE scope = 'fr' AND sys_from <= {START + 15 * DAY} AND (sys_to IS NULL OR {START + 15 * DAY} < sys_to)")
+def snapshot_export(s, d):
+    from palimpsest.operators.recipes import snapshot
+
+    return snapshot({"episode": M.episodes(s, d)}, "fr", START + 15 * DAY, NOW).select("kind", "id")
+
+
+@query("SELECT page_id AS id FROM pages WHERE NOT regexp_matches(url, '^https?://[^/]*/.*1.*$') AND regexp_matches(url, '^http.*$')")
+def path_filter(s, d):
+    from palimpsest.operators.recipes import allowed_paths
+
+    p = M.table(s, d, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("path"))
+    return allowed_paths(p, ["http://*/**1**", "https://*/**1**"], ["http**"]).select("id")
+
+
+@query("WITH f AS (SELECT conv_id % 6 AS query_id, conv_id AS session, min(turn * 1000 + conv_id) AS first FROM conversations WHERE turn = 2 AND conv_id < 40 GROUP BY ALL) SELECT f.query_id, f.session, c.turn, row_number() OVER (PARTITION BY f.query_id ORDER BY first, f.session, c.turn) AS place FROM f JOIN conversations c ON c.conv_id = f.session")
+def session_expand(s, d):
+    from palimpsest.operators.recipes import whole_sessions
+
+    c = M.table(s, d, "conversations")
+    hits = c.where("turn = 2 AND conv_id < 40").select((F.col("conv_id") % 6).alias("query_id"), F.col("conv_id").alias("session"), (F.col("turn") * 1000 + F.col("conv_id")).alias("rank"))
+    return whole_sessions(hits, c.select(F.col("conv_id").alias("session"), "turn")).select("query_id", "session", "turn", F.col("place").cast("long").alias("place"))
+
+
+@query("WITH n AS (SELECT 100000 + p_size AS id, p_size FROM part GROUP BY p_size) SELECT 100000 + p_size AS parent, p_partkey AS child, TRUE AS is_leaf FROM part UNION ALL SELECT 1, id, FALSE FROM n")
+def raptor_members(s, d):
+    from palimpsest.operators.recipes import raptor_members as members
+
+    part = M.table(s, d, "part")
+    size = F.col("p_size").cast("string")
+    nodes = part.select((F.lit(100_000) + F.col("p_size")).cast("long").alias("node_id"), F.lit(1).cast("long").alias("parent_id"), F.array(F.lit("all"), size).alias("path")).distinct()
+    root = s.range(1).select(F.lit(1).cast("long").alias("node_id"), F.lit(None).cast("long").alias("parent_id"), F.array(F.lit("all")).alias("path"))
+    return members(nodes.unionByName(root), part.select(F.col("p_partkey").alias("id"), F.array(F.lit("all"), size, F.col("p_brand")).alias("path")))
+
+
+@query("SELECT label::BIGINT AS community, count(*) AS size, string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id) AS members FROM embeddings GROUP BY label")
+def community_members(s, d):
+    v = M.vectors(s, d)
+    return v.groupBy(F.col("label").alias("community")).agg(F.count(F.lit(1)).alias("size"), F.array_join(F.transform(F.sort_array(F.collect_list("id")), lambda x: x.cast("string")), ",").alias("members"))
+
+
+@query("WITH t AS (SELECT conv_id AS sentence_id, turn AS pos, role AS token, CASE WHEN role = 'system' THEN 'O' WHEN turn % 3 = 0 THEN 'B-' || (conv_id % 2) ELSE 'I-' || (conv_id % 2) END AS tag FROM conversations), k AS (SELECT *, CASE WHEN tag <> 'O' THEN split_part(tag, '-', 2) END AS kind FROM t), p AS (SELECT *, lag(kind) OVER (PARTITION BY sentence_id ORDER BY pos) AS prior FROM k), b AS (SELECT *, sum(CASE WHEN kind IS NOT NULL AND (tag[1] = 'B' OR prior IS NULL OR prior <> kind) THEN 1 ELSE 0 END) OVER (PARTITION BY sentence_id ORDER BY pos) AS span FROM p) SELECT sentence_id, span::BIGINT AS span, kind, min(pos) AS start, string_agg(token, ' ' ORDER BY pos) AS text FROM b WHERE kind IS NOT NULL GROUP BY sentence_id, span, kind")
+def bio_spans(s, d):
+    c = M.table(s, d, "conversations")
+    kind = (F.col("conv_id") % 2).cast("string")
+    tag = F.when(F.col("role") == "system", "O").when(F.col("turn") % 3 == 0, F.concat(F.lit("B-"), kind)).otherwise(F.concat(F.lit("I-"), kind))
+    return A.bio_spans(c.select(F.col("conv_id").alias("sentence_id"), F.col("turn").alias("pos"), F.col("role").alias("token"), tag.alias("tag")))
+
+
+@query("SELECT conv_id AS query_id, CASE WHEN length(t) <= 400 THEN t ELSE left(t, 386) || chr(10) || '[truncated]' END AS context FROM (SELECT conv_id, string_agg(left(text, 120), chr(10) ORDER BY turn) AS t FROM conversations GROUP BY conv_id)")
+def rendered_context(s, d):
+    c = M.table(s, d, "conversations")
+    return rescore.rendered(c.select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), F.left("text", F.lit(120)).alias("snippet")), 400)
+
+
+@query("SELECT CASE WHEN event_id % 50 = 0 THEN '(undecodable)' ELSE event_type END AS kind, count(*) AS n FROM events GROUP BY 1")
+def audit_read(s, d):
+    from palimpsest.operators.recipes import audit_counts
+
+    e = M.table(s, d, "events")
+    return audit_counts(e.select(F.when(F.col("event_id") % 50 == 0, "{broken").otherwise(F.to_json(F.struct(F.col("event_type").alias("kind"), "event_id"))).alias("value")))
+
+
+@query("SELECT role AS kind, count(*) AS n FROM conversations WHERE turn % 5 <> 4 GROUP BY role")
+def transcript_rows(s, d):
+    from palimpsest.operators.recipes import transcript
+
+    c = M.table(s, d, "conversations")
+    lines = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("seq"), F.when(F.col("turn") % 5 == 4, "not json {").otherwise(F.to_json(F.struct(F.col("role").alias("type"), "text"))).alias("value"))
+    return transcript(lines).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT source AS key, max(doc_id) AS id, arg_max(lang, doc_id) AS content FROM documents GROUP BY source ORDER BY 2 DESC LIMIT 8")
+def session_handover(s, d):
+    from palimpsest.operators.recipes import handover
+
+    return handover(M.table(s, d, "documents").select(F.col("source").alias("key"), F.col("doc_id").alias("id"), F.col("lang").alias("content")))
+
+
+@query(with_views("gr", recursive=True) + """, a AS (SELECT DISTINCT dst AS id, 1 AS path_len FROM ug WHERE src = 6000000001), b AS (SELECT DISTINCT ug.dst AS id, 2 AS path_len FROM a JOIN ug ON ug.src = a.id WHERE ug.dst <> 6000000001 AND ug.dst NOT IN (SELECT id FROM a)), n AS (SELECT * FROM a UNION ALL SELECT * FROM b)
+    SELECT id, path_len::BIGINT AS path_len, (SELECT count(*) FROM n) > 30 AS truncated FROM n ORDER BY path_len, id LIMIT 30""")
+def graph_listing(s, d):
+    from palimpsest.operators.recipes import listing
+
+    return listing(M.graph(s, d), 6_000_000_001, 2)
+
+
+@query("SELECT event_type AS topic, sum(CASE WHEN event_id % 3 = 0 THEN 0 ELSE 1 END)::BIGINT AS pending FROM events GROUP BY 1")
+def queue_depth(s, d):
+    from palimpsest.operators.recipes import status
+
+    return status(M.table(s, d, "events").select(F.col("event_type").alias("topic"), F.col("event_id").alias("offset"), (F.col("event_id") % 3 == 0).alias("done")))
+
+
+@query("SELECT s_suppkey AS id, left(sha256(trim(lower(regexp_replace(s_name, '\\s+', ' ', 'g'))) || '::supplier'), 32) AS entity_id, left(sha256(s_suppkey || chr(31) || 'in' || chr(31) || s_nationkey), 32) AS fact_id FROM supplier")
+def content_ids(s, d):
+    t = M.table(s, d, "supplier")
+    return t.select(F.col("s_suppkey").alias("id"), T.entity_id(F.col("s_name"), F.lit("supplier")).alias("entity_id"), T.fact_id(F.col("s_suppkey").cast("string"), F.lit("in"), F.col("s_nationkey").cast("string")).alias("fact_id"))
+
+
+@query("WITH a AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey AS subject, epoch_us(l_shipdate) // 1000 AS valid_from FROM lineitem WHERE l_orderkey % 50 = 0) SELECT id, CASE WHEN id % 4 = 0 THEN 1000 END AS sys_to, CASE WHEN id % 4 = 1 THEN 1000 ELSE valid_from END AS valid_from FROM a")
+def supersede_apply(s, d):
+    f = M.facts(s, d).where("id div 10 % 50 = 0").withColumns({"sys_from": F.col("valid_from"), "sys_to": F.lit(None).cast("long")})
+    pairs = f.where("id % 4 = 0").select(F.col("id").alias("loser"), (F.col("id") + 1).alias("winner")).union(f.where("id % 4 = 1").select((F.col("id") - 1).alias("loser"), F.col("id").alias("winner")))
+    return lifecycle.superseded(f, pairs, 1000).select("id", "sys_to", "valid_from")
+
+
+@query(with_views("knn_all", "kw") + """, nav AS (SELECT query_id, id, score, 'Vector' AS source_op FROM knn_all QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 20), l AS (SELECT * FROM nav UNION ALL SELECT query_id, id, score, 'Keyword' FROM (SELECT * FROM kw QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 30)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_op ORDER BY score DESC, id) AS rk FROM l), f AS (SELECT query_id, id, round(sum(1::DOUBLE / (60 + rk)), 6) AS score FROM r GROUP BY ALL) SELECT query_id, id, score FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 20""")
+def json_plan(s, d):
+    """A plan with a fallback: without edges a walk is a vector search."""
+    plan = {"op": "top", "n": 20, "input": {"op": "fuse_rrf", "input": {"op": "and", "left": {"op": "navigate", "index": "chunks", "k": 20}, "right": {"op": "keyword", "index": "chunks", "k": 30}}}}
+    return tree.compile_plan(plan, context(s, d)).select("query_id", "id", "score")
