@@ -8,9 +8,10 @@ candidates before each remaining pair is verified once on the shingles themselve
 
 Equal sets are one class; links and components are those of classes, and every document of a class has
 its class's component.  In each list of sets that share a prefix shingle, the sets of one length band are
-first verified against the band's first set.  What these links already join needs no more pairs; all
-other pairs of a list, between different components, are verified in a second round, so no link that
-matters for a component is lost and a large group of near copies does not give all its pairs.
+first verified against the band's first set.  What these links already join needs no more pairs.  Of the
+pairs of a list between different components a small share, drawn by hash, is verified next, then more,
+and at last all that are left, so no link that matters for a component is lost and a large group of near
+copies does not give all its pairs.
 
 Cases: null or empty texts and texts without words have no shingle and link with nothing; fewer words
 than a shingle has count as one shingle; repeated rows and copies fall into one class; rows with a null
@@ -19,7 +20,6 @@ id link with nothing and are their own component (null); other columns of the in
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,14 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.arrays import LOWER, U64, flat, mix, pack_sorted, shingles, span_hashes, squeeze, unpack_sorted, unsqueeze, word_spans
+from palimpsest.llm.arrays import LOWER, U64, flat, mix, pack_counts, ranges, shingles, span_hashes, squeeze, totals, unsqueeze, word_spans
 from palimpsest.llm.exchange import exchange
 from palimpsest.llm.shared import components, saved
 
 #: Bits of a shingle's hash by which it is counted; a collision can only make a shingle seem less rare.
 KEY_BITS = 46
-#: Hash classes of the suffix filter.
-CLASSES = 64
+#: Hash classes of the suffix filter, and a count that stands for any number.
+SKETCH, FULL = 512, 255
+#: Of a list's pairs between components, one in 512 is verified first, then 16 in 512, then all others;
+#: lists of up to SMALL sets are verified at once.
+LEVELS, SMALL = (1, 16, 512), 16
 #: Members of a list that one task compares with a set.
 BLOCK = 512
 
@@ -74,35 +77,20 @@ def link_sets(docs: DataFrame, words_each: int = 5, percent: int = 80, id_col: s
         keys, inverse, counts = np.unique(h[np.cumsum(inside[:-1], dtype=np.int64) > 0] >> U64(64 - KEY_BITS), return_inverse=True, return_counts=True)
         return h, bounds, n, cls, own, keys, inverse, counts
 
-    def dealt(keys: np.ndarray, n_buckets: int) -> np.ndarray:
-        """Bounds of the ranges of keys."""
-        edges = [-(-(b << KEY_BITS) // n_buckets) for b in range(n_buckets)]
-        return np.append(np.searchsorted(keys, np.array(edges, U64)), len(keys))
-
-    def send(table: pa.Table, n_buckets: int) -> Iterator[tuple[int, bytes]]:
+    def send(table: pa.Table, replies: dict[int, bytes], n_buckets: int) -> Iterator[tuple[int, bytes]]:
         *_, keys, _, counts = keyed(table)
-        cut = dealt(keys, n_buckets)
+        cut = ranges(keys, KEY_BITS, n_buckets)
         for b in range(n_buckets):
             if cut[b + 1] > cut[b]:
-                body = pack_sorted(keys[cut[b] : cut[b + 1]])
-                yield b, struct.pack("<q", len(body)) + body + squeeze(counts[cut[b] : cut[b + 1]].astype("<u4"))
+                yield b, pack_counts(keys[cut[b] : cut[b + 1]], counts[cut[b] : cut[b + 1]])
 
     def reduce(came: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
-        keys, counts = [], []
-        for _, blob in came:
-            size = struct.unpack_from("<q", blob)[0]
-            keys.append(unpack_sorted(blob[8 : 8 + size]))
-            counts.append(unsqueeze(blob[8 + size :], "<u4")[0])
-        _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(inverse, np.concatenate(counts))[inverse].clip(max=2**32 - 1).astype("<u4")
-        at = 0
-        for (pack, _), k in zip(came, keys, strict=True):
-            yield pack, squeeze(total[at : at + len(k)])
-            at += len(k)
+        for pack, total in totals(came):
+            yield pack, squeeze(total.clip(max=2**32 - 1).astype("<u4"))
 
     def finish(table: pa.Table, replies: dict[int, bytes], n_buckets: int) -> pa.Table:
         h, bounds, n, cls, own, keys, inverse, _ = keyed(table)
-        cut = dealt(keys, n_buckets)
+        cut = ranges(keys, KEY_BITS, n_buckets)
         total = np.ones(len(keys), np.uint32)
         for b, blob in replies.items():
             total[cut[b] : cut[b + 1]] = unsqueeze(blob, "<u4")[0]
@@ -125,8 +113,7 @@ def link_sets(docs: DataFrame, words_each: int = 5, percent: int = 80, id_col: s
 
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = saved(exchange(rows, send, reduce, finish, f"id {kind}, n long, cls long, alone long, toks binary", 0.7))
-    members = sets.select("id", F.col("n").alias("n_shingles"), F.col("cls").alias("class"))
+    sets = saved(exchange(rows, [(send, reduce)], finish, f"id {kind}, n long, cls long, alone long, toks binary", 0.7))
     # The sets that others may resemble, once each, with what the filters need.
     classes = sets.where("toks IS NOT NULL AND id IS NOT NULL").dropDuplicates(["cls"]).select("cls", "n", "alone", "toks")
 
@@ -152,39 +139,102 @@ def link_sets(docs: DataFrame, words_each: int = 5, percent: int = 80, id_col: s
     hubs = entries.groupBy("tok", "band").agg(F.min(F.struct("n", "cls", "pos")).alias("hub"))
     near = entries.join(hubs, ["tok", "band"]).select("*", F.col("hub.n").alias("n2"), F.col("hub.cls").alias("cls2"), F.col("hub.pos").alias("pos2"))
     first = saved(near.where("cls <> cls2").where(possible).select(*pair).distinct())
-    links = verified(first, classes, percent)
-    joined = components(links)
+    sketches = saved(classes.select("cls", "n", "toks").mapInArrow(sketched, "cls long, n long, sketch binary"))
+    links = verified(saved(sifted(first, sketches, percent)), classes, percent)
+
+    # Later rounds: pairs of a list whose sets are in different components, a growing share of them at a time.
+    for level in range(len(LEVELS)):
+        placed = entries.join(components(links).select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("comp", F.coalesce("component", "cls"))
+        parts = placed.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("k"))
+        main = parts.groupBy("tok").agg(F.max(F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("tok", F.col("main.comp").alias("main"))
+        mixed = saved(placed.join(main, "tok").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).select("tok", "cls", "n", "pos", "m", "comp", "main", "blocks"))
+        # A set outside the list's main component is compared with every block of the list.
+        members = mixed.withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int")).withColumn("probe", F.lit(False))
+        probes = mixed.where("comp <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("probe", F.lit(True))
+        columns = ["tok", "block", "probe", "cls", "n", "pos", "m", "comp"]
+        both = members.select(columns).union(probes.select(columns)).join(sketches.select("cls", "sketch"), "cls")
+        n_tasks = max(1, mixed.count() // 20_000)
+        pairs = both.groupBy(F.pmod(F.xxhash64("tok", "block"), F.lit(n_tasks)).alias("task")).applyInArrow(crossing(percent, level), "a long, b long")
+        links = saved(links.union(verified(saved(pairs.distinct()), classes, percent)))
+    return members_of(sets), links
+
+
+def members_of(sets: DataFrame) -> DataFrame:
+    return sets.select("id", F.col("n").alias("n_shingles"), F.col("cls").alias("class"))
+
+
+def most_shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Upper bounds of the overlaps of sets from rows of their sketches; a full sketch bounds nothing."""
+    most = np.minimum(x, y).sum(1, dtype=np.int64)
+    return np.where((x[:, 0] == FULL) & (y[:, 0] == FULL), np.iinfo(np.int64).max >> 8, most)
+
+
+def similar_enough(shared: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    return (percent + 100) * shared.astype(np.float64) >= percent * (n + m).astype(np.float64)
+
+
+def crossing(percent: int, level: int):
+    """The pairs of a list's different components that pass the length, positional and suffix filters and belong to this level."""
+
+    def of_tasks(key: tuple, table: pa.Table) -> pa.Table:
+        tok, block, probe = (table[c].to_numpy() for c in ("tok", "block", "probe"))
+        order = np.lexsort((probe, block, tok))
+        cls, n, pos, m, comp = (table[c].to_numpy()[order] for c in ("cls", "n", "pos", "m", "comp"))
+        tok, block, probe = tok[order], block[order], probe[order]
+        sketch = np.frombuffer(b"".join(table["sketch"].take(pa.array(order)).to_pylist()), np.uint8).reshape(-1, SKETCH)
+        cuts = np.flatnonzero(np.append(True, (tok[1:] != tok[:-1]) | (block[1:] != block[:-1])))
+        found = []
+        for lo, hi in zip(cuts, [*cuts[1:], len(tok)], strict=True):
+            split = lo + int(np.searchsorted(probe[lo:hi], True))
+            for p in range(split, hi):
+                q = np.arange(lo, split)
+                q = q[(comp[q] != comp[p]) & (np.minimum(n[q], n[p]) * 100 >= np.maximum(n[q], n[p]) * percent)]
+                needed = -(-percent * (n[q] + n[p]) // (100 + percent))
+                q = q[np.minimum(n[q] - pos[q], n[p] - pos[p]) >= needed]
+                a, b = np.minimum(cls[q], cls[p]), np.maximum(cls[q], cls[p])
+                with np.errstate(over="ignore"):
+                    draw = mix(a.view(U64) ^ mix(b.view(U64))) % U64(LEVELS[-1])
+                mine = (np.searchsorted(LEVELS, draw, "right") if m[p] > SMALL else np.zeros(len(q), int)) == level
+                q, a, b = q[mine], a[mine], b[mine]
+                for k in range(0, len(q), 4096):
+                    ok = similar_enough(most_shared(sketch[q[k : k + 4096]], sketch[p : p + 1]), n[q[k : k + 4096]], n[p], percent)
+                    found.append(np.stack([a[k : k + 4096][ok], b[k : k + 4096][ok]]))
+        pairs = np.unique(np.hstack(found), axis=1) if found else np.zeros((2, 0), np.int64)
+        return pa.table({"a": pairs[0], "b": pairs[1]})
+
+    return of_tasks
+
+
+def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles of a set fall into each hash class; those that no other set has are left out."""
+    for batch in batches:
+        out = []
+        for x in batch.column(2).to_pylist():
+            counts = np.bincount((np.frombuffer(x, "<u8") % U64(SKETCH)).astype(np.int64), minlength=SKETCH)
+            out.append((counts if counts.max() < FULL else np.full(SKETCH, FULL)).astype(np.uint8).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["cls", "n", "sketch"])
+
+
+def sifted(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs that pass the suffix filter."""
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n, m = (batch.column(i).to_numpy() for i in range(4))
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH) for i in (4, 5))
+            ok = similar_enough(most_shared(x, y), n, m, percent)
+            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
 
-    # Second round: pairs of a list whose sets are in different components.
-    placed = entries.join(joined.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("comp", F.coalesce("component", "cls"))
-    parts = placed.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("k"))
-    main = parts.groupBy("tok").agg(F.max(F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("tok", F.col("main.comp").alias("main"))
-    mixed = saved(placed.join(main, "tok").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).select("tok", "cls", "n", "pos", "comp", "main", "blocks"))
-    dealt_out = mixed.withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
-    probes = mixed.where("comp <> main").select("tok", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("comp").alias("comp2"))
-    more = dealt_out.join(probes, ["tok", "block"]).where("comp <> comp2").where(possible).select(*pair).distinct()
-    more = saved(more.join(first, ["a", "b"], "left_anti"))
-    return members, links.union(verified(more, classes, percent))
+    joined = pairs.join(side(sketches, "a", "n", "sketch"), "a").join(side(sketches, "b", "n", "sketch"), "b")
+    return joined.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(passing, "a long, b long")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The candidate pairs that are similar enough: the suffix filter, then the shared shingles themselves."""
+def side(df: DataFrame, c: str, *more: str) -> DataFrame:
+    return df.select(F.col("cls").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in more))
 
-    def with_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = np.array(batch.column(1).to_pylist(), np.int64)
-            toks = [np.frombuffer(x, "<u8") for x in batch.column(2).to_pylist()]
-            # shingles that no other set has count for neither side
-            held = [np.bincount((x % U64(CLASSES)).astype(np.int64), minlength=CLASSES).astype("<u4").tobytes() for x in toks]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(held, pa.binary())], names=["cls", "n", "held"])
 
-    def sifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, n, m = (batch.column(i).to_numpy() for i in range(4))
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(-1, CLASSES) for i in (4, 5))
-            most = np.minimum(x, y).sum(1, dtype=np.int64)
-            ok = 100 * most >= percent * (n + m - most)
-            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
+def verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose shingles are similar enough."""
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,12 +246,7 @@ def verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                 ok.append(100 * same >= percent * (n[i] + m[i] - same))
             yield pa.RecordBatch.from_arrays([pa.array([v for v, o in zip(x, ok, strict=True) if o], pa.int64()) for x in (a, b)], names=["a", "b"])
 
-    needed = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    of = classes.join(needed, "cls")
-    counts = of.select("cls", "n", "toks").mapInArrow(with_counts, "cls long, n long, held binary")
-    side = lambda df, c, *more: df.select(F.col("cls").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in more))
-    kept = pairs.join(side(counts, "a", "n", "held"), "a").join(side(counts, "b", "n", "held"), "b").select("a", "b", "n_a", "n_b", "held_a", "held_b").mapInArrow(sifted, "a long, b long")
-    both = saved(kept).join(side(classes, "a", "n", "toks"), "a").join(side(classes, "b", "n", "toks"), "b")
+    both = pairs.join(side(classes, "a", "n", "toks"), "a").join(side(classes, "b", "n", "toks"), "b")
     return saved(both.select("a", "b", "n_a", "n_b", "toks_a", "toks_b").mapInArrow(checked, "a long, b long"))
 
 

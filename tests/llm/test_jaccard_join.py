@@ -61,6 +61,7 @@ def test_against_all_pairs(spark):
 
 def test_second_round_and_packs(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    monkeypatch.setattr(jaccard_join, "SMALL", 2)
     plain = jaccard_join.exchange
     monkeypatch.setattr(jaccard_join, "exchange", lambda *a: plain(*a, pack_bytes=3000, bucket_bytes=4000))
     rows = corpus(3)
