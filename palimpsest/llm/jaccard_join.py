@@ -148,12 +148,15 @@ def link_sets(docs: DataFrame, words_each: int = 5, percent: int = 80, id_col: s
         parts = placed.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("k"))
         main = parts.groupBy("tok").agg(F.max(F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("tok", F.col("main.comp").alias("main"))
         mixed = saved(placed.join(main, "tok").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).select("tok", "cls", "n", "pos", "m", "comp", "main", "blocks"))
+        n_mixed = mixed.count()
+        if not n_mixed:  # every list lies within one component: no pair is left
+            break
         # A set outside the list's main component is compared with every block of the list.
         members = mixed.withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int")).withColumn("probe", F.lit(False))
         probes = mixed.where("comp <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("probe", F.lit(True))
         columns = ["tok", "block", "probe", "cls", "n", "pos", "m", "comp"]
         both = members.select(columns).union(probes.select(columns)).join(sketches.select("cls", "sketch"), "cls")
-        n_tasks = max(1, mixed.count() // 20_000)
+        n_tasks = n_mixed // 20_000 + 1
         pairs = both.groupBy(F.pmod(F.xxhash64("tok", "block"), F.lit(n_tasks)).alias("task")).applyInArrow(crossing(percent, level), "a long, b long")
         links = saved(links.union(verified(saved(pairs.distinct()), classes, percent)))
     return members_of(sets), links
