@@ -340,7 +340,7 @@ def _seeds(s, d):
     return M.table(s, d, "customer").where("c_custkey BETWEEN 1 AND 3").select(F.lit(0).cast("long").alias("query_id"), (F.col("c_custkey") + 1_000_000_000).alias("id"), F.when(F.col("c_custkey") == 2, 0.5).otherwise(0.9).alias("confidence"))
 
 
-@query(WALK + " SELECT seed, node, path_len FROM w")
+@query(WALK + " SELECT seed, node, path_len::BIGINT AS path_len FROM w")
 def graph_bfs_2hop(s, d):
     return graph.walk(_seeds(s, d), M.graph(s, d), 2).select("seed", "node", F.col("path_len").cast("long").alias("path_len"))
 
@@ -765,7 +765,7 @@ def session_expand(s, d):
     return whole_sessions(hits, c.select(F.col("conv_id").alias("session"), "turn")).select("query_id", "session", "turn", F.col("place").cast("long").alias("place"))
 
 
-@query("WITH n AS (SELECT 100000 + p_size AS id, p_size FROM part GROUP BY p_size) SELECT 100000 + p_size AS parent, p_partkey AS child, TRUE AS is_leaf FROM part UNION ALL SELECT 1, id, FALSE FROM n")
+@query("WITH n AS (SELECT 100000 + p_size AS id, p_size FROM part GROUP BY p_size) SELECT (100000 + p_size)::BIGINT AS parent, p_partkey AS child, TRUE AS is_leaf FROM part UNION ALL SELECT 1::BIGINT, id, FALSE FROM n")
 def raptor_members(s, d):
     from palimpsest.operators.recipes import raptor_members as members
 
@@ -841,7 +841,7 @@ def content_ids(s, d):
     return t.select(F.col("s_suppkey").alias("id"), T.entity_id(F.col("s_name"), F.lit("supplier")).alias("entity_id"), T.fact_id(F.col("s_suppkey").cast("string"), F.lit("in"), F.col("s_nationkey").cast("string")).alias("fact_id"))
 
 
-@query("WITH a AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey AS subject, epoch_us(l_shipdate) // 1000 AS valid_from FROM lineitem WHERE l_orderkey % 50 = 0) SELECT id, CASE WHEN id % 4 = 0 THEN 1000 END AS sys_to, CASE WHEN id % 4 = 1 THEN 1000 ELSE valid_from END AS valid_from FROM a")
+@query("WITH a AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey AS subject, epoch_us(l_shipdate) // 1000 AS valid_from FROM lineitem WHERE l_orderkey % 50 = 0) SELECT id, CASE WHEN id % 4 = 0 THEN 1000::BIGINT END AS sys_to, CASE WHEN id % 4 = 1 THEN 1000 ELSE valid_from END AS valid_from FROM a")
 def supersede_apply(s, d):
     f = M.facts(s, d).where("id div 10 % 50 = 0").withColumns({"sys_from": F.col("valid_from"), "sys_to": F.lit(None).cast("long")})
     pairs = f.where("id % 4 = 0").select(F.col("id").alias("loser"), (F.col("id") + 1).alias("winner")).union(f.where("id % 4 = 1").select((F.col("id") - 1).alias("loser"), F.col("id").alias("winner")))

@@ -23,7 +23,7 @@ def clamp_k(k: int) -> int:
 def top(hits: DataFrame, n: int, *by: str) -> DataFrame:
     """The n best of each query with their rank; the limit is applied before the shuffle, too."""
     w = Window.partitionBy(*(by or ("query_id",))).orderBy(F.desc("score"), "id")
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).withColumn("rank", F.col("rank").cast("long"))
 
 
 def knn_eligible(vector: str = "embedding"):
