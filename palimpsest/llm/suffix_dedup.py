@@ -137,8 +137,8 @@ def earlier_factor(rank: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, carried: list[str] | None = None) -> DataFrame:
-    """Returns id_col, n_bytes, n_removed, n_spans, kept_sha256 and, with_text, the text that is left; then the columns carried along.
+def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, carried: list[str] | None = None, renamed: bool = True) -> DataFrame:
+    """Returns id_col, n_bytes, n_removed, n_spans, kept_sha256 and, with_text, the text that is left; then the columns carried along, under names _c0, _c1, .. if not renamed.
 
     with_text decodes what is left as UTF-8; characters cut apart are dropped from the text (the hash is
     that of the bytes).
@@ -273,16 +273,23 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
 
     more = carried or []
     kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(more)))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(more)))
     schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text + "".join(f", _c{i} {dict(docs.dtypes)[c]}" for i, c in enumerate(more))
-    return exchange(rows, [(ask_holders, tell_shared), (send_runs, find_repeats)], finish, schema, 1.5).withColumnRenamed("id", id_col).withColumnsRenamed({f"_c{i}": c for i, c in enumerate(more)})
+    out = exchange(rows, [(ask_holders, tell_shared), (send_runs, find_repeats)], finish, schema, 1.5).withColumnRenamed("id", id_col)
+    return out.withColumnsRenamed({f"_c{i}": c for i, c in enumerate(more)}) if renamed else out
 
 
 def cleaned(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with each text less its repeats; a document of which nothing is left stays, empty, and null texts stay null. A column n_chars follows the text."""
     others = [c for c in docs.columns if c not in (id_col, text_col)]
-    out = remove_repeats(docs.withColumn("_null", F.col(text_col).isNull()), width, id_col, text_col, with_text=True, carried=[*others, "_null"])
-    out = out.withColumn(text_col, F.when(~F.col("_null"), F.col("kept_text")))
-    if "n_chars" in others:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length(text_col)).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(docs.columns)
+    rows = docs.select(id_col, text_col, *others, F.col(text_col).isNull().alias("is null"))
+    out = remove_repeats(rows, width, id_col, text_col, with_text=True, carried=[*others, "is null"], renamed=False)
+    text = F.when(~F.col(f"_c{len(others)}"), F.col("kept_text"))
+
+    def column(c: str):
+        if c in (id_col, text_col):
+            return F.col(id_col) if c == id_col else text.alias(c)
+        own = F.col(f"_c{others.index(c)}")
+        return (F.when(F.col("n_removed") > 0, F.length(text)).otherwise(own).cast(dict(docs.dtypes)[c]) if c == "n_chars" else own).alias(c)
+
+    return out.select(*map(column, docs.columns))

@@ -66,3 +66,11 @@ def test_steps_within_a_text(spark):
 
 def test_empty_table(spark):
     assert got(spark, []) == []
+
+
+def test_cleaned_keeps_rows_and_columns(spark):
+    rows = [(1, "x" * 60, 60, 7), (2, "x" * 60, 60, 8), (3, None, None, 9), (4, "ab" + "x" * 55, 57, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, n_removed long").selectExpr("*", "'k' AS kept_text")
+    got = suffix_dedup.cleaned(df)
+    assert got.columns == df.columns and got.dtypes == df.dtypes
+    assert sorted(map(tuple, got.collect())) == [(1, "x" * 60, 60, 7, "k"), (2, "", 0, 8, "k"), (3, None, None, 9, "k"), (4, "ab", 2, None, "k")]
