@@ -234,6 +234,13 @@ def bpe_of(blob: bytes, pattern: str) -> ByteBpe:
     return _built[key]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches in smaller parts, so that what a worker makes of one stays small; an empty batch stays."""
+    for batch in batches:
+        for i in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(i, rows)
+
+
 def texts_of(column: pa.Array) -> Iterator[str]:
     """The texts of an Arrow column one by one, null as empty."""
     for x in column.cast(pa.large_binary()):
@@ -251,7 +258,7 @@ def encode_documents(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = bpe_of(held.value, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             counts, shas, decoded, packed = [], [], [], []
             for text in texts_of(batch.column(1)):
                 ids = bpe.encode(text)

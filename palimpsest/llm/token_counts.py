@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.byte_bpe import ByteBpe, bpe_of, texts_of
+from palimpsest.llm.byte_bpe import ByteBpe, bpe_of, slices, texts_of
 
 #: Pre-tokens of a leaf.
 LEAF = 64
@@ -120,7 +120,7 @@ def build_trees(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = bpe_of(held.value, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             made = [leaves(bpe, t) for t in texts_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([int(t.sum()) for _, t in made], pa.int64()), pa.array([c for c, _ in made], pa.list_(pa.int32())), pa.array([t for _, t in made], pa.list_(pa.int32()))], names=["id", "text", "n_tokens", "leaf_chars", "leaf_tokens"])
 
@@ -139,7 +139,7 @@ def apply_edits(trees: DataFrame, vocabulary: bytes, pattern: str, edits_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = bpe_of(held.value, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             counts, after, again, texts, chars, tokens = [], [], [], [], [], []
             for i, edits in enumerate(batch.column(5).to_pylist()):
                 counts.append(len(edits or []))
@@ -173,7 +173,7 @@ def edits_by_rule(rows: DataFrame, rules: list[tuple[str, str]], text_col: str =
     compiled = [(re.compile(p), new) for p, new in rules]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             where = batch.schema.get_field_index(text_col)
             out = []
             for text in batch.column(where).to_pylist():
