@@ -391,7 +391,7 @@ def cooccurrence_edges(s, d):
 
 @query()
 def label_propagation(s, d):
-    edges = M.table(s, d, "lineitem").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 10_000_000).alias("b")).where("a % 10 = 0").distinct()
+    edges = M.table(s, d, "lineitem").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 10_000_000).alias("b")).distinct()
     return graph.label_propagation(edges.join(graph.components(edges).withColumnRenamed("node", "a"), "a"))
 
 
@@ -478,7 +478,7 @@ def truncate_payload(s, d):
 
 @query(with_views("fa") + " SELECT id, CASE WHEN confidence > 0.98::DOUBLE THEN 'empty_predicate' WHEN confidence < 0.92::DOUBLE THEN 'confidence_range' WHEN object % 7 = 0 THEN 'invalid_interval' END AS reason FROM fa WHERE subject % 20 = 0")
 def validate_intervals(s, d):
-    f = M.facts(s, d).where("subject % 20 = 0")
+    f = M.facts(s, d)
     f = f.withColumns({"predicate": F.when(F.col("confidence") > 0.98, " ").otherwise(F.col("predicate")), "valid_to": F.when(F.col("object") % 7 == 0, F.col("valid_from")).otherwise(F.col("valid_to")), "confidence": F.when(F.col("confidence") < 0.92, -F.col("confidence")).otherwise(F.col("confidence"))})
     return lifecycle.validated(f).select("id", "reason")
 
@@ -843,7 +843,7 @@ def content_ids(s, d):
 
 @query("WITH a AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey AS subject, epoch_us(l_shipdate) // 1000 AS valid_from FROM lineitem WHERE l_orderkey % 50 = 0) SELECT id, CASE WHEN id % 4 = 0 THEN 1000::BIGINT END AS sys_to, CASE WHEN id % 4 = 1 THEN 1000 ELSE valid_from END AS valid_from FROM a")
 def supersede_apply(s, d):
-    f = M.facts(s, d).where("id div 10 % 50 = 0").withColumns({"sys_from": F.col("valid_from"), "sys_to": F.lit(None).cast("long")})
+    f = M.facts(s, d).withColumns({"sys_from": F.col("valid_from"), "sys_to": F.lit(None).cast("long")})
     pairs = f.where("id % 4 = 0").select(F.col("id").alias("loser"), (F.col("id") + 1).alias("winner")).union(f.where("id % 4 = 1").select((F.col("id") - 1).alias("loser"), F.col("id").alias("winner")))
     return lifecycle.superseded(f, pairs, 1000).select("id", "sys_to", "valid_from")
 
