@@ -612,7 +612,7 @@ STOP = ", ".join(f"'{x}'" for x in A.STOPWORDS)
     b AS (SELECT list_filter(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)), lambda x: x NOT IN ({STOP})) AS w FROM benchmark), bg AS (SELECT DISTINCT array_to_string(w[i:i + 4], ' ') AS gram FROM (SELECT w, unnest(range(1, len(w) - 3)) AS i FROM b WHERE len(w) >= 5))
     SELECT DISTINCT id FROM one WHERE gram IN (SELECT gram FROM bg)""")
 def citation_ngrams(s, d):
-    docs = M.table(s, d, "documents").where("n_chars < 1500").select(F.col("doc_id").alias("id"), "text")
+    docs = M.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
     return A.cited(docs, M.table(s, d, "benchmark").select("text"))
 
 

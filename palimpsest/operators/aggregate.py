@@ -108,17 +108,17 @@ STOPWORDS = (
 ).split()
 
 
-def citation_grams(memories: DataFrame, n: int = 5) -> DataFrame:
-    """Distinctive n-grams (id, gram): those of one memory (id, text) only."""
+def citation_grams(memories: DataFrame, n: int = 5, among: DataFrame | None = None) -> DataFrame:
+    """Distinctive n-grams (id, gram): those of one memory (id, text) only. among: the only grams (gram) that are asked for."""
     w = F.filter(F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0)), F.lower), lambda x: ~x.isin(*STOPWORDS))
-    grams = memories.select("id", w.alias("w")).where(F.size("w") >= n).select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, n), " ")))).alias("gram")).distinct()
+    grams = memories.select("id", w.alias("w")).where(F.size("w") >= n).select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, n), " ")))).alias("gram"))
+    grams = (grams if among is None else grams.join(among, "gram", "left_semi")).distinct()
     return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("id")).where("_n = 1").select("id", "gram")
 
 
 def cited(memories: DataFrame, answers: DataFrame, n: int = 5) -> DataFrame:
     """Memories one of whose distinctive n-grams an answer has."""
-    said = citation_all(answers, n)
-    return citation_grams(memories, n).join(said, "gram", "left_semi").select("id").distinct()
+    return citation_grams(memories, n, citation_all(answers, n)).select("id").distinct()
 
 
 def citation_all(texts: DataFrame, n: int = 5) -> DataFrame:
