@@ -205,7 +205,7 @@ RERANK = with_views("kw") + """, pool AS (SELECT k.query_id, k.id, terms, list_d
 
 def _pool(s, d):
     q = M.query_texts(s, d).withColumnRenamed("text", "query_text")
-    return _legs(s, d)[1].join(q, "query_id").join(M.chunks(s, d).select("id", "text"), "id")
+    return _legs(s, d)[1].join(q, "query_id").join(M.episodes(s, d).select("id", F.col("content").alias("text")), "id")
 
 
 @query(RERANK + " SELECT * FROM sc")
