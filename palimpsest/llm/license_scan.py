@@ -3,9 +3,10 @@
 Texts are lower-cased words without outer punctuation; a template matches where a window of the text holds
 at least `contained` of the template's word shingles.  Windows of a template's size class (twice the next
 power of two of its words) overlap by half, so any occurrence lies whole in one of them.  MinHash bands of
-one row retrieve templates for a window: a window that holds 0.8 of a template's shingles has a Jaccard
-similarity of 0.19 or more with it, so that of 64 bands at least one agrees with probability above
-1 - 2e-6.  Retrieved pairs are then verified by exact shingle containment.
+one row retrieve templates for a window.  A size class has as many bands as its worst template needs: from
+the least Jaccard similarity of a full window that holds `contained` of the template's shingles (1/12 for
+five words), so many that none agrees with a probability of `missed` at most.  Retrieved pairs are then
+verified by exact shingle containment.
 
 A window without any shingle of any template can not match; only windows around shared shingles are hashed,
 so clean text costs one pass over its shingles and nothing is shuffled but matches.  The templates are a
@@ -18,6 +19,8 @@ table gives an empty result; the input's other columns play no part.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,8 +46,15 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), SPLIT), "")
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, contained: float = 0.8, words_each: int = 5, bands: int = 64, seed: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Returns id_col, license, containment (the best window's) and first_word (that window's first word, from 0), a row for each license of a document."""
+def bands_needed(shingles: int, held: int, contained: float, missed: float) -> int:
+    """Bands of one row after which a window of `held` shingles that holds enough of a template's is missed with probability `missed`."""
+    both = max(1, math.ceil(contained * shingles - 1e-9))
+    jaccard = both / max(shingles, held + shingles - both)
+    return 1 if jaccard >= 1 else math.ceil(math.log(missed) / math.log(1 - jaccard))
+
+
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, contained: float = 0.8, words_each: int = 5, bands: int = 64, seed: int = 3, id_col: str = "doc_id", text_col: str = "text", missed: float = 2e-6) -> DataFrame:
+    """bands: of a size class, at least; more where `missed` needs them. Returns id_col, license, containment (the best window's) and first_word (that window's first word, from 0), a row for each license of a document."""
     templates = TEMPLATES if templates is None else templates
     spark = docs.sparkSession
     hashed = lambda words: let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - (words_each - 1)), lambda i: F.xxhash64(F.slice(h, i, words_each))))
@@ -53,6 +63,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, contained: fl
     if short := [name for name, n, _ in known if n < words_each]:
         raise ValueError(f"templates of fewer than {words_each} words: {short}")
     size_class = {name: 2 << max(0, n - 1).bit_length() for name, n, _ in known}
+    bands_of = dict.fromkeys(size_class.values(), bands)
+    for name, _, s in known:
+        z = size_class[name]
+        bands_of[z] = max(bands_of[z], bands_needed(len(s), z - (words_each - 1), contained, missed))
     table = spark.createDataFrame([(name, size_class[name], s) for name, _, s in known], "license string, size int, template array<long>")
     every = sorted({s for _, _, x in known for s in x})
 
@@ -72,9 +86,14 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, contained: fl
     windows = F.flatten(F.array(*map(windows_of, sorted(set(size_class.values())))))
     rows = rows.withColumn("w", F.explode(windows)).select("id", F.col("w.size").alias("size"), F.col("w.start").alias("start"), F.array_distinct(F.slice("shingles", F.col("w.start") + 1, F.greatest(F.col("w.size") - (words_each - 1), F.lit(1)))).alias("held"))
 
+    n_bands = F.lit(bands)
+    for z, n in bands_of.items():
+        n_bands = F.when(F.col("size") == z, n).otherwise(n_bands)
+
     def least(held: Column) -> Column:
         one = lambda b: F.array_min(F.transform(held, lambda x: F.xxhash64(x, F.lit(seed * 1000 + b))))
-        return F.array(*[F.struct(F.lit(b).alias("band"), one(b).alias("least")) for b in range(bands)])
+        every = [F.struct(F.lit(b).alias("band"), one(b).alias("least")) for b in range(max(bands_of.values(), default=bands))]
+        return F.array_compact(F.array(*[F.when(n_bands > b, x) for b, x in enumerate(every)]))
 
     banded = rows.withColumn("m", F.explode(least(F.col("held")))).select("id", "size", "start", "held", F.col("m.band").alias("band"), F.col("m.least").alias("least"))
     of_templates = table.withColumn("m", F.explode(least(F.col("template")))).select("license", "size", "template", F.col("m.band").alias("band"), F.col("m.least").alias("least"))
