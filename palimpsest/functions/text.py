@@ -75,9 +75,30 @@ def is_hybrid_shape(text: Column) -> Column:
     return F.size(entity_like(text)) > 0
 
 
+def _starts_character(body: Column, place) -> Column:
+    """Whether the byte at a place (from 1) begins a character, or lies behind the end."""
+    return ~F.hex(F.substring(body, place, 1)).rlike("^[89AB]")
+
+
+def byte_prefix(text: Column, most: int) -> Column:
+    """The longest beginning of whole characters in at most so many bytes."""
+    body, out = text.cast("binary"), F.when(F.octet_length(text) <= most, text)
+    for back in range(min(4, most + 1)):
+        out = out.when(_starts_character(body, most - back + 1), F.substring(body, 1, most - back).cast("string"))
+    return out
+
+
+def byte_suffix(text: Column, most: int) -> Column:
+    """The longest end of whole characters in at most so many bytes."""
+    body, n, out = text.cast("binary"), F.octet_length(text), F.when(F.octet_length(text) <= most, text)
+    for skip in range(min(4, most + 1)):
+        out = out.when(_starts_character(body, n - (most - skip - 1)), F.substring(body, n - (most - skip - 1), F.lit(most - skip)).cast("string"))
+    return out
+
+
 def truncated_payload(text: Column, above: int = 128 * 1024, head: int = 64 * 1024, tail: int = 32 * 1024) -> Column:
-    """Payloads of more bytes keep their head and tail."""
-    return F.when(F.octet_length(text) <= above, text).otherwise(F.concat(F.left(text, F.lit(head)), F.lit("…elided…"), F.right(text, F.lit(tail))))
+    """Payloads of more bytes keep their head and tail, each as many whole characters as its bytes allow."""
+    return F.when(F.octet_length(text) <= above, text).otherwise(F.concat(byte_prefix(text, head), F.lit("…elided…"), byte_suffix(text, tail)))
 
 
 #: What is redacted from captured text, in this order.

@@ -29,21 +29,23 @@ def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One chunk for each episode, with its id."""
-    return episodes(spark, sf_dir).select("id", F.col("id").alias("episode_id"), F.left("content", F.lit(200)).alias("text"), "source", "sys_from", "sys_to")
+    return episodes(spark, sf_dir).select("id", F.col("id").alias("episode_id"), F.col("content").alias("text"), "source", "sys_from", "sys_to")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.col("label").cast("long").alias("label"))
 
 
-def query_vectors(spark: SparkSession, sf_dir: str, n: int = 8) -> DataFrame:
-    return vectors(spark, sf_dir).where(F.col("id") < n).select(F.col("id").alias("query_id"), "embedding")
+def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated queries: every vector whose id is divisible by a hundred, numbered from 0."""
+    return vectors(spark, sf_dir).where(F.col("id") % 100 == 0).select(F.expr("id div 100").alias("query_id"), "embedding")
 
 
-def query_texts(spark: SparkSession, sf_dir: str, n: int = 8) -> DataFrame:
+def query_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five terms of every benchmark item."""
     from palimpsest.functions.text import tokens
 
-    return table(spark, sf_dir, "benchmark").where(F.col("item_id") < n).select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.array_distinct(tokens(F.col("text"))), 1, 5), " ").alias("text"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.array_distinct(tokens(F.col("text"))), 1, 5), " ").alias("text"))
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,10 +78,10 @@ def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same views as SQL.
 SQL = {
     "ep": f"ep AS (SELECT doc_id AS id, lang AS scope, 'doc:' || source || '/' || doc_id AS source, text AS content, {START} + doc_id * {HOUR} AS valid_from, CASE WHEN doc_id % 5 = 0 THEN {START} + (doc_id + 720) * {HOUR} END AS valid_to, {START} + (doc_id + 24) * {HOUR} AS sys_from, CASE WHEN doc_id % 17 = 0 THEN {START} + (doc_id + 240) * {HOUR} END AS sys_to FROM documents)",
-    "qv": "qv AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 8)",
+    "qv": "qv AS (SELECT vec_id // 100 AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0)",
     "knn_all": "knn_all AS (SELECT query_id, vec_id AS id, label, round(1 / (1 + greatest(1 - list_cosine_similarity(embedding::DOUBLE[], v), 0)), 6) AS score FROM embeddings, qv)",
     "knn": "knn AS (SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM knn_all) WHERE r <= 30)",
-    "qt": "qt AS (SELECT item_id AS query_id, list_distinct(terms) AS terms FROM (SELECT item_id, list_transform(list_filter(list_transform(range(len(t)), lambda i: {'i': i, 'x': t[i + 1]}), lambda p: list_position(t, p.x) = p.i + 1), lambda p: p.x)[1:5] AS terms FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM benchmark WHERE item_id < 8)))",
+    "qt": "qt AS (SELECT item_id AS query_id, list_distinct(terms) AS terms FROM (SELECT item_id, list_transform(list_filter(list_transform(range(len(t)), lambda i: {'i': i, 'x': t[i + 1]}), lambda p: list_position(t, p.x) = p.i + 1), lambda p: p.x)[1:5] AS terms FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM benchmark)))",
     "bm": """tk AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents),
         cs AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tk), asked AS (SELECT query_id, unnest(terms) AS term FROM qt),
         ex AS (SELECT id, len(t) AS dl, unnest(t) AS term FROM tk), tf AS (SELECT id, dl, term, count(*) AS tf FROM ex WHERE term IN (SELECT term FROM asked) GROUP BY ALL),

@@ -137,7 +137,7 @@ def descendants_summary(chunks: DataFrame, by: str, order: str, most: int = 2048
     """First sentences of a section's chunks, joined and cut to a number of bytes that are whole characters."""
     parts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, first_sentence(F.col("text")).alias("s")))), lambda x: x["s"]), " ")
     text = F.when(F.trim(parts) == "", F.lit("[empty section]")).otherwise(parts)
-    return chunks.groupBy(by).agg(F.when(F.octet_length(text) <= most, text).otherwise(F.left(text, F.lit(most // 4))).alias("summary"))
+    return chunks.groupBy(by).agg(T.byte_prefix(text, most).alias("summary"))
 
 
 def embedded(rows: DataFrame, embed: Callable[[list[str]], list[list[float]]], text_col: str = "text", batch: int = 32) -> DataFrame:

@@ -15,12 +15,11 @@ from pyspark.sql import functions as F
 
 from palimpsest.model import millis
 from palimpsest.operators import lifecycle
-from palimpsest.sources.tables import saved
+from palimpsest.sources.tables import shared_dir
 
 
 def shared_folder(spark: SparkSession) -> str:
-    saved(spark.range(0))  # names the folder if the session has none
-    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
 
 
 def files_of(spark: SparkSession, path: str, reader) -> DataFrame:
