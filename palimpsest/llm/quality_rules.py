@@ -1,16 +1,24 @@
 """Quality rules (operator 10): base rules and robust multivariate outliers. DataFrame functions only.
 
-Five statistics of a text are transformed, rounded to whole multiples of 1/1024 (so that sums over any
-partitioning are exact) and compared with a minimum-covariance-determinant estimate of their centre and
-scatter for the document's language and source.  The estimate starts from coordinatewise medians and
-median deviations and, as a second start, from the mean and covariance of all rows; concentration steps
-refit it to the three quarters of rows nearest by Mahalanobis distance until the determinant stops
-falling, and the start of smaller determinant wins.  A floor variance for each statistic keeps the
-scatter regular where most texts have none of something, and says what spread is harmless.
-
-A group's step is one pass: rows are counted and summed by group, start and bin of distance (pre-
-aggregated before the shuffle), and the nearest bins are added up.  Groups with fewer than `least_rows`
-usable rows take the estimate of their language, or else of all rows.
+Five statistics of a text are transformed and compared with a minimum-covariance-determinant estimate of
+their centre and scatter for the document's language and source:
+
+* the logarithm of the logarithm of its words;
+* the mean letters of a word less the language's median of it, shrunk by the root of the words where a text
+  has fewer than REFERENCE of them, so that short texts spread no more than others;
+* symbols, repeated lines, and repeated words in units of two windows, each scaled down to REFERENCE words
+  where a text has more, as twice the root of the count and 3/8. A Poisson count so transformed has variance
+  one whatever its mean (Anscombe), so that counting error is added to the estimate's scatter for these
+  three: it keeps the estimate regular where most texts have none of something.
+
+Each is rounded to a grid, so equal vectors meet: rows are counted by group and vector before anything is
+fitted, and what the fit works on is bounded by the grid, not by the rows.  A group is fitted from many
+starts (medians and median deviations; mean and covariance of all; RANDOM_STARTS of six cells each, dealt
+by a hash).  A concentration step takes the ceil(share * rows) rows of least distance exactly: equal vectors
+have equal distances, so of the last vector as many rows count as are wanted, whichever they are.  After two
+steps the KEPT_STARTS of least determinant go on, until no determinant falls by a factor of LEAST_FALL.  Groups with fewer than
+`least_rows` usable rows take the estimate of their language, or else of all rows.  A document whose squared
+distance lies beyond the chi-square quantile of `tail` is rejected.
 
 Cases: a null text has no words and fails the base rules; null language or source are a group of their
 own; repeated rows count each time and are judged alike; an empty table gives an empty result; the
@@ -24,19 +32,26 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import saved
+from palimpsest.llm.shared import saved, small
 
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
-#: Statistics are kept as whole multiples of 1 / SCALE.
-SCALE = 1024
-#: Bins of distance for each factor e.
-BINS = 32
+#: Words of a text to which counts and means are scaled.
+REFERENCE = 250
+#: Grid of each transformed statistic: values are kept as whole multiples of 1 / GRID.
+GRID = (64, 64, 8, 8, 8)
+#: Variance that is added to the scatter: rounding for the first two, counting error for the counts.
+ERROR = (1 / (12 * 64**2), 1 / (12 * 64**2), 1.0, 1.0, 1.0)
+#: Bins of distance for each factor e, in which the last of the nearest rows are sought.
+BINS = 8
 P = 5
-#: Spread of each transformed statistic that is harmless by itself: log words, letters a word, root of
-#: symbols a word, root of repeated lines a ten words, root of the share of repeated words.
-FLOOR = (1.0, 0.5, 0.1, 0.35, 0.3)
+#: Starts of a group from six of its cells each.
+RANDOM_STARTS = 24
+#: Starts of least determinant that go on after two steps.
+KEPT_STARTS = 8
+#: A fit whose log determinant falls by less has converged.
+LEAST_FALL = 1e-3
 
 
 def let(value: Column, body) -> Column:
@@ -79,10 +94,15 @@ def base_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
-def transformed() -> list[Column]:
-    n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    stats = [F.log(n), F.col("word_chars") / n, F.sqrt(F.col("n_symbols") / n), F.sqrt(10 * F.col("n_dup_lines") / n), F.sqrt(F.col("n_repeat_words") / n)]
-    return [F.round(x * SCALE).cast("long") for x in stats]
+def transformed(centre: Column) -> list[Column]:
+    """The five statistics on their grids; centre: the language's letters a word."""
+    n = F.greatest(F.col("n_words"), F.lit(3)).cast("double")
+    most = F.lit(float(REFERENCE))
+    few = F.least(F.lit(1.0), most / n)
+    count = lambda x: 2 * F.sqrt(x * few + F.lit(0.375))
+    letters = (F.col("word_chars") / n - centre) * F.sqrt(F.least(n, most) / most)
+    stats = [F.log(F.log(n)), letters, count(F.col("n_symbols")), count(F.col("n_dup_lines")), count(F.col("n_repeat_words") / F.lit(2.0 * WINDOW))]
+    return [F.round(x * g).cast("long") for x, g in zip(stats, GRID, strict=True)]
 
 
 def chi2_cdf(x: float, k: int) -> float:
@@ -97,103 +117,135 @@ def chi2_cdf(x: float, k: int) -> float:
     return total * math.exp(-z + a * math.log(z) - math.lgamma(a))
 
 
-def consistency(share: float, k: int) -> float:
-    """Factor that makes the scatter of the nearest share of normal rows that of all of them."""
+def chi2_quantile(share: float, k: int) -> float:
     lo, hi = 0.0, 1000.0
     for _ in range(100):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if mid > 0 and chi2_cdf(mid, k) < share else (lo, mid) if mid > 0 else (mid, hi)
-    return share / chi2_cdf(hi, k + 2)
+    return hi
+
+
+def consistency(share: float, k: int) -> float:
+    """Factor that makes the scatter of the nearest share of normal rows that of all of them."""
+    return share / chi2_cdf(chi2_quantile(share, k), k + 2)
 
 
 PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
-SUMS = ["n", *(f"s{i}" for i in range(P)), *(f"q{i}{j}" for i, j in PAIRS)]
+Q = [f"q{i}" for i in range(P)]
+SUMS = ["n", *(f"s{i}" for i in range(P)), *(f"s{i}{j}" for i, j in PAIRS)]
+FIT = [*(f"m{i}" for i in range(P)), *(f"w{i}{j}" for i, j in PAIRS), "logdet"]
 
 
-def sums() -> list[Column]:
-    z = [F.col(f"z{i}") for i in range(P)]
-    return [F.count(F.lit(1)).alias("n"), *(F.sum(z[i]).alias(f"s{i}") for i in range(P)), *(F.sum((z[i] * z[j]).cast("decimal(38,0)")).alias(f"q{i}{j}") for i, j in PAIRS)]
+def sums(n: Column) -> list[Column]:
+    """Exact sums over cells that n rows share each."""
+    q = [F.col(c) for c in Q]
+    exact = lambda x: F.sum((x * n).cast("decimal(38,0)"))
+    return [F.sum(n).alias("n"), *(exact(q[i]).alias(f"s{i}") for i in range(P)), *(exact(q[i] * q[j]).alias(f"s{i}{j}") for i, j in PAIRS)]
 
 
 def scatter(df: DataFrame, factor: float) -> DataFrame:
-    """Centre m and the Cholesky factor l of the floored scatter, from sums; logdet."""
+    """Centre m and whitening w of the scatter, with its error added, from sums; logdet."""
     n = F.col("n").cast("double")
-    df = df.withColumns({f"m{i}": F.col(f"s{i}") / n / SCALE for i in range(P)})
-    cov = {f"c{i}{j}": factor * (F.col(f"q{i}{j}").cast("double") / n / SCALE**2 - F.col(f"m{i}") * F.col(f"m{j}")) + F.lit(FLOOR[i] ** 2 if i == j else 0.0) for i, j in PAIRS}
-    return cholesky(df.withColumns(cov))
+    df = df.withColumns({f"m{i}": F.col(f"s{i}").cast("double") / n / GRID[i] for i in range(P)})
+    moment = lambda i, j: F.col(f"s{i}{j}").cast("double") / n / (GRID[i] * GRID[j]) - F.col(f"m{i}") * F.col(f"m{j}")
+    return whitened(df.withColumns({f"c{i}{j}": factor * moment(i, j) + F.lit(ERROR[i] if i == j else 0.0) for i, j in PAIRS}))
 
 
-def cholesky(df: DataFrame) -> DataFrame:
+def whitened(df: DataFrame) -> DataFrame:
+    """df with the inverse w of the Cholesky factor of the scatter c, and the scatter's log determinant."""
     for j in range(P):
         less = lambda i: F.col(f"c{i}{j}") - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))  # noqa: B023
-        df = df.withColumn(f"l{j}{j}", F.sqrt(F.greatest(less(j), F.lit(FLOOR[j] ** 2 * 1e-6))))
+        df = df.withColumn(f"l{j}{j}", F.sqrt(F.greatest(less(j), F.lit(ERROR[j] / 2))))
         if j + 1 < P:
             df = df.withColumns({f"l{i}{j}": less(i) / F.col(f"l{j}{j}") for i in range(j + 1, P)})
+    for i in range(P):
+        below = lambda j: sum((F.col(f"l{i}{k}") * F.col(f"w{k}{j}") for k in range(j, i)), F.lit(0.0))  # noqa: B023
+        df = df.withColumns({f"w{i}{j}": (1 if i == j else -below(j)) / F.col(f"l{i}{i}") for j in range(i + 1)})
     return df.withColumn("logdet", 2 * sum((F.log(f"l{i}{i}") for i in range(P)), F.lit(0.0)))
 
 
-FIT = [*(f"m{i}" for i in range(P)), *(f"l{i}{j}" for i, j in PAIRS), "logdet"]
-
-
 def distance(df: DataFrame) -> DataFrame:
-    """Squared Mahalanobis distance d2 of z from the fit beside it."""
-    y: list[str] = []
-    for i in range(P):
-        df = df.withColumn(f"y{i}", (F.col(f"z{i}") / SCALE - F.col(f"m{i}") - sum((F.col(f"l{i}{k}") * F.col(f"y{k}") for k in range(i)), F.lit(0.0))) / F.col(f"l{i}{i}"))
-        y.append(f"y{i}")
-    return df.withColumn("d2", sum((F.col(x) * F.col(x) for x in y), F.lit(0.0))).drop(*y)
-
-
-def fit_groups(rows: DataFrame, share: float, most_steps: int) -> DataFrame:
-    """Fits by group g of rows (g, z0 ..): g, rows, centre and factor."""
+    """Squared Mahalanobis distance d2 of a cell from the fit beside it."""
+    apart = [F.col(f"q{i}") / GRID[i] - F.col(f"m{i}") for i in range(P)]
+    y = [sum((F.col(f"w{i}{j}") * apart[j] for j in range(i + 1)), F.lit(0.0)) for i in range(P)]
+    return df.withColumn("d2", sum((F.pow(x, F.lit(2.0)) for x in y), F.lit(0.0)))
+
+
+def first_fits(cells: DataFrame) -> DataFrame:
+    """(g, start, rows, FIT): where the concentration steps of each group begin."""
+    whole = saved(cells.groupBy("g").agg(*sums(F.col("n")), *(F.percentile(c, F.lit(0.5), F.col("n")).alias(f"med{i}") for i, c in enumerate(Q))))
+    apart = lambda i: F.percentile(F.abs(F.col(f"q{i}") - F.col(f"med{i}")), F.lit(0.5), F.col("n"))
+    medians = cells.join(small(whole.select("g", *(f"med{i}" for i in range(P)))), "g").groupBy("g").agg(*(apart(i).alias(f"mad{i}") for i in range(P)))
+    robust = medians.join(small(whole.select("g", "n", *(f"med{i}" for i in range(P)))), "g").withColumns({f"m{i}": F.col(f"med{i}") / GRID[i] for i in range(P)})
+    spread = lambda i: F.pow(1.4826 * F.col(f"mad{i}") / GRID[i], 2) + ERROR[i]
+    robust = whitened(robust.withColumns({f"c{i}{j}": spread(i) if i == j else F.lit(0.0) for i, j in PAIRS}))
+    dealt = Window.partitionBy("g").orderBy(F.xxhash64("g", *Q), *Q)
+    six = cells.withColumn("at", F.row_number().over(dealt)).where(F.col("at") <= RANDOM_STARTS * (P + 1)).withColumn("start", F.expr(f"2 + (at - 1) div {P + 1}"))
+    few = scatter(six.groupBy("g", "start").agg(*sums(F.lit(1).cast("long"))), 1.0).join(small(whole.select("g", F.col("n").alias("rows"))), "g")
+    named = lambda df, start, rows: df.select("g", start.cast("int").alias("start"), F.col(rows).alias("rows"), *FIT[:-1], F.lit(math.inf).alias("logdet"))
+    return named(robust, F.lit(0), "n").union(named(scatter(whole, 1.0), F.lit(1), "n")).union(named(few, F.col("start"), "rows"))
+
+
+def concentrated(cells: DataFrame, fits: DataFrame, share: float, factor: float) -> DataFrame:
+    """One concentration step: the fits to the nearest ceil(share * rows) rows of each."""
+    wanted = F.ceil(F.col("rows") * F.lit(share))
+    near = distance(cells.join(small(fits), "g")).withColumn("bin", F.floor(F.log(F.greatest("d2", F.lit(1e-12))) * BINS))
+    bins = near.groupBy("g", "start", "bin").agg(F.max("rows").alias("rows"), *sums(F.col("n")))
+    upto = F.sum("n").over(Window.partitionBy("g", "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    bins = saved(bins.withColumn("upto", upto).where(F.col("upto") - F.col("n") < wanted))
+    # the last bin is taken in part: its cells in the order of their distances
+    last = bins.where(F.col("upto") > wanted).select("g", "start", "bin", (wanted - F.col("upto") + F.col("n")).alias("more"))
+    order = Window.partitionBy("g", "start").orderBy("d2", *Q).rowsBetween(Window.unboundedPreceding, -1)
+    part = near.join(small(last), ["g", "start", "bin"]).withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
+    part = part.where("before < more").groupBy("g", "start", "rows").agg(*sums(F.least(F.col("n"), F.col("more") - F.col("before"))))
+    core = bins.where(F.col("upto") <= wanted).select("g", "start", "rows", *SUMS).union(part.select("g", "start", "rows", *SUMS))
+    return scatter(core.groupBy("g", "start", "rows").agg(*(F.sum(c).alias(c) for c in SUMS)), factor).select("g", "start", "rows", *FIT)
+
+
+def fit_groups(cells: DataFrame, share: float, most_steps: int) -> DataFrame:
+    """Fits by group of cells (g, q0 .., n rows): g, rows, centre, factor and logdet."""
     factor = consistency(share, P)
-    z = [f"z{i}" for i in range(P)]
-    whole = rows.groupBy("g").agg(*sums(), *(F.percentile(c, 0.5).alias(f"med{i}") for i, c in enumerate(z)))
-    whole = saved(whole)
-    deviation = rows.join(whole.select("g", *(f"med{i}" for i in range(P))), "g").groupBy("g").agg(*(F.percentile(F.abs(F.col(c) - F.col(f"med{i}")), 0.5).alias(f"mad{i}") for i, c in enumerate(z)))
-    robust = whole.join(deviation, "g").withColumns({f"m{i}": F.col(f"med{i}") / SCALE for i in range(P)})
-    robust = cholesky(robust.withColumns({f"c{i}{j}": (F.pow(1.4826 * F.col(f"mad{i}") / SCALE, 2) + FLOOR[i] ** 2 if i == j else F.lit(0.0)) for i, j in PAIRS}))
-    keep = ["g", "start", "rows", *FIT]
-    fits = robust.select("g", F.lit(0).alias("start"), F.col("n").alias("rows"), *FIT).union(scatter(whole, 1.0).select("g", F.lit(1).alias("start"), F.col("n").alias("rows"), *FIT))
-    fits = saved(fits.withColumn("logdet", F.lit(math.inf)).select(keep))
-    over = Window.partitionBy("g", "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    for _ in range(most_steps):
-        near = distance(rows.join(fits, "g")).withColumn("bin", F.floor(F.log(F.greatest("d2", F.lit(1e-12))) * BINS))
-        # what a group's bins hold; a bin belongs to the core while fewer rows than its share lie below it
-        bins = near.groupBy("g", "start", "bin").agg(F.max("rows").alias("rows"), *sums())
-        core = bins.withColumn("below", F.coalesce(F.sum("n").over(over), F.lit(0))).where(F.col("below") < F.ceil(F.col("rows") * share))
-        summed = core.groupBy("g", "start").agg(F.max("rows").alias("rows"), *(F.sum(c).alias(c) for c in SUMS))
-        new = scatter(summed, factor).select(keep)
-        before = fits.select("g", "start", F.struct(*FIT).alias("old"))
-        better = F.col("logdet") < F.col("old.logdet") - 1e-9
-        both = new.join(before, ["g", "start"]).withColumn("fell", better)
-        fits = saved(both.select("g", "start", "rows", *(F.when(F.col("fell"), F.col(c)).otherwise(F.col(f"old.{c}")).alias(c) for c in FIT), "fell"))
-        if not fits.where("fell").limit(1).count():
+    fits = saved(first_fits(cells))
+    for step in range(most_steps):
+        new = concentrated(cells, fits, share, factor)
+        both = new.join(fits.select("g", "start", F.struct(*FIT).alias("old")), ["g", "start"]).withColumn("fell", F.col("logdet") < F.col("old.logdet") - LEAST_FALL)
+        both = both.select("g", "start", "rows", *(F.when(F.col("fell"), F.col(c)).otherwise(F.col(f"old.{c}")).alias(c) for c in FIT), "fell")
+        if step == 1:
+            both = both.withColumn("place", F.row_number().over(Window.partitionBy("g").orderBy("logdet", "start"))).where(F.col("place") <= KEPT_STARTS).drop("place")
+        both = saved(both)
+        fits = both.drop("fell")
+        if not both.where("fell").limit(1).count():
             break
-        fits = fits.drop("fell")
     best = fits.groupBy("g").agg(F.min_by(F.struct("rows", *FIT), F.struct("logdet", "start")).alias("f"))
     return best.select("g", "f.*")
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", share: float = 0.75, cutoff: float = 36.0, least_rows: int = 60, most_steps: int = 12) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", share: float = 0.75, tail: float = 1e-5, least_rows: int = 60, most_steps: int = 20) -> DataFrame:
     """Returns id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and d2 (null if the base rules failed).
 
-    cutoff: the squared Mahalanobis distance beyond which a document is rejected (for normal statistics
-    one in a million is). most_steps bounds the concentration steps.
+    tail: the share of normal statistics that lie beyond the distance at which a document is rejected.
+    most_steps bounds the concentration steps.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.concat(F.lit("="), F.col(lang_col).cast("string")), F.lit("-")).alias("lang"), F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("-")).alias("source"))
-    stats = base_statistics(rows).drop("text")
-    stats = saved(stats.withColumns({f"z{i}": c for i, c in enumerate(transformed())}))
-    z = [f"z{i}" for i in range(P)]
+    stats = saved(base_statistics(rows).drop("text"))
+    letters = F.round(F.col("word_chars") / F.greatest("n_words", F.lit(1)) * GRID[1]).cast("long")
+    typical = stats.where("NOT base_failed").rollup("lang").agg(F.percentile(letters, F.lit(0.5)).alias("centre"), F.count(F.lit(1)).alias("own"))
+    typical = saved(typical.withColumn("lang", F.coalesce("lang", F.lit("*"))))
+    overall = typical.where("lang = '*'").agg(F.max("centre")).first()[0] or 0.0
+    centres = typical.where(f"lang <> '*' AND own >= {least_rows}").select("lang", (F.col("centre") / GRID[1]).alias("centre"))
+    stats = stats.join(small(centres), "lang", "left")
+    stats = stats.withColumns(dict(zip(Q, transformed(F.coalesce("centre", F.lit(overall / GRID[1]))), strict=True))).drop("centre")
     name = [F.lit("*"), F.concat(F.lit("l"), "lang"), F.concat(F.lit("s"), F.length("lang").cast("string"), "lang", "source")]
-    levels = saved(stats.where("NOT base_failed").select(F.explode(F.array(*name)).alias("g"), *z))
-    fits = saved(fit_groups(levels, share, most_steps))
+    finest = stats.where("NOT base_failed").groupBy("lang", "source", *Q).agg(F.count(F.lit(1)).alias("n"))
+    cells = saved(finest.select(F.explode(F.array(*name)).alias("g"), *Q, "n").groupBy("g", *Q).agg(F.sum("n").alias("n")))
+    fits = saved(fit_groups(cells, share, most_steps))
     # The estimate that a language and source use: their own, the language's or that of all rows.
     pairs = stats.where("NOT base_failed").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("own"))
     named = pairs.select("lang", "source", F.explode(F.array(*(F.struct(F.lit(i).alias("level"), g.alias("g")) for i, g in enumerate(name)))).alias("x")).select("lang", "source", "x.*")
-    usable = named.join(fits, "g").where((F.col("rows") >= least_rows) | (F.col("level") == 0))
-    chosen = usable.groupBy("lang", "source").agg(F.max_by(F.struct(*FIT), "level").alias("f")).select("lang", "source", "f.*")
-    out = distance(stats.join(chosen, ["lang", "source"], "left"))
+    usable = named.join(small(fits), "g").where((F.col("rows") >= least_rows) | (F.col("level") == 0))
+    chosen = saved(usable.groupBy("lang", "source").agg(F.max_by(F.struct(*FIT), "level").alias("f")).select("lang", "source", "f.*"))
+    out = distance(stats.join(small(chosen), ["lang", "source"], "left"))
+    cutoff = chi2_quantile(1 - tail, P)
     return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(False))).alias("kept"), F.when(~F.col("base_failed"), F.round("d2", 6)).alias("d2"))
 
 

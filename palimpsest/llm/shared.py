@@ -11,14 +11,25 @@ from pyspark.sql import functions as F
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df written to the folder named by spark.checkpoint.dir, which all executors share."""
+    """df written to the folder named by spark.checkpoint.dir, which all executors share. A session of one machine without one gets its own; a cluster must name it."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="palimpsest-"))
     return df.checkpoint()
 
 
+#: Rows up to which a table is broadcast; callers' rows are numbers and short names.
+SMALL_ROWS = 20_000
+
+
+def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """df, marked for broadcast if it has no more rows than that; it should be saved, for its rows are counted."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 #: Links that one task joins up before the distributed rounds.
 LOCAL_LINKS = 2_000_000
 

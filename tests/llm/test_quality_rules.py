@@ -1,8 +1,12 @@
 """Quality rules against a brute-force version and planted outliers."""
 
+import math
 import random
 import re
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from palimpsest.llm import quality_rules
 
 
@@ -67,3 +71,78 @@ def test_empty_table(spark):
 def test_consistency_factor():
     assert abs(quality_rules.chi2_cdf(11.0705, 5) - 0.95) < 1e-5
     assert 1.3 < quality_rules.consistency(0.75, 5) < 1.6
+
+
+def steps(z, m, s, share, factor, most):
+    """Concentration steps over vectors z from a centre and scatter: (log determinant, centre, scatter)."""
+    h, last = math.ceil(share * len(z)), np.inf
+    for _ in range(most):
+        d = distances(z, m, s)
+        core = z[np.lexsort((*z.T[::-1], np.round(d, 9)))[:h]]
+        new = core.mean(0), factor * np.cov(core.T, bias=True) + np.diag(quality_rules.ERROR)
+        logdet = np.linalg.slogdet(new[1])[1]
+        if logdet >= last - 1e-9:
+            break
+        (m, s), last = new, logdet
+    return last, m, s
+
+
+def distances(z, m, s):
+    return np.einsum("ij,jk,ik->i", z - m, np.linalg.inv(s), z - m)
+
+
+def least_determinant(spark, z, g, share, factor):
+    """The same starts as the operator's, two steps of each, the best ones followed to their end: squared distances and log determinant."""
+    error, grid = np.diag(quality_rules.ERROR), np.array(quality_rules.GRID)
+    cells = spark.createDataFrame([tuple(int(v) for v in row) for row in {tuple(x) for x in np.round(z * grid).astype(int)}], ", ".join(f"q{i} long" for i in range(5)))
+    dealt = np.array([tuple(r)[1:] for r in sorted(cells.select(F.xxhash64(F.lit(g), *cells.columns), *cells.columns).collect())]) / grid
+    med = np.median(z, 0)
+    begin = [(med, np.diag((1.4826 * np.median(np.abs(z - med), 0)) ** 2) + error), (z.mean(0), np.cov(z.T, bias=True) + error)]
+    for k in range(0, min(len(dealt), 6 * quality_rules.RANDOM_STARTS), 6):
+        six = dealt[k : k + 6]
+        begin.append((six.mean(0), np.cov(six.T, bias=True) + error))
+    two = sorted((steps(z, m, s, share, factor, 2) for m, s in begin), key=lambda x: x[0])[: quality_rules.KEPT_STARTS]
+    logdet, m, s = min((steps(z, m, s, share, factor, 50) for _, m, s in two), key=lambda x: x[0])
+    return distances(z, m, s), logdet
+
+
+def two_kinds(seed=5, each=90):
+    """Texts of source code, where symbols are usual, and of prose, where they are not; the last of each has forty."""
+    r = random.Random(seed)
+    vocab = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(500)]
+    text = lambda n, symbols: " ".join([r.choice(vocab) for _ in range(n)] + ["$"] * symbols)
+    sizes = [int(math.exp(r.gauss(5.5, 0.5))) + 30 for _ in range(each - 1)]
+    rows = [(d, text(n, r.randint(20, 70)), "en", "code") for d, n in enumerate([*sizes, 250])]
+    rows += [(1000 + d, text(n, 0), "en", "prose") for d, n in enumerate(sizes)] + [(999 + 1000, text(250, 40), "en", "prose")]
+    return rows + [(998, text(250, 40), "en", "code")]
+
+
+def test_least_determinant_by_group(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "LEAST_FALL", 1e-9)
+    rows = two_kinds()
+    got = {x.doc_id: x for x in judged(spark, rows)}
+    # one verdict for a text of forty symbols among code, another among prose: no fixed ellipsoid does that
+    assert got[998].kept and not got[1999].kept
+    n = {d: x.n_words for d, x in got.items()}
+    centre = np.median(sorted(math.floor(x.word_chars / x.n_words * 64 + 0.5) for x in got.values() if not x.base_failed)) / 64
+    factor, cutoff = quality_rules.consistency(0.75, 5), quality_rules.chi2_quantile(1 - 1e-5, 5)
+    for source in ("code", "prose"):
+        ids = sorted(d for d, _, _, s in rows if s == source and not got[d].base_failed)
+        z = []
+        for d in ids:
+            x, few = got[d], min(1, 250 / n[d])
+            raw = [math.log(math.log(n[d])), (x.word_chars / n[d] - centre) * math.sqrt(min(n[d], 250) / 250), *(2 * math.sqrt(c * few + 0.375) for c in (x.n_symbols, x.n_dup_lines, x.n_repeat_words / 16))]
+            z.append([math.floor(abs(v) * g + 0.5) * (1 if v >= 0 else -1) / g for v, g in zip(raw, quality_rules.GRID)])
+        z = np.array(z)
+        d2, logdet = least_determinant(spark, z, f"s3=en={source}", 0.75, factor)
+        # hundreds of random starts find no much smaller determinant
+        r = np.random.default_rng(1)
+        picks = [z[r.choice(len(z), 6, replace=False)] for _ in range(300)]
+        other = min(steps(z, six.mean(0), np.cov(six.T, bias=True) + np.diag(quality_rules.ERROR), 0.75, factor, 50)[0] for six in picks)
+        assert logdet <= other + 0.02
+        assert np.allclose(d2, [got[d].d2 for d in ids], rtol=1e-4, atol=1e-4)
+        assert [bool(v <= cutoff) for v in d2] == [got[d].kept for d in ids]
+
+
+def test_chi2_quantile():
+    assert abs(quality_rules.chi2_quantile(0.95, 5) - 11.0705) < 1e-3
