@@ -172,6 +172,29 @@ def unsqueeze(blob: bytes, *types: str) -> list[np.ndarray]:
     return out
 
 
+def pack_ints(*arrays: np.ndarray) -> bytes:
+    """Integer arrays less their least values, in as few bytes each as the largest needs, compressed."""
+    parts = [np.array([len(arrays)], "<i8").tobytes()]
+    for a in arrays:
+        low = int(a.min()) if len(a) else 0
+        top = int(a.max()) - low if len(a) else 0
+        kind = next(k for k in ("<u1", "<u2", "<u4", "<u8") if top < 1 << 8 * np.dtype(k).itemsize)
+        body = (a.astype("<i8") - low).astype(kind).tobytes()
+        parts += [np.array([low, len(a), np.dtype(kind).itemsize], "<i8").tobytes(), body]
+    return squeeze(np.frombuffer(b"".join(parts), "u1"))
+
+
+def unpack_ints(blob: bytes) -> list[np.ndarray]:
+    body = unsqueeze(blob, "u1")[0].tobytes()
+    n, at, out = int(np.frombuffer(body, "<i8", 1)[0]), 8, []
+    for _ in range(n):
+        low, size, width = (int(x) for x in np.frombuffer(body, "<i8", 3, at))
+        at += 24
+        out.append(np.frombuffer(body, f"<u{width}", size, at).astype(np.int64) + low)
+        at += size * width
+    return out
+
+
 def groups(keys: np.ndarray) -> Iterator[tuple[int, slice]]:
     """The runs of equal values of a sorted array."""
     cuts = np.flatnonzero(np.diff(keys)) + 1 if len(keys) else np.zeros(0, int)
