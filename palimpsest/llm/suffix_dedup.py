@@ -1,19 +1,21 @@
 """Suffix-array removal of repeated substrings (operator 7).
 
 Every string of `width` bytes that also begins in a document with a smaller id is removed; the first
-document keeps it.  In the order of all suffixes, a suffix's longest factor that begins earlier is the
-longer common prefix with the nearest suffixes before and after it that belong to smaller documents;
-the factor reaches `width` bytes where such a neighbour lies in the same run of suffixes that share
-`width` bytes.
+document keeps it.  In the order of all suffixes, the longest factor at a suffix that begins in an earlier
+document is the longer common prefix with the nearest suffixes before and after it that belong to smaller
+documents (its previous and next smaller positions); where that longest previous factor reaches `width`
+bytes, the string there is removed.
 
 The order is built in parts: windows of `width` bytes are dealt by the least hash of the grams within
 them, so equal windows meet, and a run of neighbouring windows with one least hash travels as one
 string.  Within a pack equal strings travel once, for the smallest document.  Runs whose least hash
-came from a single document are dropped; over the others a suffix array is built by prefix doubling.
+came from a single document are dropped; over the others a suffix array is built by prefix doubling, common
+prefixes are read off its levels, and smaller positions are found by jumping over those that are not smaller.
+Strings that are held for equal by a 64-bit hash are compared byte by byte.
 
 Cases: null text is empty; a text shorter than the width is kept whole; rows of one id never remove
 from each other; rows with a null id remove nothing and lose nothing; the input's other columns play
-no part.
+no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -106,34 +108,84 @@ def gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
     return data[index]
 
 
-def suffix_ranks(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    """Ranks of the windows at the places `at` in suffix order, equal for equal `width` bytes."""
-    # Prefix doubling: ranks of strings of 8, 16, 32 .. bytes from those of half the length.
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the spans of so many bytes at a and b are equal; STEP bytes are compared at once."""
+    out = np.ones(len(a), bool)
+    i = 0
+    upto = np.cumsum(sizes)
+    while i < len(a):
+        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + STEP, "right")))
+        equal = gather(data, a[i:j], sizes[i:j]) == gather(data, b[i:j], sizes[i:j])
+        head = np.cumsum(sizes[i:j]) - sizes[i:j]
+        some = sizes[i:j] > 0
+        out[i:j][some] = np.logical_and.reduceat(equal, head[some]) if some.any() else True
+        i = j
+    return out
+
+
+def suffix_levels(data: np.ndarray, width: int) -> list[tuple[int, np.ndarray]]:
+    """(n, ranks of the strings of n bytes at each place, in order and equal for equal strings) for n = 8, 16, 32 .. width, by prefix doubling."""
     have = 8
     padded = np.concatenate([data, np.zeros(width + 8, np.uint8)])
     key = np.zeros(len(data), U64)
     for i in range(have):
         key = (key << U64(8)) | padded[i : i + len(data)].astype(U64)
-    rank = np.unique(key, return_inverse=True)[1].astype(U64)
+    out = [(have, np.unique(key, return_inverse=True)[1])]
     n = U64(len(data) + 1)
     while have < width:
         shift = min(have, width - have)
+        rank = out[-1][1].astype(U64)
         nxt = np.zeros(len(data), U64)
         nxt[: len(data) - shift] = rank[shift:] + U64(1)
-        rank = np.unique(rank * n + nxt, return_inverse=True)[1].astype(U64)
         have += shift
-    return rank[at]
-
-
-def earlier_factor(rank: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """True where, in suffix order, the previous or next smaller document shares the window."""
-    order = np.lexsort((np.arange(len(rank)), rank))
-    r, d = rank[order], doc[order]
-    out = np.zeros(len(rank), bool)
-    head = np.flatnonzero(np.append(True, r[1:] != r[:-1])) if len(r) else np.zeros(0, int)
-    # A smaller document before or after in the run exists just where the run's least is smaller.
-    least = np.minimum.reduceat(d, head) if len(head) else d
-    out[order] = d > np.repeat(least, np.diff(np.append(head, len(r))))
+        out.append((have, np.unique(rank * n + nxt, return_inverse=True)[1]))
+    return out
+
+
+def common_prefixes(data: np.ndarray, levels: list[tuple[int, np.ndarray]], order: np.ndarray) -> np.ndarray:
+    """Common prefix of each place in suffix order with the one before it, up to the width; 0 for the first."""
+    width = levels[-1][0]
+    a, b = order[:-1], order[1:]
+    got = np.where(levels[-1][1][a] == levels[-1][1][b], width, 0) if len(order) > 1 else np.zeros(0, np.int64)
+    for n, rank in levels[-2::-1]:
+        more = np.flatnonzero(got < width)
+        i, j = a[more] + got[more], b[more] + got[more]
+        inside = np.maximum(i, j) < len(data)
+        more, i, j = more[inside], i[inside], j[inside]
+        got[more[rank[i] == rank[j]]] += n
+    for _ in range(8):
+        more = np.flatnonzero(got < width)
+        i, j = a[more] + got[more], b[more] + got[more]
+        inside = np.maximum(i, j) < len(data)
+        more = more[inside]
+        more = more[data[i[inside]] == data[j[inside]]]
+        if not len(more):
+            break
+        got[more] += 1
+    return np.append(np.zeros(1, np.int64), np.minimum(got, width))[: len(order)]
+
+
+def longest_previous(doc: np.ndarray, lcp: np.ndarray, least: int = 1) -> np.ndarray:
+    """By place in suffix order, the longest factor that a smaller document has too; 0 where it is shorter than least.
+
+    A place's previous smaller position is reached by jumps: from a neighbour that is not smaller to where that
+    one would go on, the common prefix being the least on the way; jumps whose prefix is too short end.  All
+    places jump at once, so the rounds grow with the logarithm of the longest way.
+    """
+    n = len(doc)
+    out = np.zeros(n, np.int64)
+    for side in (-1, 1):
+        d, l = (doc, lcp) if side < 0 else (doc[::-1], np.append(lcp[1:], 0)[::-1])
+        to, common = np.arange(n) - 1, l.copy()
+        common[:1] = 0
+        going = np.flatnonzero(common >= least)
+        while len(going):
+            going = going[d[to[going]] >= d[going]]
+            at = to[going]
+            common[going], to[going] = np.minimum(common[going], common[at]), to[at]
+            going = going[(common[going] >= least) & (to[going] >= 0)]
+        found = np.where((common >= least) & (to >= 0), common, 0)
+        out = np.maximum(out, found if side < 0 else found[::-1])
     return out
 
 
@@ -158,6 +210,9 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
         order = np.lexsort((ids[doc], same))  # the rows are in the order of ids
         lead = np.append(True, same[order][1:] != same[order][:-1]) if len(order) else np.zeros(0, bool)
         owner = order[np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))] if len(order) else order
+        # a hash that different strings share: each of them asks for itself
+        alike = (count[owner] == count[order]) & same_bytes(data, start[owner], start[order], np.minimum(count[owner], count[order]) + width - 1)
+        lead, owner = lead | ~alike, np.where(alike, owner, order)
         asks = np.zeros(len(start), bool)
         covered = np.zeros(len(start), bool)
         later = ids[doc[order]] > ids[doc[owner]]
@@ -220,6 +275,8 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
         k, s = key[order], same[order]
         lead = np.append(True, (k[1:] != k[:-1]) | (s[1:] != s[:-1]))
         owner = order[np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))]
+        alike = (size[owner] == size[order]) & same_bytes(data, start[owner], start[order], np.minimum(size[owner], size[order]))
+        lead, owner = lead | ~alike, np.where(alike, owner, order)
         whole = np.zeros(len(key), bool)
         whole[order] = ids[order] > ids[owner]
         firsts = order[lead]
@@ -232,9 +289,12 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
         if len(chosen):
             body, windows = gather(data, start[chosen], size[chosen]), count[chosen]
             own = np.cumsum(size[chosen]) - size[chosen]
-            rank = suffix_ranks(body, gather(np.arange(len(body)), own, windows), width)
+            places = gather(np.arange(len(body)), own, windows)
+            levels = suffix_levels(body, width)
+            by_suffix = np.argsort(levels[-1][1][places], kind="stable")
+            factor = longest_previous(np.repeat(ids[chosen], windows)[by_suffix], common_prefixes(body, levels, places[by_suffix]), width)
             found = np.zeros(len(hit), bool)
-            found[gather(np.arange(len(hit)), first[chosen], windows)] = earlier_factor(rank, np.repeat(ids[chosen], windows))
+            found[gather(np.arange(len(hit)), first[chosen], windows)[by_suffix]] = factor >= width
             # A row of the same document and string as its owner shares its verdict.
             twin = np.flatnonzero(~whole)
             of = np.empty(len(key), np.int64)

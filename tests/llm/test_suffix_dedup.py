@@ -74,3 +74,36 @@ def test_cleaned_keeps_rows_and_columns(spark):
     got = suffix_dedup.cleaned(df)
     assert got.columns == df.columns and got.dtypes == df.dtypes
     assert sorted(map(tuple, got.collect())) == [(1, "x" * 60, 60, 7, "k"), (2, "", 0, 8, "k"), (3, None, None, 9, "k"), (4, "ab", 2, None, "k")]
+
+
+def test_longest_previous_factors():
+    import numpy as np
+
+    r = random.Random(12)
+    for case in range(60):
+        width = r.choice([24, 30, 50])
+        pieces = [bytes(r.choice(b"ab\0") for _ in range(r.randint(10, 60))) for _ in range(6)]
+        texts = [b"".join(r.choice(pieces)[r.randint(0, 5) :] for _ in range(r.randint(2, 5))) for _ in range(r.randint(2, 9))]
+        body = b"".join(texts)
+        begins = [sum(map(len, texts[:k])) for k in range(len(texts))]
+        places = np.array([b + i for b, t in zip(begins, texts) for i in range(len(t) - width + 1)], np.int64)
+        doc = np.array([k for k, t in enumerate(texts) for _ in range(len(t) - width + 1)], np.int64)
+        doc = np.array([r.randint(0, 4) for _ in texts], np.int64)[doc] if len(doc) else doc  # some texts of one document
+        data = np.frombuffer(body, np.uint8)
+        levels = suffix_dedup.suffix_levels(data, width)
+        order = np.argsort(levels[-1][1][places], kind="stable")
+        assert [body[p : p + width] for p in places[order]] == sorted(body[p : p + width] for p in places)
+        common = lambda p, q: next((k for k in range(width) if body[p + k] != body[q + k]), width)
+        lcp = suffix_dedup.common_prefixes(data, levels, places[order])
+        assert lcp[1:].tolist() == [common(p, q) for p, q in zip(places[order], places[order][1:])]
+        want = [max([0, *(common(p, q) for q, e in zip(places, doc) if e < d)]) for p, d in zip(places[order], doc[order])]
+        for least in (1, 10, width):
+            assert suffix_dedup.longest_previous(doc[order], lcp, least).tolist() == [x if x >= least else 0 for x in want]
+
+
+def test_equal_hashes_of_different_strings(spark, monkeypatch):
+    """Were all strings to share a few hashes, their bytes would still tell them apart."""
+    plain = suffix_dedup.string_hashes
+    monkeypatch.setattr(suffix_dedup, "string_hashes", lambda *a: plain(*a) % suffix_dedup.U64(3))
+    rows = corpus(9, 60)
+    assert got(spark, rows) == brute(rows)
