@@ -1,13 +1,15 @@
 """Stupid-backoff language-model scores (operator 5).
 
-The corpus's n-grams of one to `order` words are counted in tables partitioned by the n-gram's hash; each
-pack of documents joins its distinct n-grams with them, and the scores of its exploded n-grams are summed
-for each document.  A word scores count(n-gram) / count(context) for the longest n-gram that the rest of
-the corpus has, times `backoff` for each order given up; a word that the rest does not have counts as
-seen once.  The document's own n-grams are left out of the counts, else no text would look unlikely.
+Documents are dealt to packs of a few megabytes by a hash of their id, and each pack's texts are exploded
+into its distinct n-grams of one to `order` words: a table (gram, pack, n), partitioned by the n-gram's hash.
+Summed by n-gram it is the count table of the corpus, partitioned alike, so that the two are joined where they
+lie; what a pack's n-grams count beyond the pack goes back to it and its documents' scores are summed.  A word
+scores count(n-gram) / count(context) for the longest n-gram that the rest of the corpus has, times `backoff`
+for each order given up; a word that the rest does not have counts as seen once.  The document's own n-grams
+are left out of the counts, else no text would look unlikely.
 
-N-grams are known by 58-bit hashes: among 10**9 different ones a given one is mistaken for another with
-a probability of 3 * 10**-9.
+An n-gram that a third of all rows hold has one row for each pack. N-grams are known by 58-bit hashes: among
+10**9 different ones a given one is mistaken for another with a probability of 3 * 10**-9.
 
 Cases: null or empty texts and texts without words have no words and a null score; equal documents count
 each other; repeated rows of one id are separate documents; an empty table gives an empty result; the
@@ -16,22 +18,22 @@ input's other columns play no part.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.arrays import BASE, U64, flat, mix, pack_counts, ranges, span_hashes, squeeze, totals, unsqueeze, word_spans
-from palimpsest.llm.exchange import exchange
+from palimpsest.llm.arrays import BASE, U64, flat, mix, span_hashes, word_spans
+from palimpsest.llm.exchange import in_order, in_packs, pack_size, text_bytes
 from palimpsest.llm.shared import saved
 
 KEY_BITS = 58
+#: Bytes of rows in a partition of the n-gram tables, a word being about six bytes of text and a row 24.
+TABLE_BYTES = 32 << 20
 
 
-def score_documents(docs: DataFrame, order: int = 2, backoff: float = 0.4, leave_out: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Returns id_col, n_words, log_score (natural logarithm of the product) and mean_log_score."""
+def score_documents(docs: DataFrame, order: int = 2, backoff: float = 0.4, leave_out: bool = True, id_col: str = "doc_id", text_col: str = "text", pack_bytes: int | None = None) -> DataFrame:
+    """Returns id_col, n_words, log_score (natural logarithm of the product) and mean_log_score. pack_bytes: bytes of text in a pack."""
 
     def grams(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
         """(first word of each document, document of each word, hash of the k-gram that ends at each word, words before it)."""
@@ -53,23 +55,15 @@ def score_documents(docs: DataFrame, order: int = 2, backoff: float = 0.4, leave
         keys, inverse, counts = np.unique(np.concatenate(used), return_inverse=True, return_counts=True)
         return first, doc, before, keys, inverse, counts
 
-    def send(table: pa.Table, replies: dict[int, bytes], n_buckets: int) -> Iterator[tuple[int, bytes]]:
-        *_, keys, _, counts = keyed(table)
-        cut = ranges(keys, KEY_BITS, n_buckets)
-        for b in range(n_buckets):
-            if cut[b + 1] > cut[b]:
-                yield b, pack_counts(keys[cut[b] : cut[b + 1]], counts[cut[b] : cut[b + 1]])
-
-    def reduce(came: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
-        for pack, total in totals(came):
-            yield pack, squeeze(total.astype("<i8"))
+    def explode(key: tuple, table: pa.Table) -> pa.Table:
+        *_, keys, _, counts = keyed(in_order(table))
+        return pa.table({"gram": keys.astype(np.int64), "pack": pa.array(np.full(len(keys), key[0].as_py()), pa.int32()), "n": counts.astype(np.int64)})
 
-    def finish(table: pa.Table, replies: dict[int, bytes], n_buckets: int) -> pa.Table:
-        first, doc, before, keys, inverse, _ = keyed(table)
-        cut = ranges(keys, KEY_BITS, n_buckets)
-        total = np.zeros(len(keys), np.int64)
-        for b, blob in replies.items():
-            total[cut[b] : cut[b + 1]] = unsqueeze(blob, "<i8")[0]
+    def score(key: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
+        table = in_order(table)
+        first, doc, before, keys, inverse, own_counts = keyed(table)
+        total = own_counts.astype(np.int64)
+        total[np.searchsorted(keys, found["gram"].to_numpy().astype(U64))] += found["others"].to_numpy()
         best = np.zeros(len(doc))
         counts: list[np.ndarray] = []
         at = 0
@@ -97,8 +91,13 @@ def score_documents(docs: DataFrame, order: int = 2, backoff: float = 0.4, leave
 
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    # A pack's n-grams are mostly its own: about five bytes for each of `order` n-grams a word.
-    parts = saved(exchange(rows, [(send, reduce)], finish, f"id {kind}, n long, part double, single long", 0.9 * order))
+    size = text_bytes(rows, "text")
+    packed = in_packs(rows, max(1, -(-size // (pack_bytes or pack_size(size)))))
+    held = packed.groupBy("pack").applyInArrow(explode, "gram long, pack int, n long").repartition(size // 6 * 24 * order // TABLE_BYTES + 1, "gram")
+    totals = held.groupBy("gram").agg(F.sum("n").alias("total"))
+    # each pack knows its own n; what the others hold comes back
+    found = held.join(totals.hint("shuffle_hash"), "gram").where("total > n").select("pack", "gram", (F.col("total") - F.col("n")).alias("others"))
+    parts = saved(packed.groupBy("pack").cogroup(found.groupBy("pack")).applyInArrow(score, f"id {kind}, n long, part double, single long"))
     words = parts.agg(F.sum("n")).first()[0] or 0
     rest = F.greatest(F.lit(words) - F.when(F.lit(leave_out), F.col("n")).otherwise(0), F.lit(1))
     score = F.when(F.col("n") > 0, F.col("part") - F.col("single") * F.log(rest))

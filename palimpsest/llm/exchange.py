@@ -7,19 +7,23 @@ and sends each bucket of keys one compressed blob; the bucket answers each pack
 pack, read again from the same shuffle, goes on with the answers.
 
 A key as frequent as a third of all rows reaches its bucket once for each pack, not once for each row,
-so buckets stay even.  Packs and buckets follow from the bytes of input; memory is that of one pack, or
-one bucket, for each task.
+so buckets stay even.  Memory is that of one pack, or one bucket, for each task.  By default a pack has
+LEAST_PACK bytes, or more where a blob would else have fewer than BLOB: with p bytes in a pack and three
+times as many in a bucket, a blob has about 3 * p * p / total, so packs grow with the root of the input
+(6 MB for 30 GB, 40 MB for 1 TB, 370 MB for 100 TB, with executors to match).  A document larger than a
+pack makes a pack of its size.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PACK_BYTES = 4 << 20
+LEAST_PACK, BLOB = 4 << 20, 4 << 10
 
 #: (bucket, blob) for each bucket that a pack asks, from its rows and the answers of the step before
 Send = Callable[[pa.Table, dict[int, bytes], int], Iterator[tuple[int, bytes]]]
@@ -34,20 +38,32 @@ def text_bytes(docs: DataFrame, text_col: str) -> int:
     return int(docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0)
 
 
+def pack_size(total: int) -> int:
+    return max(LEAST_PACK, math.isqrt(total * BLOB // 3))
+
+
+def in_packs(docs: DataFrame, n_packs: int) -> DataFrame:
+    """docs with the pack that each row is dealt to."""
+    return docs.select(F.pmod(F.xxhash64("id", F.length("text")), F.lit(n_packs)).cast("int").alias("pack"), *docs.columns)
+
+
 def in_order(table: pa.Table) -> pa.Table:
     """Rows of a pack in one order however the shuffle delivered them, so that answers fit."""
     return table.sort_by([("id", "ascending"), ("text", "ascending")])
 
 
-def exchange(docs: DataFrame, steps: list[tuple[Send, Reduce]], finish: Finish, schema: str, sent_share: float, pack_bytes: int = PACK_BYTES, bucket_bytes: int = 12 << 20) -> DataFrame:
+def exchange(docs: DataFrame, steps: list[tuple[Send, Reduce]], finish: Finish, schema: str, sent_share: float, pack_bytes: int | None = None, bucket_bytes: int | None = None) -> DataFrame:
     """docs: columns id and text. steps: questions and answers, each step knowing the last one's answers.
 
-    sent_share: bytes that a step sends for each byte of text, for the number of buckets.
+    sent_share: bytes that a step sends for each byte of text, for the number of buckets. pack_bytes and
+    bucket_bytes: bytes of text in a pack and bytes sent to a bucket.
     """
     total = text_bytes(docs, "text")
+    pack_bytes = pack_bytes or pack_size(total)
+    bucket_bytes = bucket_bytes or 3 * pack_bytes
     n_packs = max(1, -(-total // pack_bytes))
     n_buckets = max(1, int(total * sent_share) // bucket_bytes + 1)
-    packed = docs.select(F.pmod(F.xxhash64("id", F.length("text")), F.lit(n_packs)).cast("int").alias("pack"), *docs.columns)
+    packed = in_packs(docs, n_packs)
 
     def by_bucket(table: pa.Table) -> dict[int, bytes]:
         return dict(zip(table["bucket"].to_pylist(), table["blob"].to_pylist(), strict=True))

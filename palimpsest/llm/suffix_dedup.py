@@ -189,11 +189,11 @@ def longest_previous(doc: np.ndarray, lcp: np.ndarray, least: int = 1) -> np.nda
     return out
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, carried: list[str] | None = None, renamed: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, carried: list[str] | None = None, renamed: bool = True, **sizes: int) -> DataFrame:
     """Returns id_col, n_bytes, n_removed, n_spans, kept_sha256 and, with_text, the text that is left; then the columns carried along, under names _c0, _c1, .. if not renamed.
 
     with_text decodes what is left as UTF-8; characters cut apart are dropped from the text (the hash is
-    that of the bytes).
+    that of the bytes). sizes: pack_bytes and bucket_bytes of the exchange.
     """
     if width < GRAM:
         raise ValueError(f"width must be at least {GRAM}")
@@ -335,15 +335,15 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(more)))
     schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text + "".join(f", _c{i} {dict(docs.dtypes)[c]}" for i, c in enumerate(more))
-    out = exchange(rows, [(ask_holders, tell_shared), (send_runs, find_repeats)], finish, schema, 1.5).withColumnRenamed("id", id_col)
+    out = exchange(rows, [(ask_holders, tell_shared), (send_runs, find_repeats)], finish, schema, 1.5, **sizes).withColumnRenamed("id", id_col)
     return out.withColumnsRenamed({f"_c{i}": c for i, c in enumerate(more)}) if renamed else out
 
 
-def cleaned(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cleaned(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", **sizes: int) -> DataFrame:
     """docs with each text less its repeats; a document of which nothing is left stays, empty, and null texts stay null. A column n_chars follows the text."""
     others = [c for c in docs.columns if c not in (id_col, text_col)]
     rows = docs.select(id_col, text_col, *others, F.col(text_col).isNull().alias("is null"))
-    out = remove_repeats(rows, width, id_col, text_col, with_text=True, carried=[*others, "is null"], renamed=False)
+    out = remove_repeats(rows, width, id_col, text_col, with_text=True, carried=[*others, "is null"], renamed=False, **sizes)
     text = F.when(~F.col(f"_c{len(others)}"), F.col("kept_text"))
 
     def column(c: str):
