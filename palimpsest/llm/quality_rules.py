@@ -28,11 +28,12 @@ input's other columns play no part.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import saved, small
+from palimpsest.llm.shared import SMALL_ROWS, saved, small
 
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -41,6 +42,8 @@ WINDOW = 8
 REFERENCE = 250
 #: Grid of each transformed statistic: values are kept as whole multiples of 1 / GRID.
 GRID = (64, 64, 8, 8, 8)
+#: Steps of the grid beyond which values are clipped, so that sums of squares of 8 * 10**9 rows fit 64 bits.
+MOST = 32767
 #: Variance that is added to the scatter: rounding for the first two, counting error for the counts.
 ERROR = (1 / (12 * 64**2), 1 / (12 * 64**2), 1.0, 1.0, 1.0)
 #: Bins of distance for each factor e, in which the last of the nearest rows are sought.
@@ -51,7 +54,7 @@ RANDOM_STARTS = 24
 #: Starts of least determinant that go on after two steps.
 KEPT_STARTS = 8
 #: A fit whose log determinant falls by less has converged.
-LEAST_FALL = 1e-3
+LEAST_FALL = 1e-2
 
 
 def let(value: Column, body) -> Column:
@@ -102,7 +105,7 @@ def transformed(centre: Column) -> list[Column]:
     count = lambda x: 2 * F.sqrt(x * few + F.lit(0.375))
     letters = (F.col("word_chars") / n - centre) * F.sqrt(F.least(n, most) / most)
     stats = [F.log(F.log(n)), letters, count(F.col("n_symbols")), count(F.col("n_dup_lines")), count(F.col("n_repeat_words") / F.lit(2.0 * WINDOW))]
-    return [F.round(x * g).cast("long") for x, g in zip(stats, GRID, strict=True)]
+    return [F.round(F.greatest(F.least(x * g, F.lit(float(MOST))), F.lit(float(-MOST)))).cast("long") for x, g in zip(stats, GRID, strict=True)]
 
 
 def chi2_cdf(x: float, k: int) -> float:
@@ -139,8 +142,7 @@ FIT = [*(f"m{i}" for i in range(P)), *(f"w{i}{j}" for i, j in PAIRS), "logdet"]
 def sums(n: Column) -> list[Column]:
     """Exact sums over cells that n rows share each."""
     q = [F.col(c) for c in Q]
-    exact = lambda x: F.sum((x * n).cast("decimal(38,0)"))
-    return [F.sum(n).alias("n"), *(exact(q[i]).alias(f"s{i}") for i in range(P)), *(exact(q[i] * q[j]).alias(f"s{i}{j}") for i, j in PAIRS)]
+    return [F.sum(n).alias("n"), *(F.sum(q[i] * n).alias(f"s{i}") for i in range(P)), *(F.sum(q[i] * q[j] * n).alias(f"s{i}{j}") for i, j in PAIRS)]
 
 
 def scatter(df: DataFrame, factor: float) -> DataFrame:
@@ -186,17 +188,17 @@ def first_fits(cells: DataFrame) -> DataFrame:
     return named(robust, F.lit(0), "n").union(named(scatter(whole, 1.0), F.lit(1), "n")).union(named(few, F.col("start"), "rows"))
 
 
-def concentrated(cells: DataFrame, fits: DataFrame, share: float, factor: float) -> DataFrame:
-    """One concentration step: the fits to the nearest ceil(share * rows) rows of each."""
+def concentrated(cells: DataFrame, fits: DataFrame, share: float, factor: float, beside: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """One concentration step: the fits to the nearest ceil(share * rows) rows of each. beside: how tables of no more rows than the fits are joined."""
     wanted = F.ceil(F.col("rows") * F.lit(share))
-    near = distance(cells.join(small(fits), "g")).withColumn("bin", F.floor(F.log(F.greatest("d2", F.lit(1e-12))) * BINS))
+    near = distance(cells.join(beside(fits), "g")).withColumn("bin", F.floor(F.log(F.greatest("d2", F.lit(1e-12))) * BINS))
     bins = near.groupBy("g", "start", "bin").agg(F.max("rows").alias("rows"), *sums(F.col("n")))
     upto = F.sum("n").over(Window.partitionBy("g", "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    bins = saved(bins.withColumn("upto", upto).where(F.col("upto") - F.col("n") < wanted))
+    bins = bins.withColumn("upto", upto).where(F.col("upto") - F.col("n") < wanted)
     # the last bin is taken in part: its cells in the order of their distances
     last = bins.where(F.col("upto") > wanted).select("g", "start", "bin", (wanted - F.col("upto") + F.col("n")).alias("more"))
     order = Window.partitionBy("g", "start").orderBy("d2", *Q).rowsBetween(Window.unboundedPreceding, -1)
-    part = near.join(small(last), ["g", "start", "bin"]).withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
+    part = near.join(beside(last), ["g", "start", "bin"]).withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
     part = part.where("before < more").groupBy("g", "start", "rows").agg(*sums(F.least(F.col("n"), F.col("more") - F.col("before"))))
     core = bins.where(F.col("upto") <= wanted).select("g", "start", "rows", *SUMS).union(part.select("g", "start", "rows", *SUMS))
     return scatter(core.groupBy("g", "start", "rows").agg(*(F.sum(c).alias(c) for c in SUMS)), factor).select("g", "start", "rows", *FIT)
@@ -206,9 +208,10 @@ def fit_groups(cells: DataFrame, share: float, most_steps: int) -> DataFrame:
     """Fits by group of cells (g, q0 .., n rows): g, rows, centre, factor and logdet."""
     factor = consistency(share, P)
     fits = saved(first_fits(cells))
+    beside = F.broadcast if fits.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else lambda df: df
     for step in range(most_steps):
-        new = concentrated(cells, fits, share, factor)
-        both = new.join(fits.select("g", "start", F.struct(*FIT).alias("old")), ["g", "start"]).withColumn("fell", F.col("logdet") < F.col("old.logdet") - LEAST_FALL)
+        new = concentrated(cells, fits, share, factor, beside)
+        both = new.join(beside(fits.select("g", "start", F.struct(*FIT).alias("old"))), ["g", "start"]).withColumn("fell", F.col("logdet") < F.col("old.logdet") - LEAST_FALL)
         both = both.select("g", "start", "rows", *(F.when(F.col("fell"), F.col(c)).otherwise(F.col(f"old.{c}")).alias(c) for c in FIT), "fell")
         if step == 1:
             both = both.withColumn("place", F.row_number().over(Window.partitionBy("g").orderBy("logdet", "start"))).where(F.col("place") <= KEPT_STARTS).drop("place")
