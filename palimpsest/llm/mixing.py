@@ -1,8 +1,8 @@
 """Mixing sources to target weights (operator 9). DataFrame functions only.
 
 A source's weight is its share of tokens to the power of an exponent, normalised.  The exponent is
-bisected on a grid of 2**-20: the largest that reaches a target entropy, or the smallest that repeats no
-source more often than a limit.  A source's budget is its weight times the token budget (by default the
+bisected on a grid of 2**-20: the largest that reaches a target entropy, or the smallest at which the budget
+runs through no source more often than a limit; targets that can't be met are refused.  A source's budget is its weight times the token budget (by default the
 smallest budget at which every source is used whole at least once).  The budget is realised in epochs:
 each epoch of a source is a permutation of its documents by a hash of seed, epoch and id, cut into blocks
 of about `block_docs`; all whole epochs are used, and of the last one as long a beginning as the rest of
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.quality_rules import SPACES
-from palimpsest.llm.shared import saved
+from palimpsest.llm.shared import saved, small
 
 GRID = 20
 LEVELS = 4
@@ -40,33 +40,51 @@ def source_key(source_col: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("-"))
 
 
-def exponent(shares: DataFrame, target_entropy: float | None, repetition_limit: float | None) -> float:
-    """The exponent in [0, 1], from the column p of the sources' shares."""
+def exponent(shares: DataFrame, target_entropy: float | None, repetition_limit: float | None, budget_share: float | None = None) -> float:
+    """The exponent in [0, 1], from the column p of the sources' shares: the largest that reaches the entropy, else the smallest within the limit.
+
+    budget_share: the budget over all tokens; without one it is the least that uses every source whole once.
+    Raises ValueError for an entropy or a limit that no exponent meets, or if none meets both.
+    """
     entropy = lambda z, pl, a: math.log(z) - a * pl / z if z else 0.0
-    found = []
-    for wanted in ("entropy", "repetition"):
-        if (target_entropy if wanted == "entropy" else repetition_limit) is None:
+    epochs = lambda row, k: row[f"h{k}"] / row[f"w{k}"] if budget_share is None else budget_share * row[f"h{k}"] / row[f"z{k}"]
+
+    def sums(points: list[int]) -> dict:
+        """At points of the grid: sum of weights z, of weights times log shares l, most and least repetitions h and w."""
+        out = []
+        for k in points:
+            a = k / (1 << GRID)
+            w, again = F.pow("p", F.lit(a)), F.pow("p", F.lit(a - 1))
+            out += [F.sum(w).alias(f"z{k}"), F.sum(w * F.log("p")).alias(f"l{k}"), F.max(again).alias(f"h{k}"), F.min(again).alias(f"w{k}")]
+        return shares.agg(*out).first().asDict()
+
+    reaches = lambda row, k: entropy(row[f"z{k}"], row[f"l{k}"], k / (1 << GRID)) >= target_entropy - 1e-9
+    within = lambda row, k: epochs(row, k) <= repetition_limit * (1 + 1e-9)
+    top = 1 << GRID
+    ends = sums([0, top])
+    if target_entropy is not None and not reaches(ends, 0):
+        raise ValueError(f"an entropy of {target_entropy} is beyond that of equal weights")
+    if repetition_limit is not None and not within(ends, top):
+        raise ValueError(f"the budget repeats the corpus more often than {repetition_limit} times, whatever the weights")
+    found = {}
+    for wanted, ok, low in (("entropy", reaches, True), ("repetition", within, False)):
+        if (target_entropy if low else repetition_limit) is None:
+            continue
+        if ok(ends, top if low else 0):  # the natural shares reach the entropy, or equal weights stay within the limit
+            found[wanted] = float(low)
             continue
-        lo, hi, level = 0, 1 << GRID, GRID  # grid points; the answer lies in between
+        lo, hi, level = 0, top, GRID  # grid points; the answer lies in between
         while level > 0:
             step = min(LEVELS, level)
-            inner = [lo + ((hi - lo) * k >> step) for k in range(1, 1 << step)]
-            sums = []
-            for k, x in enumerate(inner):
-                a = x / (1 << GRID)
-                w = F.pow("p", F.lit(a))
-                sums += [F.sum(w).alias(f"z{k}"), F.sum(w * F.log("p")).alias(f"l{k}"), (F.max(F.pow("p", F.lit(a - 1))) / F.min(F.pow("p", F.lit(a - 1)))).alias(f"r{k}")]
-            row = shares.agg(*sums).first()
+            row = sums([lo + ((hi - lo) * k >> step) for k in range(1, 1 << step)])
             for _ in range(step):
                 mid = (lo + hi) // 2
-                k = inner.index(mid)
-                if wanted == "entropy":
-                    lo, hi = (mid, hi) if entropy(row[f"z{k}"], row[f"l{k}"], mid / (1 << GRID)) >= target_entropy else (lo, mid)
-                else:
-                    lo, hi = (lo, mid) if row[f"r{k}"] <= repetition_limit else (mid, hi)
+                lo, hi = (mid, hi) if ok(row, mid) == low else (lo, mid)
             level -= step
-        found.append((lo if wanted == "entropy" else hi) / (1 << GRID))
-    return max(found, default=1.0)
+        found[wanted] = (lo if low else hi) / top
+    if len(found) == 2 and found["repetition"] > found["entropy"]:
+        raise ValueError(f"no weights reach an entropy of {target_entropy} within {repetition_limit} repetitions")
+    return found.get("entropy", found.get("repetition", 1.0))
 
 
 def weights(rows: DataFrame, target_entropy: float | None, repetition_limit: float | None, budget: int | None, block_docs: int) -> DataFrame:
@@ -74,7 +92,7 @@ def weights(rows: DataFrame, target_entropy: float | None, repetition_limit: flo
     sources = saved(rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")))
     total = sources.agg(F.sum("tokens")).first()[0] or 0
     shares = sources.where("tokens > 0").select("source", (F.col("tokens") / F.lit(float(max(total, 1)))).alias("p"))
-    a = exponent(shares, target_entropy, repetition_limit) if total else 1.0
+    a = exponent(shares, target_entropy, repetition_limit, None if budget is None else budget / total) if total else 1.0
     z, low = shares.agg(F.sum(F.pow("p", F.lit(a))), F.min(F.pow("p", F.lit(a - 1)))).first() if total else (1.0, 1.0)
     # At this budget the source with the fewest repetitions is used just once.
     tokens = float(budget) if budget is not None else total * z / low
@@ -87,7 +105,7 @@ def weights(rows: DataFrame, target_entropy: float | None, repetition_limit: flo
 def permuted(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     """A row for each copy that the budgets pay: source, id, n_tokens, epoch, block, h, before (tokens of the source before it), budget."""
     epochs = F.sequence(F.lit(0).cast("long"), F.when(F.col("rest") > 0, F.col("whole")).otherwise(F.col("whole") - 1))
-    copies = rows.join(plan.where("whole > 0 OR rest > 0"), "source").withColumn("epoch", F.explode(epochs))
+    copies = rows.join(small(plan).where("whole > 0 OR rest > 0"), "source").withColumn("epoch", F.explode(epochs))
     copies = copies.withColumn("h", F.xxhash64(F.lit(seed), "epoch", F.coalesce(F.col("id").cast("string"), F.lit("-")))).withColumn("block", F.expr("pmod(h, blocks)"))
     blocks = copies.groupBy("source", "epoch", "block").agg(F.sum("n_tokens").alias("held"))
     earlier = Window.partitionBy("source", "epoch").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -123,5 +141,5 @@ def mixed_rows(docs: DataFrame, target_entropy: float | None = None, repetition_
     h = F.xxhash64(F.lit(seed), F.col("_whole"), own_id)
     at = F.struct(F.pmod(h, F.col("_blocks")).alias("block"), h.alias("h"), own_id.alias("id"))
     times = F.col("_whole") + F.coalesce((at <= F.col("_last")).cast("int"), F.lit(0))
-    out = docs.withColumn("_s", source_key(source_col)).join(by_source, "_s").withColumn("_n", times.cast("int"))
+    out = docs.withColumn("_s", source_key(source_col)).join(small(by_source), "_s").withColumn("_n", times.cast("int"))
     return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_n")))).select(*[F.col(f"`{c}`") for c in docs.columns])

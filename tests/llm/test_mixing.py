@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.llm import mixing
@@ -89,3 +90,34 @@ def test_empty_and_single(spark):
     assert mixing.mix(frame(spark, [])).collect() == []
     assert mixing.mixed_rows(frame(spark, [])).collect() == []
     assert [x.epoch for x in mixing.mix(frame(spark, [(1, "a b", "s")])).collect()] == [0]
+
+
+def two_sources(spark):
+    return frame(spark, [(d, "w " * 40, "small") for d in range(3)] + [(100 + d, "w " * 40, "large") for d in range(30)])
+
+
+def epochs(got):
+    return {s: max(x.epoch for x in got if x.source == s) + 1 for s in {x.source for x in got}}
+
+
+def test_repetition_limit_holds_under_any_budget(spark):
+    df = two_sources(spark)
+    # 1,320 tokens; a budget of 2,000 repeats them 1.5 times, the smaller source no more than twice
+    assert epochs(mixing.mix(df, repetition_limit=2.0, budget=2000).collect()) == {"small": 2, "large": 2}
+    got = mixing.mix(df, repetition_limit=2.0, budget=1320).collect()
+    assert epochs(got)["small"] <= 2 and sum(x.n_tokens for x in got if x.source == "small") <= 2 * 120
+    with pytest.raises(ValueError, match="repeats"):
+        mixing.mix(df, repetition_limit=2.0, budget=5000)
+
+
+def test_targets_that_cannot_be_met(spark):
+    df = two_sources(spark)
+    with pytest.raises(ValueError, match="entropy"):
+        mixing.mix(df, target_entropy=5.0, repetition_limit=None)
+    with pytest.raises(ValueError, match="within"):
+        mixing.mix(df, target_entropy=math.log(2) - 1e-6, repetition_limit=1.5)
+    p = spark.createDataFrame([(3 / 33,), (30 / 33,)], "p double")
+    a = mixing.exponent(p, 0.4, 6.0)
+    w = [(3 / 33) ** a, (30 / 33) ** a]
+    h = -sum(x / sum(w) * math.log(x / sum(w)) for x in w)
+    assert h >= 0.4 - 1e-6 and (3 / 30) ** (a - 1) <= 6.0
