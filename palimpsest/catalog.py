@@ -98,9 +98,9 @@ def or_max_dedupe(s, d):
     return combine.either(*_legs(s, d)).select("query_id", "id", "score")
 
 
-@query(with_views("knn_all", "kw") + " SELECT query_id, id, score FROM knn_all WHERE id IN (SELECT id FROM kw) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10")
+@query(with_views("knn_all", "kw") + " SELECT query_id, id, score FROM knn_all SEMI JOIN kw USING (query_id, id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10")
 def then_semijoin(s, d):
-    return combine.then(_legs(s, d)[1], lambda index: leaves.vector_search(M.query_vectors(s, d), index, 10), M.vectors(s, d)).select("query_id", "id", "score")
+    return combine.then(_legs(s, d)[1], lambda pairs: leaves.vector_search(M.query_vectors(s, d), M.vectors(s, d), 10, within=pairs)).select("query_id", "id", "score")
 
 
 @query(with_views("fused") + " SELECT query_id, id, score FROM fused")
@@ -438,11 +438,39 @@ def adjacent_coherence(s, d):
     return ingest.adjacent_coherence(M.vectors(s, d), "label", "id").withColumn("coherence", F.round("coherence", 4))
 
 
-@query("WITH c AS (SELECT doc_id AS episode_id, unnest([0, 1, 2]) AS candidate_no, (doc_id * 7 % 11) / 11 AS a, (doc_id * 5 % 13) / 13 AS b FROM documents), t AS (SELECT episode_id, candidate_no, round(0.6::DOUBLE * a * (candidate_no + 1) + 0.4::DOUBLE * b * (3 - candidate_no), 6) AS total FROM c) SELECT episode_id, candidate_no::BIGINT AS candidate_no, total FROM t QUALIFY row_number() OVER (PARTITION BY episode_id ORDER BY total DESC, candidate_no) = 1")
+PRONOUNS = ", ".join(f"'{x}'" for x in ingest.ONSET_PRONOUNS)
+CANDIDATES = f"""WITH {WORDS}, k AS (SELECT * FROM (VALUES (0, 384, 284), (1, 769, 669)) t(candidate_no, size, step)),
+    c AS (SELECT episode_id, candidate_no, w[step * i + 1:step * i + size] AS c FROM (SELECT *, unnest(range(greatest(1, ceil((len(w) - 100) / step)::BIGINT))) AS i FROM w, k WHERE len(w) > 0)),
+    m AS (SELECT episode_id, candidate_no, greatest(0, 1 - abs(ceil(len(c) * 1.3::DOUBLE) - 500) / 500) AS size, CASE WHEN regexp_replace(lower(c[1]), '[^\\p{{L}}]+$', '') IN ({PRONOUNS}) THEN 0.3 ELSE 1 END AS reference FROM c),
+    s AS (SELECT episode_id, candidate_no, round(avg(size), 6) AS size, round(avg(reference), 6) AS reference FROM m GROUP BY ALL)"""
+
+
+def _candidates(s, d):
+    e = M.episodes(s, d)
+    plain = ingest.chunk_plain(e).withColumn("candidate", F.lit(0).cast("long")).unionByName(ingest.size_variant(e).withColumn("candidate", F.lit(1).cast("long")))
+    out = ingest.candidate_scores(plain).withColumnRenamed("candidate", "candidate_no")
+    return out.withColumns({"size": F.round("size", 6), "reference": F.round("reference", 6)})
+
+
+@query(CANDIDATES + " SELECT episode_id, candidate_no::BIGINT AS candidate_no, size, reference FROM s")
+def chunk_quality(s, d):
+    """Size and reference scores of the plain chunking and of its variant of twice the size."""
+    return _candidates(s, d)
+
+
+@query(CANDIDATES + ", t AS (SELECT episode_id, candidate_no, round(0.6::DOUBLE * size + 0.4::DOUBLE * reference, 6) AS total FROM s) SELECT episode_id, candidate_no::BIGINT AS candidate_no, total FROM t QUALIFY row_number() OVER (PARTITION BY episode_id ORDER BY total DESC, candidate_no) = 1")
 def bakeoff_select(s, d):
-    c = M.episodes(s, d).select(F.col("id").alias("episode_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("candidate_no"))
-    c = c.withColumns({"x": (F.col("episode_id") * 7 % 11) / 11 * (F.col("candidate_no") + 1), "y": (F.col("episode_id") * 5 % 13) / 13 * (3 - F.col("candidate_no"))})
-    return ingest.bakeoff(c, {"x": 0.6, "y": 0.4})
+    return ingest.bakeoff(_candidates(s, d), {"size": 0.6, "reference": 0.4})
+
+
+@query("SELECT a.label::BIGINT AS label, round((avg(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) + 1) / 2, 5) AS cohesion FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY a.label")
+def chunk_cohesion(s, d):
+    return ingest.cohesion(M.vectors(s, d), "label").withColumn("cohesion", F.round("cohesion", 5))
+
+
+@query("WITH p AS (SELECT label, embedding::DOUBLE[] AS v, lag(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings) SELECT label::BIGINT AS label, round(round(avg(least(1, greatest(0, 1 - list_cosine_similarity(v, p)))), 6), 5) AS contrast FROM p WHERE p IS NOT NULL GROUP BY label")
+def chunk_contrast(s, d):
+    return ingest.contrast(M.vectors(s, d), "label", "id").withColumn("contrast", F.round("contrast", 5))
 
 
 @query("WITH h AS (SELECT conv_id AS episode_id, turn AS seq, 1 + turn % 3 AS level FROM conversations) SELECT episode_id, seq, level, (SELECT max(p.seq) FROM h p WHERE p.episode_id = h.episode_id AND p.seq < h.seq AND p.level < h.level) AS parent FROM h")
@@ -569,7 +597,9 @@ def soft_forget(s, d):
 
 @query(with_views("ep") + " SELECT id FROM ep WHERE NOT starts_with(source, 'doc:src5')")
 def hard_forget(s, d):
-    return lifecycle.hard_forget(M.episodes(s, d), F.col("source").startswith("doc:src5"), "token").select("id")
+    target = F.col("source").startswith("doc:src5")
+    token = lifecycle.dry_run(M.episodes(s, d), M.chunks(s, d), target, hard=True).first()["token"]
+    return lifecycle.hard_forget(M.episodes(s, d), target, token).select("id")
 
 
 @query(with_views("ep") + f" SELECT id, CASE WHEN scope = 'fr' AND sys_to IS NULL THEN {NOW} ELSE sys_to END AS sys_to FROM ep")
@@ -579,7 +609,7 @@ def forget_cascade(s, d):
 
 @query(with_views("ep") + f" SELECT count(*) AS matched, 2 * count(*) AS rows_written, TRUE AS preview FROM ep WHERE valid_from < {NOW - 30 * DAY} AND sys_to IS NULL")
 def retention_preview(s, d):
-    return lifecycle.dry_run(M.episodes(s, d), M.chunks(s, d), lifecycle.older_than(NOW, 30 * DAY))
+    return lifecycle.dry_run(M.episodes(s, d), M.chunks(s, d), lifecycle.older_than(NOW, 30 * DAY)).drop("token")
 
 
 @query(with_views("ep") + f" SELECT id, CASE WHEN id = 40 AND sys_to IS NULL AND sys_from BETWEEN {START} AND {START + 64 * HOUR} THEN {NOW} ELSE sys_to END AS sys_to FROM ep")

@@ -21,9 +21,9 @@ def either(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.unionByName(right).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def then(first: DataFrame, search: Callable[[DataFrame], DataFrame], index: DataFrame) -> DataFrame:
-    """search over the part of the index that first found; the part is taken before search ranks."""
-    return search(index.join(first.select("id").distinct(), "id", "left_semi"))
+def then(first: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """search held to what first found for each query: it gets the pairs (query_id, id) and ranks among them only."""
+    return search(first.select("query_id", "id").distinct())
 
 
 def fuse_rrf(hits: DataFrame, k: int = RRF_K, weights: dict[str, float] | None = None) -> DataFrame:
@@ -46,10 +46,15 @@ def fuse_with_provenance(hits: DataFrame, weights: dict[str, float], k: int = RR
     return out
 
 
-def degraded_fallback(preferred: Callable[[], DataFrame], fallback: Callable[[], DataFrame]) -> DataFrame:
-    """What preferred makes, or on an error of planning what fallback makes, marked degraded."""
+def degraded_fallback(preferred: Callable[[], DataFrame], fallback: Callable[[], DataFrame], run: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """What preferred makes, or on an error what fallback makes, marked degraded.
+
+    Plans fail while they are made; rows fail when they are read. run (sources.tables.saved, say) makes the
+    preferred rows here, so that either failure falls back.
+    """
     try:
-        return preferred().withColumn("degraded", F.lit(False))
+        rows = preferred()
+        return (run(rows) if run else rows).withColumn("degraded", F.lit(False))
     except Exception:  # noqa: BLE001 any failure of the preferred plan is what this is for
         return fallback().withColumn("degraded", F.lit(True))
 

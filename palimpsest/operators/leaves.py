@@ -32,13 +32,31 @@ def knn_eligible(vector: str = "embedding"):
     return F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def vector_search(queries: DataFrame, index: DataFrame, k: int, leg: str = "chunks") -> DataFrame:
+def cosine_of(a: str, b: str):
+    """Cosine of two arrays of one length, 0 where one vanishes."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
+    x, y = F.col(a).cast("array<double>"), F.col(b).cast("array<double>")
+    n = F.sqrt(dot(x, x)) * F.sqrt(dot(y, y))
+    return F.when(n < 1e-12, 0.0).otherwise(dot(x, y) / n)
+
+
+def vector_scores(queries: DataFrame, index: DataFrame, k: int, leg: str, within: DataFrame) -> DataFrame:
+    """As vector_search, over the ids that each query is held to (query_id, id) only."""
+    pairs = within.select("query_id", "id").distinct().join(queries.select("query_id", F.col("embedding").alias("_q")), "query_id")
+    rows = pairs.join(index.where(knn_eligible()).select(F.col("id").cast("long").alias("id"), "embedding"), "id").where(F.size("_q") == F.size("embedding"))
+    score = F.round(1 / (1 + F.greatest(1 - cosine_of("embedding", "_q"), F.lit(0.0))), 6)
+    return top(rows.select("query_id", "id", score.alias("score")), k).select("query_id", "id", "score", F.lit("Vector").alias("source_op"), F.lit(leg).alias("leg"))
+
+
+def vector_search(queries: DataFrame, index: DataFrame, k: int, leg: str = "chunks", within: DataFrame | None = None) -> DataFrame:
     """The k nearest by cosine for each query (query_id, embedding) in an index (id, embedding, ..).
 
-    A stated set of queries is multiplied with each block of the index, and a block passes on no more
+    within: pairs (query_id, id) that the search is held to, before it ranks. A stated set of queries is multiplied with each block of the index, and a block passes on no more
     than its own k best for each query; score = 1 / (1 + distance).
     """
     k = clamp_k(k)
+    if within is not None:
+        return vector_scores(queries, index, k, leg, within)
     rows = queries.select("query_id", F.col("embedding").cast("array<double>").alias("v")).limit(MOST_QUERIES + 1).collect()
     if len(rows) > MOST_QUERIES:
         raise ValueError(f"more than {MOST_QUERIES} query vectors in one search")
@@ -99,8 +117,11 @@ def min_max(hits: DataFrame) -> DataFrame:
     return hits.withColumn("score", F.round(F.when(high - low <= 1e-12, 1.0).otherwise((F.col("score") - low) / (high - low)), 6))
 
 
-def keyword_search(queries: DataFrame, index: DataFrame, k: int, leg: str = "chunks", normalise: bool = True) -> DataFrame:
-    found = top(bm25_scores(queries, index), clamp_k(k)).drop("rank")
+def keyword_search(queries: DataFrame, index: DataFrame, k: int, leg: str = "chunks", normalise: bool = True, within: DataFrame | None = None) -> DataFrame:
+    """The k best by BM25 for each query. within: pairs (query_id, id) that the search is held to, before it ranks; the corpus's statistics stay."""
+    scores = bm25_scores(queries, index)
+    scores = scores if within is None else scores.join(within.select("query_id", "id").distinct(), ["query_id", "id"], "left_semi")
+    found = top(scores, clamp_k(k)).drop("rank")
     found = min_max(found) if normalise else found
     return found.select("query_id", "id", "score", F.lit("Keyword").alias("source_op"), F.lit(leg).alias("leg"))
 

@@ -17,19 +17,26 @@ def soft_forget(rows: DataFrame, matched: Column, now: int) -> DataFrame:
     return rows.withColumn("sys_to", F.when(matched & F.col("sys_to").isNull(), F.lit(now)).otherwise(F.col("sys_to")))
 
 
+def target_token(matched_ids: DataFrame) -> DataFrame:
+    """One row: how many rows a target matches, and a token that only the same rows give."""
+    rows = matched_ids.agg(F.count(F.lit(1)).alias("matched"), F.coalesce(F.sum(F.xxhash64("id").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("_sum"))
+    return rows.select("matched", F.sha2(F.concat_ws(":", F.lit("dry run"), F.col("matched").cast("string"), F.col("_sum").cast("string")).cast("binary"), 256).alias("token"))
+
+
 def hard_forget(rows: DataFrame, matched: Column, token: str | None) -> DataFrame:
-    """Drops matching rows; takes the token of a dry run."""
-    if not token:
-        raise PermissionError("hard deletion takes the token of a dry run")
-    return rows.where(~F.coalesce(matched, F.lit(False)))
+    """Drops matching rows. Takes the token of a dry run of the same target over the same rows: one that matched others, or none, is refused."""
+    hit = F.coalesce(matched, F.lit(False))
+    if not token or token != target_token(rows.where(hit).select("id")).first()["token"]:
+        raise PermissionError("hard deletion takes the token of a dry run of the same target")
+    return rows.where(~hit)
 
 
-def dry_run(episodes: DataFrame, chunks: DataFrame, matched: Column) -> DataFrame:
-    """How many open episodes match, and how many rows would be written."""
-    hit = episodes.where(matched & F.col("sys_to").isNull()).select("id")
-    n = hit.agg(F.count(F.lit(1)).alias("matched"))
+def dry_run(episodes: DataFrame, chunks: DataFrame, matched: Column, hard: bool = False) -> DataFrame:
+    """How many open episodes match (of a hard deletion: open or not), how many rows would be written, and the token for it."""
+    hit = episodes.where(matched if hard else matched & F.col("sys_to").isNull()).select("id")
+    n = target_token(hit)
     c = chunks.join(hit.withColumnRenamed("id", "episode_id"), "episode_id", "left_semi").agg(F.count(F.lit(1)).alias("_c"))
-    return n.crossJoin(c).select("matched", (F.col("matched") + F.col("_c")).alias("rows_written"), F.lit(True).alias("preview"))
+    return n.crossJoin(c).select("matched", (F.col("matched") + F.col("_c")).alias("rows_written"), F.lit(True).alias("preview"), "token")  # one row each
 
 
 def cascade(episodes: DataFrame, chunks: DataFrame, matched: Column, now: int) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +29,7 @@ class Context:
     members: DataFrame | None = None
     scorer: Callable | None = None
     as_of: int | None = None
+    within: DataFrame | None = None
     extra: dict[str, Callable[[dict, Context], DataFrame]] = field(default_factory=dict)
 
     def index(self, tables: dict[str, DataFrame], name: str) -> DataFrame | None:
@@ -61,32 +62,32 @@ def compile_plan(node: dict, c: Context) -> DataFrame:
         table = c.index(c.vector_tables if op == "vector" else c.text_tables, index)
         if table is None:
             return spark.createDataFrame([], HITS)
-        table = narrowed(table)
-        if "_within" in node:
-            table = table.join(node["_within"].select("id").distinct(), "id", "left_semi")
-        return leaves.vector_search(c.vectors, table, k, index) if op == "vector" else leaves.keyword_search(c.texts, table, k, index)
+        search, asked = (leaves.vector_search, c.vectors) if op == "vector" else (leaves.keyword_search, c.texts)
+        return search(asked, narrowed(table), k, index, within=c.within)
     if op == "graph":
         seeds = spark.createDataFrame([(int(x["query_id"]), int(x["id"]), float(x.get("confidence", 1.0))) for x in need(node, "seeds", list)], "query_id long, id long, confidence double")
         if c.edges is None or not node["seeds"]:
             return spark.createDataFrame([], HITS)
-        return graph.graph_hits(seeds, c.edges, node.get("hops", 2), node.get("k", 30)).select("query_id", "id", "score", "source_op", "leg")
+        k = node.get("k", 30)
+        hits = graph.graph_hits(seeds, c.edges, node.get("hops", 2), k if c.within is None else leaves.MOST_K).select("query_id", "id", "score", "source_op", "leg")
+        return hits if c.within is None else leaves.top(held(hits, c), k).drop("rank")
     if op == "navigate":
         fallback = {"op": "vector", "index": node.get("fallback", need(node, "index", str)), "k": need(node, "k", int)} | {k: v for k, v in node.items() if k == "filter"}
-        if "filter" in node or c.edges is None:  # a filtered walk is a filtered search
+        if "filter" in node or c.edges is None or c.within is not None:  # a filtered walk is a filtered search
             return compile_plan(fallback, c)
         seeds = compile_plan({"op": "vector", "index": node["index"], "k": node["k"]}, c)
         return graph.navigate(seeds, c.edges, node.get("hops", 2), node["k"]).select("query_id", "id", "score", F.lit("Graph").alias("source_op"), F.lit(node["index"]).alias("leg"))
     if op == "tree":
         if c.members is None:
             return spark.createDataFrame([], HITS)
-        hits = compile_plan({"op": "vector", "index": need(node, "index", str), "k": need(node, "k", int)}, c)
-        return graph.descend(hits, c.members, node.get("depth", 1)).select("query_id", "id", "score", F.lit("Tree").alias("source_op"), F.lit(node["index"]).alias("leg"))
+        hits = compile_plan({"op": "vector", "index": need(node, "index", str), "k": need(node, "k", int)}, replace(c, within=None))
+        return held(graph.descend(hits, c.members, node.get("depth", 1)), c).select("query_id", "id", "score", F.lit("Tree").alias("source_op"), F.lit(node["index"]).alias("leg"))
     if op == "and":
         return combine.both(below("left"), below("right"))
     if op == "or":
         return combine.either(below("left"), below("right"))
     if op == "then":
-        return compile_plan(need(node, "right", dict) | {"_within": below("left")}, c)
+        return combine.then(below("left"), lambda pairs: compile_plan(need(node, "right", dict), replace(c, within=pairs)))
     if op == "fuse_rrf":
         return combine.fuse_rrf(below(), node.get("k", combine.RRF_K), node.get("weights"))
     if op == "top":
@@ -101,10 +102,15 @@ def compile_plan(node: dict, c: Context) -> DataFrame:
         table = narrowed(c.index(c.text_tables, need(node, "index", str)))
         return aggregate.aggregate(table, need(node, "group_by", str), [(r["op"], r.get("field")) for r in need(node, "reducers", list)], limit=node.get("limit"))
     if op in c.extra:
-        return c.extra[op](node, c)
+        return held(c.extra[op](node, c), c)
     raise PlanError(f"unknown op {op}")
 
 
+def held(hits: DataFrame, c: Context) -> DataFrame:
+    """Hits among those that an enclosing then allows."""
+    return hits if c.within is None else hits.join(c.within, ["query_id", "id"], "left_semi")
+
+
 def printed(node: dict) -> str:
     """One line for a plan, equal for equal plans."""
     op = node["op"]

