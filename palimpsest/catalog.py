@@ -883,3 +883,6 @@ def json_plan(s, d):
     """A plan with a fallback: without edges a walk is a vector search."""
     plan = {"op": "top", "n": 20, "input": {"op": "fuse_rrf", "input": {"op": "and", "left": {"op": "navigate", "index": "chunks", "k": 20}, "right": {"op": "keyword", "index": "chunks", "k": 30}}}}
     return tree.compile_plan(plan, context(s, d)).select("query_id", "id", "score")
+
+
+from palimpsest import catalog_services  # noqa: E402, F401 registers its queries
