@@ -42,6 +42,10 @@ def pack_size(total: int) -> int:
     return max(LEAST_PACK, math.isqrt(total * BLOB // 3))
 
 
+def packs(total: int, pack_bytes: int | None = None) -> int:
+    return max(1, -(-total // (pack_bytes or pack_size(total))))
+
+
 def in_packs(docs: DataFrame, n_packs: int) -> DataFrame:
     """docs with the pack that each row is dealt to."""
     return docs.select(F.pmod(F.xxhash64("id", F.length("text")), F.lit(n_packs)).cast("int").alias("pack"), *docs.columns)
@@ -52,16 +56,16 @@ def in_order(table: pa.Table) -> pa.Table:
     return table.sort_by([("id", "ascending"), ("text", "ascending")])
 
 
-def exchange(docs: DataFrame, steps: list[tuple[Send, Reduce]], finish: Finish, schema: str, sent_share: float, pack_bytes: int | None = None, bucket_bytes: int | None = None) -> DataFrame:
+def exchange(docs: DataFrame, steps: list[tuple[Send, Reduce]], finish: Finish, schema: str, sent_share: float, pack_bytes: int | None = None, bucket_bytes: int | None = None, total: int | None = None) -> DataFrame:
     """docs: columns id and text. steps: questions and answers, each step knowing the last one's answers.
 
     sent_share: bytes that a step sends for each byte of text, for the number of buckets. pack_bytes and
-    bucket_bytes: bytes of text in a pack and bytes sent to a bucket.
+    bucket_bytes: bytes of text in a pack and bytes sent to a bucket. total: bytes of all texts, if they are
+    known. A pack's rows come with their column pack.
     """
-    total = text_bytes(docs, "text")
-    pack_bytes = pack_bytes or pack_size(total)
-    bucket_bytes = bucket_bytes or 3 * pack_bytes
-    n_packs = max(1, -(-total // pack_bytes))
+    total = text_bytes(docs, "text") if total is None else total
+    n_packs = packs(total, pack_bytes)
+    bucket_bytes = bucket_bytes or 3 * (pack_bytes or pack_size(total))
     n_buckets = max(1, int(total * sent_share) // bucket_bytes + 1)
     packed = in_packs(docs, n_packs)
 
