@@ -132,21 +132,21 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
-    """Ascending 64-bit integers as differences of as few whole bytes as the largest needs."""
+    """Ascending 64-bit integers as differences of as few whole bytes as the largest needs, byte by byte, compressed."""
     if not len(keys):
         return b""
     steps = np.diff(keys, prepend=U64(0))
     first, steps = steps[0], steps[1:]
     width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
-    body = steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    return bytes([width]) + first.astype("<u8").tobytes() + body.tobytes()
+    planes = np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)  # high bytes are mostly zero
+    return bytes([width]) + first.astype("<u8").tobytes() + squeeze(planes.ravel())
 
 
 def unpack_sorted(blob: bytes) -> np.ndarray:
     if not blob:
         return np.zeros(0, U64)
     width = blob[0]
-    body = np.frombuffer(blob, np.uint8, offset=9).reshape(-1, width)
+    body = unsqueeze(blob[9:], "u1")[0].reshape(width, -1).T
     steps = np.zeros((len(body) + 1, 8), np.uint8)
     steps[1:, :width] = body
     steps[0] = np.frombuffer(blob, np.uint8, 8, 1)
@@ -173,24 +173,26 @@ def unsqueeze(blob: bytes, *types: str) -> list[np.ndarray]:
 
 
 def pack_ints(*arrays: np.ndarray) -> bytes:
-    """Integer arrays less their least values, in as few bytes each as the largest needs, compressed."""
+    """Integer arrays less their least values, in as few bytes each as the largest needs, byte by byte, compressed."""
     parts = [np.array([len(arrays)], "<i8").tobytes()]
     for a in arrays:
         low = int(a.min()) if len(a) else 0
-        top = int(a.max()) - low if len(a) else 0
-        kind = next(k for k in ("<u1", "<u2", "<u4", "<u8") if top < 1 << 8 * np.dtype(k).itemsize)
-        body = (a.astype("<i8") - low).astype(kind).tobytes()
-        parts += [np.array([low, len(a), np.dtype(kind).itemsize], "<i8").tobytes(), body]
+        width = max(1, ((int(a.max()) - low).bit_length() + 7) // 8) if len(a) else 1
+        body = (a.astype(np.int64).view(U64) - np.int64(low).view(U64)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+        parts += [np.array([low, len(a), width], "<i8").tobytes(), np.ascontiguousarray(body.T).tobytes()]
     return squeeze(np.frombuffer(b"".join(parts), "u1"))
 
 
 def unpack_ints(blob: bytes) -> list[np.ndarray]:
-    body = unsqueeze(blob, "u1")[0].tobytes()
-    n, at, out = int(np.frombuffer(body, "<i8", 1)[0]), 8, []
+    body = unsqueeze(blob, "u1")[0]
+    n, at, out = int(body[:8].view("<i8")[0]), 8, []
     for _ in range(n):
-        low, size, width = (int(x) for x in np.frombuffer(body, "<i8", 3, at))
+        low, size, width = (int(x) for x in np.frombuffer(body[at : at + 24].tobytes(), "<i8"))
         at += 24
-        out.append(np.frombuffer(body, f"<u{width}", size, at).astype(np.int64) + low)
+        wide = np.zeros((size, 8), np.uint8)
+        wide[:, :width] = body[at : at + size * width].reshape(width, size).T
+        with np.errstate(over="ignore"):
+            out.append((wide.view("<u8").ravel() + np.int64(low).view(U64)).view(np.int64))
         at += size * width
     return out
 

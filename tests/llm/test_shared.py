@@ -58,3 +58,16 @@ def test_long_words_hash_by_their_bytes():
     starts, ends, _ = arrays.word_spans(data, np.array([0, len(data)]))
     h = arrays.span_hashes(data, starts, ends)
     assert len(h) == 3 and h[0] == h[1] != h[2]
+
+
+def test_packed_integers_of_any_size():
+    import numpy as np
+
+    from palimpsest.llm import arrays
+
+    cases = [np.array([], np.int64), np.array([5]), np.array([-7, 2**40, 3]), np.array([-(2**63), 2**63 - 1]), np.arange(1000) % 300]
+    got = arrays.unpack_ints(arrays.pack_ints(*cases))
+    assert [g.tolist() for g in got] == [c.tolist() for c in cases]
+    keys = np.array([0, 1, 1 << 20, (1 << 64) - 1], np.uint64)
+    assert arrays.unpack_sorted(arrays.pack_sorted(keys)).tolist() == keys.tolist()
+    assert arrays.unpack_sorted(arrays.pack_sorted(keys[:1])).tolist() == [0] and len(arrays.unpack_sorted(arrays.pack_sorted(keys[:0]))) == 0
