@@ -123,6 +123,15 @@ def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray
     return out
 
 
+def equal_spans(data: np.ndarray, start: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the spans numbered a and b are equal; a span is equal to itself unread."""
+    out = a == b
+    i = np.flatnonzero(~out)
+    i = i[size[a[i]] == size[b[i]]]
+    out[i] = same_bytes(data, start[a[i]], start[b[i]], size[a[i]])
+    return out
+
+
 def suffix_levels(data: np.ndarray, width: int) -> list[tuple[int, np.ndarray]]:
     """(n, ranks of the strings of n bytes at each place, in order and equal for equal strings) for n = 8, 16, 32 .. width, by prefix doubling."""
     have = 8
@@ -211,7 +220,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
         lead = np.append(True, same[order][1:] != same[order][:-1]) if len(order) else np.zeros(0, bool)
         owner = order[np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))] if len(order) else order
         # a hash that different strings share: each of them asks for itself
-        alike = (count[owner] == count[order]) & same_bytes(data, start[owner], start[order], np.minimum(count[owner], count[order]) + width - 1)
+        alike = equal_spans(data, start, count + width - 1, owner, order)
         lead, owner = lead | ~alike, np.where(alike, owner, order)
         asks = np.zeros(len(start), bool)
         covered = np.zeros(len(start), bool)
@@ -275,7 +284,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
         k, s = key[order], same[order]
         lead = np.append(True, (k[1:] != k[:-1]) | (s[1:] != s[:-1]))
         owner = order[np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))]
-        alike = (size[owner] == size[order]) & same_bytes(data, start[owner], start[order], np.minimum(size[owner], size[order]))
+        alike = equal_spans(data, start, size, owner, order)
         lead, owner = lead | ~alike, np.where(alike, owner, order)
         whole = np.zeros(len(key), bool)
         whole[order] = ids[order] > ids[owner]
