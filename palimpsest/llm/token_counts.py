@@ -1,7 +1,8 @@
 """Edit-aware token counts (operator 1).
 
-A document keeps a segment tree over its pre-tokens: leaves are blocks of adjacent pre-tokens with their
-numbers of characters and tokens, inner nodes hold sums.  The leaves are two arrays of a row, so trees
+A document keeps a segment tree over its pre-tokens: leaves are blocks of LEAF adjacent pre-tokens, twice as many
+at most, with their text and numbers of characters and tokens; inner nodes hold sums.  An edit costs what its
+leaves cost: texts are not copied, and what it puts in becomes leaves of its own.  The leaves are two arrays of a row, so trees
 live in a table beside the documents.  An edit finds its leaf by descending the sums of characters,
 re-encodes from that leaf on until a pre-token ends where an untouched leaf begins, and updates sums on
 the paths of the leaves it changed.  A pre-token depends on no more than the two characters behind its
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,21 +34,33 @@ CONTEXT = 2
 
 
 class PieceTree:
-    """Sums of characters and tokens over blocks of pre-tokens of one text."""
+    """Sums of characters and tokens over blocks of pre-tokens of one text; each block has its part of the text."""
 
     def __init__(self, bpe: ByteBpe, text: str, chars: list[int], tokens: list[int]):
-        self.bpe, self.text = bpe, text
+        self.bpe = bpe
         self.reencoded = 0
+        at = list(accumulate(chars, initial=0))
+        self.build([text[a:b] for a, b in pairwise(at)] or [text], list(tokens) or [0])
+
+    def build(self, parts: list[str], tokens: list[int]) -> None:
         n = 1
-        while n < max(1, len(chars)):
+        while n < len(parts):
             n *= 2
-        self.n, self.used = n, max(1, len(chars))
-        self.chars = [0] * n + list(chars) + [0] * (n - len(chars))
-        self.tokens = [0] * n + list(tokens) + [0] * (n - len(tokens))
+        self.n, self.parts = n, parts
+        self.chars = [0] * n + list(map(len, parts)) + [0] * (n - len(parts))
+        self.tokens = [0] * n + tokens + [0] * (n - len(parts))
         for i in range(n - 1, 0, -1):
             self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
             self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
 
+    @property
+    def used(self) -> int:
+        return len(self.parts)
+
+    @property
+    def text(self) -> str:
+        return "".join(self.parts)
+
     def leaf_of(self, place: int) -> tuple[int, int]:
         """The leaf that holds a character, and where the leaf begins; the last leaf for the end."""
         i, start = 1, 0
@@ -58,45 +72,71 @@ class PieceTree:
                 i += 1
         return i - self.n, start
 
-    def put(self, leaf: int, chars: int, tokens: int) -> None:
+    def put(self, leaf: int, part: str, tokens: int) -> None:
+        self.parts[leaf] = part
         i = leaf + self.n
-        more, most = chars - self.chars[i], tokens - self.tokens[i]
+        more, most = len(part) - self.chars[i], tokens - self.tokens[i]
         while i:
             self.chars[i] += more
             self.tokens[i] += most
             i //= 2
 
+    def replace(self, leaf: int, stop: int, parts: list[str], tokens: list[int]) -> None:
+        """Other leaves in the place of leaf .. stop; the tree is built anew only where they are more."""
+        if len(parts) > stop - leaf:
+            counts = self.tokens[self.n : self.n + self.used]
+            kept = [(p, t) for p, t in zip([*self.parts[:leaf], *parts, *self.parts[stop:]], [*counts[:leaf], *tokens, *counts[stop:]], strict=True) if p]
+            self.build([p for p, _ in kept], [t for _, t in kept])
+            return
+        for i in range(leaf, stop):
+            part, n = (parts[i - leaf], tokens[i - leaf]) if i - leaf < len(parts) else ("", 0)
+            self.put(i, part, n)
+
     def edit(self, start: int, stop: int, new: str) -> None:
         """Replace the characters start .. stop by new."""
-        size = len(self.text)
+        size = self.chars[1]
         start = min(max(start, 0), size)
         stop = min(max(stop, start), size)
         leaf, begin = self.leaf_of(max(0, start - CONTEXT - 1)) if size else (0, 0)
-        text = self.text = self.text[:start] + new + self.text[stop:]
-        shift = len(text) - size
-        # where the next untouched leaf begins, before and after
-        nxt, old = leaf, begin
+        nxt, old = leaf, begin  # the next untouched leaf, and where it begins
         while nxt < self.used and (old < stop or nxt == leaf):
             old += self.chars[nxt + self.n]
             nxt += 1
-        chars = tokens = 0
-        at = begin
+        region = "".join(self.parts[leaf:nxt])
+        region = region[: start - begin] + new + region[stop - begin :]
+        # pre-tokens from the leaf's beginning on, until one ends where the next untouched leaf begins
+        ends, counts, at = [0], [], 0
         memo = self.bpe.memo
-        for m in self.bpe.pattern.finditer(text, begin):
-            while at > old + shift and nxt < self.used:  # a pre-token now reaches over the boundary
-                old += self.chars[nxt + self.n]
+        while True:
+            while nxt < self.used and len(region) < at + 1:  # nothing is left before the boundary, or it was reached over
+                if at == len(region):
+                    break
+                region += self.parts[nxt]
                 nxt += 1
-            if at == old + shift and at >= start + len(new) and (at > begin or stop == start == begin and not new):
+            if at == len(region):
                 break
-            tokens += len(memo[m[0]]) // 4
-            self.reencoded += 1
-            at = m.end()
-        else:
-            nxt = self.used
-        chars = at - begin
-        for i in range(leaf + 1, nxt):
-            self.put(i, 0, 0)
-        self.put(leaf, chars, tokens)
+            ahead, k = "", nxt
+            while k < self.used and len(ahead) <= CONTEXT:
+                ahead += self.parts[k]
+                k += 1
+            for m in self.bpe.pattern.finditer(region + ahead, at):
+                if k < self.used and m.end() + CONTEXT > len(region) + len(ahead):  # more text may change it
+                    region += ahead
+                    nxt = k
+                    break
+                counts.append(len(memo[m[0]]) // 4)
+                self.reencoded += 1
+                at = m.end()
+                ends.append(at)
+                if at >= len(region):
+                    break
+        parts, tokens = [], []
+        step = LEAF if len(counts) > 2 * LEAF else max(1, len(counts))
+        for i in range(0, len(counts), step):
+            j = min(i + step, len(counts))
+            parts.append(region[ends[i] : ends[j]])
+            tokens.append(sum(counts[i:j]))
+        self.replace(leaf, nxt, parts or [""], tokens or [0])
 
     @property
     def total(self) -> int:
@@ -153,7 +193,7 @@ def apply_edits(trees: DataFrame, vocabulary: bytes, pattern: str, edits_col: st
                 after.append(tree.total)
                 again.append(tree.reencoded)
                 texts.append(tree.text)
-                chars.append(tree.chars[tree.n : tree.n + tree.used])
+                chars.append(tree.chars[tree.n : tree.n + tree.used])  # empty leaves stay, they cost nothing
                 tokens.append(tree.tokens[tree.n : tree.n + tree.used])
             out = [batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array(after, pa.int64()), pa.array(again, pa.int64())]
             names = ["id", "n_tokens", "n_edits", "n_tokens_edited", "n_reencoded"]

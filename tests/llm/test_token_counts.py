@@ -84,3 +84,27 @@ def test_round_trip_over_tables(spark, public):
         assert x.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest() and x.ids_sha256 == hashlib.sha256(x.ids).hexdigest()
     back = {x.doc_id: x.text for x in byte_bpe.decode_documents(got, BLOB, PATTERN).collect()}
     assert back == {d: t or "" for d, t in rows}
+
+
+def test_long_insertions_make_leaves_of_their_own():
+    import random
+
+    from palimpsest.llm import byte_bpe, token_counts
+    from palimpsest.llm.queries import tokenizer
+
+    bpe = byte_bpe.bpe_of(*tokenizer())
+    r = random.Random(6)
+    text = "a short text of a few words. " * 20
+    tree = token_counts.PieceTree(bpe, text, *(x.tolist() for x in token_counts.leaves(bpe, text)))
+    more = " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(1, 8))) for _ in range(20_000))
+    tree.edit(100, 120, more)
+    want = text[:100] + more + text[120:]
+    for _ in range(60):
+        before = tree.reencoded
+        at = r.randint(0, len(want))
+        stop, new = min(len(want), at + r.choice([0, 0, 1, 5])), r.choice(["", "x", " ", "\n\n", "word ", "'s"])
+        tree.edit(at, stop, new)
+        want = want[:at] + new + want[stop:]
+        assert tree.reencoded - before <= 6 * token_counts.LEAF
+    assert tree.text == want and tree.total == sum(t.sum() for t in [token_counts.leaves(bpe, want)[1]])
+    assert max(len(bpe.find(p)) for p in tree.parts) <= 2 * token_counts.LEAF + 2
