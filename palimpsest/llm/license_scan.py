@@ -9,8 +9,9 @@ five words), so many that none agrees with a probability of `missed` at most.  R
 verified by exact shingle containment.
 
 A window without any shingle of any template can not match; only windows around shared shingles are hashed,
-so clean text costs one pass over its shingles and nothing is shuffled but matches.  The templates are a
-parameter; their tables have as many rows as they have bands and shingles.
+so clean text costs one pass over its shingles, each looked up in one short bucket, and nothing is shuffled but
+matches.  The templates are a parameter, a dict or a table (license, template) of whole license texts; together
+they may have MOST_SHINGLES shingles, for the buckets are a constant of the plan.
 
 Cases: null and empty texts, and texts shorter than a shingle, match nothing; templates shorter than a
 shingle are refused; repeated rows of one id give one match; null ids are kept together as one; an empty
@@ -19,12 +20,14 @@ table gives an empty result; the input's other columns play no part.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.quality_rules import let
+from palimpsest.llm.shared import small
 
 #: Statements of common public licenses.
 TEMPLATES = {
@@ -38,6 +41,11 @@ TEMPLATES = {
     "BSD-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
 }
 
+#: Shingles of all templates together at most.
+MOST_SHINGLES = 2_000_000
+#: Rows of the templates' bands that are broadcast at most; a row holds a template's shingles.
+MOST_BANDS = 20_000
+
 SPLIT = r"[\s\p{Punct}&&[^-]]*[\s]+[\s\p{Punct}&&[^-]]*"
 
 
@@ -53,12 +61,13 @@ def bands_needed(shingles: int, held: int, contained: float, missed: float) -> i
     return 1 if jaccard >= 1 else math.ceil(math.log(missed) / math.log(1 - jaccard))
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, contained: float = 0.8, words_each: int = 5, bands: int = 64, seed: int = 3, id_col: str = "doc_id", text_col: str = "text", missed: float = 2e-6) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] | DataFrame | None = None, contained: float = 0.8, words_each: int = 5, bands: int = 64, seed: int = 3, id_col: str = "doc_id", text_col: str = "text", missed: float = 2e-6) -> DataFrame:
     """bands: of a size class, at least; more where `missed` needs them. Returns id_col, license, containment (the best window's) and first_word (that window's first word, from 0), a row for each license of a document."""
     templates = TEMPLATES if templates is None else templates
     spark = docs.sparkSession
     hashed = lambda words: let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - (words_each - 1)), lambda i: F.xxhash64(F.slice(h, i, words_each))))
-    given = spark.createDataFrame(list(templates.items()), "license string, template string").withColumn("words", words_of(F.col("template")))
+    given = templates.select("license", "template") if isinstance(templates, DataFrame) else spark.createDataFrame(list(templates.items()), "license string, template string")
+    given = given.withColumn("words", words_of(F.col("template")))
     known = [(r["license"], r["n"], r["shingles"]) for r in given.select("license", F.size("words").alias("n"), F.when(F.size("words") >= words_each, F.array_distinct(hashed(F.col("words")))).alias("shingles")).collect()]
     if short := [name for name, n, _ in known if n < words_each]:
         raise ValueError(f"templates of fewer than {words_each} words: {short}")
@@ -69,13 +78,20 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, contained: fl
         bands_of[z] = max(bands_of[z], bands_needed(len(s), z - (words_each - 1), contained, missed))
     table = spark.createDataFrame([(name, size_class[name], s) for name, _, s in known], "license string, size int, template array<long>")
     every = sorted({s for _, _, x in known for s in x})
+    if len(every) > MOST_SHINGLES:
+        raise ValueError(f"templates of more than {MOST_SHINGLES} shingles")
 
     rows = docs.select(F.col(id_col).alias("id"), words_of(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("words"))
     rows = rows.where(F.size("words") >= words_each).select("id", hashed(F.col("words")).alias("shingles"))
-    shared = F.array(*[F.lit(s) for s in every])
-    rows = rows.where(F.arrays_overlap("shingles", shared))
-    hits = F.array_sort(F.array_compact(F.transform("shingles", lambda x, i: F.when(F.array_contains(shared, x), i))))
-    rows = rows.withColumn("hits", hits)
+    # the templates' shingles in buckets of one or two, a constant of the plan
+    n_buckets = 1 << max(0, len(every) - 1).bit_length()
+    buckets: list[list[int]] = [[] for _ in range(n_buckets)]
+    for x in every:
+        buckets[x % n_buckets].append(x)
+    table_of = F.from_json(F.lit(json.dumps(buckets)), "array<array<bigint>>")
+    known_shingle = lambda x: F.array_contains(F.get(table_of, F.pmod(x, F.lit(n_buckets)).cast("int")), x)
+    hits = F.array_compact(F.transform("shingles", lambda x, i: F.when(known_shingle(x), i)))
+    rows = rows.withColumn("hits", hits).where(F.size("hits") > 0)
     # Windows start at multiples of half their size; each hit lies in two of them.
     def windows_of(size: int) -> Column:
         step = size // 2
@@ -97,7 +113,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, contained: fl
 
     banded = rows.withColumn("m", F.explode(least(F.col("held")))).select("id", "size", "start", "held", F.col("m.band").alias("band"), F.col("m.least").alias("least"))
     of_templates = table.withColumn("m", F.explode(least(F.col("template")))).select("license", "size", "template", F.col("m.band").alias("band"), F.col("m.least").alias("least"))
-    met = banded.join(F.broadcast(of_templates), ["size", "band", "least"])  # as many rows as the templates given have bands
+    met = banded.join(small(of_templates, MOST_BANDS), ["size", "band", "least"])
     share = F.size(F.array_intersect("held", "template")) / F.size("template")
     found = met.withColumn("containment", share).where(F.col("containment") >= contained)
     best = found.groupBy("id", "license").agg(F.max(F.struct("containment", (-F.col("start")).alias("at"))).alias("best"))

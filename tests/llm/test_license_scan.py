@@ -56,3 +56,13 @@ def test_against_every_window(spark, seed):
 def test_short_templates_are_refused(spark):
     with pytest.raises(ValueError, match="fewer"):
         license_scan.scan(spark.createDataFrame([], "doc_id long, text string"), {"x": "too short"})
+
+
+def test_templates_as_a_table_of_whole_texts(spark):
+    r = random.Random(11)
+    vocab = [f"w{i}" for i in range(3000)]
+    whole = {f"L{k}": " ".join(r.choice(vocab) for _ in range(400 + 100 * k)) for k in range(12)}
+    fill = lambda: " ".join(r.choice(vocab) for _ in range(200))
+    rows = [(k, f"{fill()} {t} {fill()}") for k, t in enumerate(whole.values())] + [(100, fill()), (101, " ".join(whole["L3"].split()[:100]))]
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(whole.items()), "license string, template string")).collect()
+    assert sorted((x.doc_id, x.license, x.containment) for x in got) == [(k, f"L{k}", 1.0) for k in range(12)]
