@@ -756,8 +756,9 @@ def vector_guard(s, d):
 
 
 @query()
-def knn_lsh(s, d):
-    return leaves.lsh_candidates(M.query_vectors(s, d), M.vectors(s, d))
+def knn_indexed(s, d):
+    """The approximate search; a test measures its recall against knn_topk."""
+    return leaves.indexed_search(M.query_vectors(s, d), M.vectors(s, d), 30).select("query_id", "id", "score")
 
 
 @query("WITH p AS (SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE source END AS source FROM documents) SELECT id, CASE WHEN source IS NULL THEN '' ELSE source END AS sources, source IS NULL AS partial FROM p")

@@ -14,6 +14,8 @@ from palimpsest.functions import text as T
 MOST_K = 1000
 #: Query vectors that a search ships to every task.
 MOST_QUERIES = 10_000
+#: Terms of queries that are broadcast at most; more are joined by a shuffle.
+MOST_TERMS = 100_000
 
 
 def clamp_k(k: int) -> int:
@@ -99,14 +101,16 @@ def bm25_scores(queries: DataFrame, index: DataFrame, k1: float = 1.2, b: float
     small table, so the exploded corpus meets it before any shuffle.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
+    few = asked.limit(MOST_TERMS + 1).count() <= MOST_TERMS
+    beside = F.broadcast if few else lambda df: df
     terms = asked.select("term").distinct()
     read = index.select("id", T.tokens(F.col("content")).alias("tokens")).withColumn("dl", F.size("tokens"))
     corpus = read.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    tf = read.select("id", "dl", F.explode("tokens").alias("term")).join(F.broadcast(terms), "term").groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = read.select("id", "dl", F.explode("tokens").alias("term")).join(beside(terms), "term").groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     weight = F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
-    joined = tf.join(F.broadcast(df), "term").join(F.broadcast(asked), "term").crossJoin(F.broadcast(corpus))  # one row
+    joined = tf.join(beside(df), "term").join(beside(asked), "term").crossJoin(F.broadcast(corpus))  # one row
     return joined.groupBy("query_id", "id").agg(F.round(F.sum(idf * weight), 6).alias("score"))
 
 
@@ -131,13 +135,46 @@ def latest_by_source(episodes: DataFrame) -> DataFrame:
     return episodes.groupBy("source").agg(F.max("id").alias("id"), F.max_by("content", "id").alias("content"))
 
 
-def lsh_candidates(queries: DataFrame, index: DataFrame, bucket_length: float = 0.6, tables: int = 6, distance: float = 0.9) -> DataFrame:
-    """Approximate neighbours (query_id, id) by random projections, for an index too large to scan."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
+#: Rows that the lists of an index are fitted to at most.
+FITTED_ROWS = 20_000
 
-    unit = Normalizer(inputCol="raw", outputCol="v")
-    of = lambda df, c: unit.transform(df.where(knn_eligible()).select(F.col(c), array_to_vector(F.col("embedding").cast("array<double>")).alias("raw"))).drop("raw")
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length, numHashTables=tables, seed=1).fit(of(index, "id"))
-    near = model.approxSimilarityJoin(of(queries, "query_id"), of(index, "id"), distance, "d")
-    return near.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.id").alias("id"), F.round(1 - F.col("d") * F.col("d") / 2, 6).alias("score"))
+
+def centres(index: DataFrame, lists: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
+    """Unit centres of an index's lists, by k-means over at most FITTED_ROWS rows picked by a hash of their id."""
+    picked = index.where(knn_eligible()).select("id", F.col("embedding").cast("array<double>").alias("v")).orderBy(F.xxhash64("id"), "id").limit(FITTED_ROWS).collect()
+    x = _unit(np.array([r.v for r in picked])) if picked else np.zeros((0, 1))
+    c = x[np.random.default_rng(seed).permutation(len(x))[:lists]]
+    for _ in range(rounds):
+        own = np.argmax(x @ c.T, 1) if len(x) else np.zeros(0, int)
+        sums = np.zeros_like(c)
+        np.add.at(sums, own, x)
+        c = np.where(np.linalg.norm(sums, axis=1, keepdims=True) > 1e-12, _unit(sums), c)
+    return c
+
+
+def listed(rows: DataFrame, key: str, c: np.ndarray, probes: int = 1) -> DataFrame:
+    """Rows (key, embedding) with the lists whose centres are nearest, a row for each of the probes."""
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = _unit(batch.column(1).values.to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
+            near = np.argsort(-(v @ c.T), 1, kind="stable")[:, :probes]
+            i = np.repeat(np.arange(batch.num_rows), near.shape[1])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), batch.column(1).take(pa.array(i)), pa.array(near.ravel(), pa.int32())], names=["key", "embedding", "list"])
+
+    same = rows.where(knn_eligible() & (F.size("embedding") == c.shape[1]))
+    return same.select(F.col(key).cast("long").alias("key"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(assign, "key long, embedding array<double>, list int")
+
+
+def indexed_search(queries: DataFrame, index: DataFrame, k: int, lists: int = 16, probes: int = 12, leg: str = "chunks") -> DataFrame:
+    """Approximate neighbours: every row is in the list of its nearest centre, a query looks through the lists of its `probes` nearest ones.
+
+    The listed rows can be written, partitioned by list, and used again. On the test tables, whose vectors are nearly without structure, recall at 30 is over 0.9 with three quarters of the lists (a test measures it); vectors in clusters need far fewer.
+    """
+    c = centres(index, lists)
+    held = listed(index, "id", c).select(F.col("key").alias("id"), "embedding", "list")
+    asked = listed(queries, "query_id", c, probes).select(F.col("key").alias("query_id"), F.col("embedding").alias("_q"), "list")
+    score = F.round(1 / (1 + F.greatest(1 - cosine_of("embedding", "_q"), F.lit(0.0))), 6)
+    return top(held.join(asked, "list").select("query_id", "id", score.alias("score")), clamp_k(k)).select("query_id", "id", "score", F.lit("Vector").alias("source_op"), F.lit(leg).alias("leg"))
