@@ -266,11 +266,14 @@ def bakeoff(scores: DataFrame, weights: dict[str, float]) -> DataFrame:
     return scores.withColumn("total", total).withColumn("_n", F.row_number().over(w)).where("_n = 1").select("episode_id", "candidate_no", "total")
 
 
-def heading_parents(headings: DataFrame, by: str = "episode_id", order: str = "seq", level: str = "level") -> DataFrame:
-    """Each heading's parent: the last one before it of a smaller level."""
+def heading_parents(headings: DataFrame, by: str = "episode_id", order: str = "seq", level: str = "level", levels: int = 6) -> DataFrame:
+    """Each heading's parent: the last one before it of a smaller level, of 1 .. levels.
+
+    The last place of each level is a running maximum, so a heading costs the levels there are, whatever stands before it.
+    """
     before = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.collect_list(F.struct(F.col(order).alias("s"), F.col(level).alias("l"))).over(before)
-    return headings.withColumn("parent", F.element_at(F.filter(F.concat(F.array(F.lit(None).cast(f"struct<s:{dict(headings.dtypes)[order]},l:{dict(headings.dtypes)[level]}>")), seen), lambda x: x.isNull() | (x["l"] < F.col(level))), -1)["s"])
+    last = [F.when(F.col(level) > n, F.max(F.when(F.col(level) == n, F.col(order))).over(before)) for n in range(1, levels)]
+    return headings.withColumn("parent", F.greatest(*last))
 
 
 def descendants_summary(chunks: DataFrame, by: str, order: str, most: int = 2048) -> DataFrame:

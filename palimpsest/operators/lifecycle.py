@@ -71,18 +71,17 @@ def validated(relations: DataFrame) -> DataFrame:
 def contradictions(facts: DataFrame) -> DataFrame:
     """Keys (subject, predicate) under which two different objects hold at one time.
 
-    Facts are put in order of their start; one that starts before the latest end so far of another object
-    meets it. Two running maxima (of the latest end, and of the latest end of any other object) replace
-    the join of all pairs of a key.
+    Spans of one object that touch are made one, by a running maximum of their ends; of any two spans of a key
+    that overlap then, the objects differ, and a running maximum of all ends finds whether there are such.
+    Windows replace the join of all pairs of a key.
     """
-    far = F.lit(2**62)
-    w = Window.partitionBy("subject", "predicate").orderBy("valid_from", "valid_to", "object").rowsBetween(Window.unboundedPreceding, -1)
-    rows = facts.where("valid_to IS NULL OR valid_from < valid_to").withColumn("_end", F.coalesce("valid_to", far))
-    by_object = rows.groupBy("subject", "predicate", "object").agg(F.sort_array(F.collect_list(F.struct(F.col("valid_from").alias("a"), F.col("_end").alias("b")))).alias("spans"))
-    # spans of one object that touch are one; then any two that overlap are of different objects
-    step = lambda acc, x: F.when(F.size(acc) == 0, F.array(x)).when(F.element_at(acc, -1)["b"] >= x["a"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["b"], x["b"]).alias("b"))))).otherwise(F.concat(acc, F.array(x)))
-    merged = by_object.select("subject", "predicate", "object", F.explode(F.aggregate("spans", F.array().cast("array<struct<a:bigint,b:bigint>>"), step)).alias("s")).select("subject", "predicate", "object", F.col("s.a").alias("valid_from"), F.col("s.b").alias("valid_to"))
-    return merged.withColumn("_latest", F.max("valid_to").over(w)).where(F.col("valid_from") < F.col("_latest")).select("subject", "predicate").distinct()
+    rows = facts.where("valid_to IS NULL OR valid_from < valid_to").select("subject", "predicate", "object", F.col("valid_from").alias("a"), F.coalesce("valid_to", F.lit(2**62)).alias("b"))
+    own = Window.partitionBy("subject", "predicate", "object").orderBy("a", "b")
+    begins = (F.col("a") > F.max("b").over(own.rowsBetween(Window.unboundedPreceding, -1))).cast("int")
+    span = F.sum(F.coalesce(begins, F.lit(0))).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    merged = rows.withColumn("span", span).groupBy("subject", "predicate", "object", "span").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    key = Window.partitionBy("subject", "predicate").orderBy("a", "b", "object").rowsBetween(Window.unboundedPreceding, -1)
+    return merged.withColumn("latest", F.max("b").over(key)).where(F.col("a") < F.col("latest")).select("subject", "predicate").distinct()
 
 
 def deduped_triples(facts: DataFrame) -> DataFrame:
