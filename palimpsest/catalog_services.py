@@ -60,6 +60,21 @@ def log_positions(s, d):
     return e.select(F.col("event_id").alias("id"), V.log_position(text).alias("p")).select("id", "p.*")
 
 
+@query("WITH q AS (SELECT doc_id AS id, ['Temporal', 'Temporal', 'Counting', 'Recommendation', 'Factual', 'Counting', 'Temporal', 'Temporal'][doc_id % 8 + 1] AS k FROM documents) SELECT id, CASE k WHEN 'Recommendation' THEN 4 ELSE 12 END::BIGINT AS sessions, k = 'Temporal' AS chronological FROM q")
+def intent_retrieval(s, d):
+    from palimpsest.catalog import QUESTIONS
+    from palimpsest.operators import aggregate
+
+    q = F.element_at(F.array(*map(F.lit, QUESTIONS)), (F.col("doc_id") % 8 + 1).cast("int"))
+    return M.table(s, d, "documents").select(F.col("doc_id").alias("id"), aggregate.retrieval_of(aggregate.intent(q)).alias("r")).select("id", "r.*")
+
+
+@query("SELECT 'src' || n_nationkey AS source, max(doc_id) AS id FROM nation LEFT JOIN documents ON source = 'src' || n_nationkey GROUP BY 1")
+def source_read(s, d):
+    names = M.table(s, d, "nation").select(F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("source"))
+    return leaves.read_by_source(names, M.table(s, d, "documents").select("source", F.col("doc_id").alias("id"), F.col("lang").alias("content"))).select("source", "id")
+
+
 # --- services -----------------------------------------------------------------------------------------
 
 

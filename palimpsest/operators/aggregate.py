@@ -81,6 +81,11 @@ def intent(question: Column) -> Column:
     return F.when(temporal, "Temporal").when(has(COUNT_FORMS), "Counting").when(has(ADVICE_FORMS), "Recommendation").otherwise("Factual")
 
 
+def retrieval_of(kind: Column) -> Column:
+    """How many sessions a question of an intent is answered from, and whether they are put in the order of time."""
+    return F.struct(F.when(kind == "Recommendation", 4).otherwise(12).cast("long").alias("sessions"), (kind == "Temporal").alias("chronological"))
+
+
 def nearest_rank(rows: DataFrame, by: str, value: str, p: float) -> DataFrame:
     """The value at place floor(n * p) of each sorted group, counted from 0."""
     w = Window.partitionBy(by)

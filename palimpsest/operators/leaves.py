@@ -135,6 +135,11 @@ def latest_by_source(episodes: DataFrame) -> DataFrame:
     return episodes.groupBy("source").agg(F.max("id").alias("id"), F.max_by("content", "id").alias("content"))
 
 
+def read_by_source(sources: DataFrame, episodes: DataFrame) -> DataFrame:
+    """For each source (source) the content of its greatest episode id, null where there is none."""
+    return sources.select("source").distinct().join(latest_by_source(episodes), "source", "left")
+
+
 #: Rows that the lists of an index are fitted to at most.
 FITTED_ROWS = 20_000
 

@@ -61,10 +61,12 @@ def first_writers(existing: DataFrame, incoming: DataFrame, key: str = "dedupe_k
     return new.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_n = 1").drop("_n")
 
 
-def validated(relations: DataFrame) -> DataFrame:
-    """A reason for each relation that needs review, null for good ones."""
+def validated(relations: DataFrame, texts: tuple[str, ...] = ()) -> DataFrame:
+    """A reason for each relation that needs review, null for good ones. texts: other columns that must hold something, as names, kinds and texts do."""
     empty = lambda c: F.coalesce(F.trim(F.col(c)) == "", F.lit(True))
     reason = F.when(empty("predicate"), "empty_predicate").when(F.col("confidence").isNull() | ~F.col("confidence").between(0, 1), "confidence_range").when(F.col("valid_to").isNotNull() & (F.col("valid_from") >= F.col("valid_to")), "invalid_interval")
+    for c in texts:
+        reason = reason.when(empty(c), f"empty_{c}")
     return relations.withColumn("reason", reason)
 
 
@@ -130,11 +132,11 @@ def latest_assertions(facts: DataFrame) -> DataFrame:
     return facts.groupBy("subject", "predicate").agg(F.max_by(F.struct("object", "id", "valid_from"), F.struct("valid_from", "id")).alias("f")).select("subject", "predicate", "f.*")
 
 
-def superseded(facts: DataFrame, pairs: DataFrame, now: int) -> DataFrame:
-    """Losers (loser) are closed now, and winners (winner) begin now, on both axes."""
+def superseded(facts: DataFrame, pairs: DataFrame, now: int, synthetic: bool = False) -> DataFrame:
+    """Losers (loser) are closed now, and winners (winner) begin now, on both axes; synthetic adds a row for each that isn't there, with an id and times only."""
     l = pairs.select(F.col("loser").alias("id"), F.lit(True).alias("_l")).distinct()
     w = pairs.select(F.col("winner").alias("id"), F.lit(True).alias("_w")).distinct()
-    out = facts.join(l, "id", "left").join(w, "id", "left")
+    out = facts.join(l, "id", "full" if synthetic else "left").join(w, "id", "full" if synthetic else "left")
     begin = lambda c: F.when(F.col("_w"), F.lit(now)).otherwise(F.col(c))
     return out.withColumns({"sys_to": F.when(F.col("_l") & F.col("sys_to").isNull(), F.lit(now)).otherwise(F.col("sys_to")), "sys_from": begin("sys_from"), "valid_from": begin("valid_from")}).drop("_l", "_w")
 
@@ -156,10 +158,11 @@ def ledger_activation(rows: DataFrame, now: int, decay: float = 0.5) -> DataFram
     return rows.withColumn("activation", F.when(F.col("weighted") == 0, F.lit(float("-inf"))).otherwise(F.round(F.log(F.col("weighted") * F.pow(age, F.lit(-decay))), 6)))
 
 
-def base_level(events: DataFrame, now: int, decay: float = 0.5, by: str = "episode_id") -> DataFrame:
-    """Base-level activation of each episode from its events' ages."""
+def base_level(events: DataFrame, now: int, decay: float = 0.5, by: str = "episode_id", spreading: Column | float = 0.0, noise: Column | float = 0.0) -> DataFrame:
+    """Activation of each episode: the base level of its events' ages, and spreading and noise as the caller has them, by episode."""
     age = F.greatest((F.lit(now) - F.col("at")) / F.lit(1000.0), F.lit(1.0))
-    return events.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.round(F.log(F.sum(F.pow(age, F.lit(-decay)))), 6).alias("activation"))
+    more = lambda x: x if isinstance(x, Column) else F.lit(float(x))
+    return events.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.round(F.log(F.sum(F.pow(age, F.lit(-decay)))) + F.max(more(spreading)) + F.max(more(noise)), 6).alias("activation"))
 
 
 def decided(activations: DataFrame) -> DataFrame:

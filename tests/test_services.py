@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from palimpsest import catalog, model
 from palimpsest.functions import values as V
-from palimpsest.operators import ingest, leaves, records, services
+from palimpsest.operators import ingest, leaves, lifecycle, records, services
 from palimpsest.sources import tables
 
 SF = "/root/testdata/sf0.01"
@@ -91,3 +91,14 @@ def test_layers_and_retention(spark):
     assert [r.id for r in records.retained(e, c, 1000, 500, "hard", token).collect()] == [2]
     with pytest.raises(PermissionError):
         records.retained(e, c, 1000, 500, "hard")
+
+
+def test_missing_winners_and_empty_names(spark):
+    f = spark.createDataFrame([(1, 5, None, 5, "a", "p", 0.5, None)], "id long, sys_from long, sys_to long, valid_from long, name string, predicate string, confidence double, valid_to long")
+    pairs = spark.createDataFrame([(1, 2)], "loser long, winner long")
+    assert [r.id for r in lifecycle.superseded(f, pairs, 9).collect()] == [1]
+    assert {r.id: (r.sys_from, r.sys_to) for r in lifecycle.superseded(f, pairs, 9, synthetic=True).collect()} == {1: (5, 9), 2: (9, None)}
+    bad = f.withColumn("name", F.lit(" "))
+    assert [lifecycle.validated(x, ("name",)).first()["reason"] for x in (f, bad)] == [None, "empty_name"]
+    e = spark.createDataFrame([(1, 0)], "episode_id long, at long")
+    assert lifecycle.base_level(e, 1000, spreading=2.0).first()["activation"] == 2.0
