@@ -60,8 +60,8 @@ def shingle_sets(table: pa.Table, words_each: int) -> tuple[np.ndarray, np.ndarr
     return h, bounds, n, cls
 
 
-def link_sets(docs: DataFrame, words_each: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(members, links): members has id, n_shingles and class for each row; links has the verified pairs (a, b) of classes."""
+def link_sets(docs: DataFrame, words_each: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", **sizes: int) -> tuple[DataFrame, DataFrame]:
+    """(members, links): members has id, n_shingles and class for each row; links has the verified pairs (a, b) of classes. sizes: pack_bytes and bucket_bytes of the exchange."""
 
     def owners(cls: np.ndarray, n: np.ndarray) -> np.ndarray:
         """The first document of each class in a pack that has a shingle."""
@@ -113,7 +113,7 @@ def link_sets(docs: DataFrame, words_each: int = 5, percent: int = 80, id_col: s
 
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = saved(exchange(rows, [(send, reduce)], finish, f"id {kind}, n long, cls long, alone long, toks binary", 0.7))
+    sets = saved(exchange(rows, [(send, reduce)], finish, f"id {kind}, n long, cls long, alone long, toks binary", 0.7, **sizes))
     # The sets that others may resemble, once each, with what the filters need.
     classes = sets.where("toks IS NOT NULL AND id IS NOT NULL").dropDuplicates(["cls"]).select("cls", "n", "alone", "toks")
 
@@ -253,9 +253,9 @@ def verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return saved(both.select("a", "b", "n_a", "n_b", "toks_a", "toks_b").mapInArrow(checked, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, words_each: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words_each: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", **sizes: int) -> DataFrame:
     """Returns id_col, n_shingles, component_id: the least id reachable by links and equal sets, itself included."""
-    members, links = link_sets(docs, words_each, percent, id_col, text_col)
+    members, links = link_sets(docs, words_each, percent, id_col, text_col, **sizes)
     joined = components(links).select(F.col("node").alias("class"), "component")
     # A document without shingles and a row without an id stand alone.
     placed = members.join(joined, "class", "left").withColumn("part", F.when(F.col("n_shingles") > 0, F.coalesce("component", "class")))
@@ -263,8 +263,8 @@ def near_duplicates(docs: DataFrame, words_each: int = 5, percent: int = 80, id_
     return placed.join(least, "part", "left").select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("least", "id")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, words_each: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, words_each: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", **sizes: int) -> DataFrame:
     """The rows of docs whose id is the least of its component; of repeated rows of one id all stay, as do null ids."""
-    found = near_duplicates(docs, words_each, percent, id_col, text_col)
+    found = near_duplicates(docs, words_each, percent, id_col, text_col, **sizes)
     later = found.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
     return docs.join(later, id_col, "left_anti")

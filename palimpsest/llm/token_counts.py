@@ -209,7 +209,8 @@ def apply_edits(trees: DataFrame, vocabulary: bytes, pattern: str, edits_col: st
 
 
 def edits_by_rule(rows: DataFrame, rules: list[tuple[str, str]], text_col: str = "text", edits_col: str = "edits") -> DataFrame:
-    """rows with the edits that replace each match of the rules' patterns, rule after rule."""
+    """rows with the edits that replace each match of the rules' patterns, rule after rule; a column of that name gives way."""
+    rows = rows.drop(edits_col)
     compiled = [(re.compile(p), new) for p, new in rules]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
