@@ -151,10 +151,13 @@ def suffix_levels(data: np.ndarray, width: int) -> list[tuple[int, np.ndarray]]:
     return out
 
 
-def common_prefixes(data: np.ndarray, levels: list[tuple[int, np.ndarray]], order: np.ndarray) -> np.ndarray:
-    """Common prefix of each place in suffix order with the one before it, up to the width; 0 for the first."""
+def common_prefixes(data: np.ndarray, levels: list[tuple[int, np.ndarray]], order: np.ndarray, least: int = 1) -> np.ndarray:
+    """Common prefix of each place in suffix order with the one before it, up to the width; 0 for the first, and for one that doesn't reach a least of the whole width."""
     width = levels[-1][0]
     a, b = order[:-1], order[1:]
+    if least >= width:
+        same = levels[-1][1][a] == levels[-1][1][b] if len(order) > 1 else np.zeros(0, bool)
+        return np.append(np.zeros(1, np.int64), np.where(same, width, 0))[: len(order)]
     got = np.where(levels[-1][1][a] == levels[-1][1][b], width, 0) if len(order) > 1 else np.zeros(0, np.int64)
     for n, rank in levels[-2::-1]:
         more = np.flatnonzero(got < width)
@@ -216,7 +219,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
         known = ids[doc] != NO_DOC if len(doc) else np.zeros(0, bool)
         start, count, key, doc = start[known], count[known], key[known], doc[known]
         same = string_hashes(data, start, start + count + width - 1)
-        order = np.lexsort((ids[doc], same))  # the rows are in the order of ids
+        order = np.argsort(same, kind="stable")  # the rows are in the order of ids
         lead = np.append(True, same[order][1:] != same[order][:-1]) if len(order) else np.zeros(0, bool)
         owner = order[np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))] if len(order) else order
         # a hash that different strings share: each of them asks for itself
@@ -243,7 +246,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
         """A pack's runs (parts), their shortened keys in order, and in how many documents each occurs."""
         got = parts(table)
         short, doc = got[5] >> U64(64 - KEY_BITS), got[6]
-        order = np.lexsort((doc, short))
+        order = np.argsort(short, kind="stable")  # runs come in the order of documents
         k, d = short[order], doc[order]
         lead = np.append(True, k[1:] != k[:-1]) if len(k) else np.zeros(0, bool)
         other = lead | np.append(True, d[1:] != d[:-1]) if len(k) else lead
@@ -301,7 +304,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
             places = gather(np.arange(len(body)), own, windows)
             levels = suffix_levels(body, width)
             by_suffix = np.argsort(levels[-1][1][places], kind="stable")
-            factor = longest_previous(np.repeat(ids[chosen], windows)[by_suffix], common_prefixes(body, levels, places[by_suffix]), width)
+            factor = longest_previous(np.repeat(ids[chosen], windows)[by_suffix], common_prefixes(body, levels, places[by_suffix], width), width)
             found = np.zeros(len(hit), bool)
             found[gather(np.arange(len(hit)), first[chosen], windows)[by_suffix]] = factor >= width
             # A row of the same document and string as its owner shares its verdict.
