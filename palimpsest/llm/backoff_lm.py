@@ -1,16 +1,16 @@
 """Stupid-backoff language-model scores (operator 5).
 
-Documents are dealt to packs of a few megabytes by a hash of their id. A semi-join leaves out first what can
-not be joined: packs tell which n-grams they hold, shortened, and learn which of them other packs hold too. A
-pack's texts are then exploded into the others, a table (gram, pack, n) partitioned by the n-gram's hash; the
-count table of the corpus is its sum by n-gram, joined back to the rows where they lie.  What a pack's n-grams
-count beyond the pack goes back to it, and its documents' scores are summed.  A word scores count(n-gram) /
-count(context) for the longest n-gram that the rest of the corpus has, times `backoff` for each order given up;
-a word that the rest does not have counts as seen once.  The document's own n-grams are left out of the counts,
-else no text would look unlikely.
-
-An n-gram that a third of all rows hold has one row for each pack. N-grams are known by 58-bit hashes: among
-10**9 different ones a given one is mistaken for another with a probability of 3 * 10**-9.
+The corpus's n-grams of one to `order` words are counted in tables partitioned by the n-gram's hash; each
+pack of documents joins its distinct n-grams with them, and the scores of its exploded n-grams are summed
+for each document.  A word scores count(n-gram) / count(context) for the longest n-gram that the rest of
+the corpus has, times `backoff` for each order given up; a word that the rest does not have counts as
+seen once.  The document's own n-grams are left out of the counts, else no text would look unlikely.
+
+The tables travel packed, a blob of sorted n-grams and counts for each pack and bucket, and are joined and summed
+as arrays: a row for each n-gram and pack took twice the disk (the README has figures).
+
+N-grams are known by 58-bit hashes: among 10**9 different ones a given one is mistaken for another with
+a probability of 3 * 10**-9.
 
 Cases: null or empty texts and texts without words have no words and a null score; equal documents count
 each other; repeated rows of one id are separate documents; an empty table gives an empty result; the
@@ -23,22 +23,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.arrays import BASE, U64, flat, mix, pack_sorted, ranges, span_hashes, squeeze, unpack_sorted, unsqueeze, word_spans
-from palimpsest.llm.exchange import exchange, in_order, in_packs, packs, text_bytes
+from palimpsest.llm.arrays import BASE, U64, flat, mix, pack_counts, ranges, span_hashes, squeeze, totals, unsqueeze, word_spans
+from palimpsest.llm.exchange import exchange
 from palimpsest.llm.shared import saved
 
 KEY_BITS = 58
-#: Bits by which packs ask for each other's n-grams, beyond those that number the buckets: one in some hundreds is asked for in vain.
-ASKED_BITS = 28
-#: Bytes of rows in a partition of the n-gram tables, a word being about six bytes of text and a row 24.
-TABLE_BYTES = 32 << 20
 
 
-def score_documents(docs: DataFrame, order: int = 2, backoff: float = 0.4, leave_out: bool = True, id_col: str = "doc_id", text_col: str = "text", pack_bytes: int | None = None) -> DataFrame:
-    """Returns id_col, n_words, log_score (natural logarithm of the product) and mean_log_score. pack_bytes: bytes of text in a pack."""
+def score_documents(docs: DataFrame, order: int = 2, backoff: float = 0.4, leave_out: bool = True, id_col: str = "doc_id", text_col: str = "text", **sizes: int) -> DataFrame:
+    """Returns id_col, n_words, log_score (natural logarithm of the product) and mean_log_score. sizes: pack_bytes and bucket_bytes of the exchange."""
 
     def grams(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
         """(first word of each document, document of each word, hash of the k-gram that ends at each word, words before it)."""
@@ -60,43 +56,23 @@ def score_documents(docs: DataFrame, order: int = 2, backoff: float = 0.4, leave
         keys, inverse, counts = np.unique(np.concatenate(used), return_inverse=True, return_counts=True)
         return first, doc, before, keys, inverse, counts
 
-    def bits(n_buckets: int) -> int:
-        return min(KEY_BITS, ASKED_BITS + n_buckets.bit_length())
-
-    def shortened(keys: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Shortened keys in order, the number of each key's among them, and the buckets' bounds."""
-        brief, of = np.unique(keys >> U64(KEY_BITS - bits(n_buckets)), return_inverse=True)
-        return brief, of, ranges(brief, bits(n_buckets), n_buckets)
-
-    def ask(table: pa.Table, replies: dict[int, bytes], n_buckets: int) -> Iterator[tuple[int, bytes]]:
-        brief, _, cut = shortened(keyed(table)[3], n_buckets)
+    def send(table: pa.Table, replies: dict[int, bytes], n_buckets: int) -> Iterator[tuple[int, bytes]]:
+        *_, keys, _, counts = keyed(table)
+        cut = ranges(keys, KEY_BITS, n_buckets)
         for b in range(n_buckets):
             if cut[b + 1] > cut[b]:
-                yield b, pack_sorted(brief[cut[b] : cut[b + 1]])
+                yield b, pack_counts(keys[cut[b] : cut[b + 1]], counts[cut[b] : cut[b + 1]])
 
-    def tell_shared(came: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
-        got = [unpack_sorted(blob) for _, blob in came]
-        _, inverse, held = np.unique(np.concatenate(got), return_inverse=True, return_counts=True)
-        at = 0
-        for (pack, _), keys in zip(came, got, strict=True):
-            shared = held[inverse[at : at + len(keys)]] > 1
-            yield pack, squeeze(np.packbits(shared)) if shared.any() else b""
-            at += len(keys)
+    def reduce(came: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
+        for pack, total in totals(came):
+            yield pack, squeeze(total.astype("<i8"))
 
-    def explode(table: pa.Table, replies: dict[int, bytes], n_buckets: int) -> pa.Table:
-        *_, keys, _, counts = keyed(table)
-        brief, of, cut = shortened(keys, n_buckets)
-        shared = np.zeros(len(brief), bool)
+    def finish(table: pa.Table, replies: dict[int, bytes], n_buckets: int) -> pa.Table:
+        first, doc, before, keys, inverse, _ = keyed(table)
+        cut = ranges(keys, KEY_BITS, n_buckets)
+        total = np.zeros(len(keys), np.int64)
         for b, blob in replies.items():
-            shared[cut[b] : cut[b + 1]] = np.unpackbits(unsqueeze(blob, "u1")[0])[: cut[b + 1] - cut[b]]
-        i = np.flatnonzero(shared[of]) if len(of) else of
-        return pa.table({"gram": keys[i].astype(np.int64), "pack": pa.array(np.full(len(i), table["pack"][0].as_py()), pa.int32()), "n": counts[i].astype(np.int64)})
-
-    def score(key: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
-        table = in_order(table)
-        first, doc, before, keys, inverse, own_counts = keyed(table)
-        total = own_counts.astype(np.int64)
-        total[np.searchsorted(keys, found["gram"].to_numpy().astype(U64))] += found["others"].to_numpy()
+            total[cut[b] : cut[b + 1]] = unsqueeze(blob, "<i8")[0]
         best = np.zeros(len(doc))
         counts: list[np.ndarray] = []
         at = 0
@@ -124,14 +100,8 @@ def score_documents(docs: DataFrame, order: int = 2, backoff: float = 0.4, leave
 
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    size = text_bytes(rows, "text")
-    packed = in_packs(rows, packs(size, pack_bytes))
-    held = exchange(rows, [(ask, tell_shared)], explode, "gram long, pack int, n long", 0.5 * order, pack_bytes, total=size)
-    # the count table and the rows that it is joined to lie in one partition of the hash
-    total = F.sum("n").over(Window.partitionBy("gram"))
-    found = held.repartition(size // 6 * 24 * order // TABLE_BYTES + 1, "gram").withColumn("total", total)
-    found = found.where("total > n").select("pack", "gram", (F.col("total") - F.col("n")).alias("others"))
-    parts = saved(packed.groupBy("pack").cogroup(found.groupBy("pack")).applyInArrow(score, f"id {kind}, n long, part double, single long"))
+    # A pack's n-grams are mostly its own: about five bytes for each of `order` n-grams a word.
+    parts = saved(exchange(rows, [(send, reduce)], finish, f"id {kind}, n long, part double, single long", 0.9 * order, **sizes))
     words = parts.agg(F.sum("n")).first()[0] or 0
     rest = F.greatest(F.lit(words) - F.when(F.lit(leave_out), F.col("n")).otherwise(0), F.lit(1))
     score = F.when(F.col("n") > 0, F.col("part") - F.col("single") * F.log(rest))

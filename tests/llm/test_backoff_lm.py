@@ -34,14 +34,13 @@ def brute(rows, order, leave_out):
 
 
 @pytest.mark.parametrize(("order", "leave_out"), [(2, True), (3, True), (3, False), (1, True)])
-def test_against_plain_version(spark, monkeypatch, order, leave_out):
-    monkeypatch.setattr(backoff_lm, "TABLE_BYTES", 20000)
+def test_against_plain_version(spark, order, leave_out):
     r = random.Random(order)
     vocab = ["a", "b", "c", "dd", "é", "f.", "G", "h"] * 4 + [f"w{i}" for i in range(60)]
     rows = [(d, " ".join(r.choice(vocab) for _ in range(r.randint(0, 60)))) for d in range(150)]
     rows += [(150, None), (151, " \n"), (3, rows[3][1]), (None, rows[4][1]), (152, "word " * 5000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS n", "2 AS part")
-    got = backoff_lm.score_documents(df, order, leave_out=leave_out, pack_bytes=1500).collect()
+    got = backoff_lm.score_documents(df, order, leave_out=leave_out, pack_bytes=1500, bucket_bytes=3000).collect()
     assert sorted(((x.doc_id, x.n_words, None if x.log_score is None else round(x.log_score, 6)) for x in got), key=repr) == brute(rows, order, leave_out)
 
 
