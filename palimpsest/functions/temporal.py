@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,9 +30,25 @@ def intervals_meet(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return (b1.isNull() | (a0 < b1)) & (a1.isNull() | (b0 < a1))
 
 
-def half_life_score(score: Column, age_s: Column, half_life_s: float) -> Column:
-    """Halved each half-life; unknown ages and a half-life of zero or less leave the score."""
-    return score if half_life_s <= 0 else F.when(age_s.isNull(), score).otherwise(score * F.pow(F.lit(2.0), -F.greatest(age_s, F.lit(0)) / F.lit(float(half_life_s))))
+def powers_of_two(x: pd.Series) -> pd.Series:
+    """2**x by the C library, as SQL engines take it: the JVM's power is an ulp off now and then, which rounding to six places doesn't hide once scores have grown beyond 10**9."""
+
+    def power(v: float) -> float:
+        try:
+            return math.pow(2.0, v)
+        except OverflowError:
+            return math.inf
+
+    return x.map(power)
+
+
+def half_life_score(score: Column, age_s: Column, half_life_s: float, grows: bool = False) -> Column:
+    """Halved each half-life; unknown ages and a half-life of zero or less leave the score, and so do times to come unless it grows with them."""
+    if half_life_s <= 0:
+        return score
+    if grows:
+        return F.when(age_s.isNull(), score).otherwise(score * F.pandas_udf(powers_of_two, "double")(-age_s / F.lit(float(half_life_s))))
+    return F.when(age_s.isNull(), score).otherwise(score * F.pow(F.lit(2.0), -F.greatest(age_s, F.lit(0)) / F.lit(float(half_life_s))))
 
 
 def power_law_score(score: Column, age_s: Column, decay: float = 0.5) -> Column:

@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
+def rounded(x: Column, places: int) -> Column:
+    """A double rounded as SQL engines do it, by its product with a power of ten; Spark's own rounding goes by the decimal digits, and they part at halves."""
+    y = F.round(x * F.lit(10.0**places)) / F.lit(10.0**places)
+    return F.when(F.abs(y) == float("inf"), x).otherwise(y)
+
+
 def repaired_json(text: Column) -> Column:
     """A variant of a JSON text, also of one whose quotes were made curly; null if it is neither."""
     plain = F.regexp_replace(F.regexp_replace(text, "[“”]", '"'), "[‘’]", "'")

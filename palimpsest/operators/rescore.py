@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import temporal as time
 from palimpsest.functions import text as T
+from palimpsest.functions.values import rounded
 
 #: How sources rank in a context (the longest matching beginning of a source or of its kind), and kinds that never enter it.
 SOURCE_PRIORITY = (("distilled:", 95), ("decision:", 90), ("constraint:", 88), ("fix:", 87), ("preference:", 86), ("edit:", 85))
@@ -16,10 +17,10 @@ KIND_PRIORITY = (("tool_call:post", 75), ("post_tool_use", 70), ("tool_call:pre"
 NEVER_SHOWN = ("memory_injection", "turn_feedback", "session_start", "stop", "memory_feedback")
 
 
-def recency(hits: DataFrame, at_col: str, now: int, half_life_s: float = 7 * 86400.0) -> DataFrame:
-    """Halved each half-life of age; a time of zero leaves the score."""
+def recency(hits: DataFrame, at_col: str, now: int, half_life_s: float = 7 * 86400.0, grows: bool = False) -> DataFrame:
+    """Halved each half-life of age; a time of zero leaves the score, and so does one to come, unless scores grow: then it doubles each half-life ahead."""
     age = F.when(F.col(at_col) > 0, (F.lit(now) - F.col(at_col)) / F.lit(1000.0))
-    return hits.withColumn("score", F.round(time.half_life_score(F.col("score"), age, half_life_s), 6))
+    return hits.withColumn("score", rounded(time.half_life_score(F.col("score"), age, half_life_s, grows), 6))
 
 
 def recency_power(hits: DataFrame, at_col: str, now: int, decay: float = 0.5) -> DataFrame:
