@@ -31,13 +31,13 @@ def ledger_prior(hits: DataFrame, ledger: DataFrame) -> DataFrame:
     """Adds a logistic prior of the activation (id, activation) of rows that are not archived."""
     live = ledger.where("archived_at IS NULL").select("id", "activation")
     prior = F.when(F.col("activation").isNotNull(), time.logistic_prior(F.col("activation"))).otherwise(0.0)
-    return hits.join(live, "id", "left").withColumn("score", F.round(F.col("score") + prior, 6)).drop("activation")
+    return hits.join(live, "id", "left").withColumn("score", rounded(F.col("score") + prior, 6)).drop("activation")
 
 
 def boosted(hits: DataFrame, boosts: DataFrame, each: float = 0.25) -> DataFrame:
     """Adds each boost of an id (one row a boost)."""
     n = boosts.groupBy("id").agg(F.count(F.lit(1)).alias("_n"))
-    return hits.join(n, "id", "left").withColumn("score", F.round(F.col("score") + F.lit(each) * F.coalesce("_n", F.lit(0)), 6)).drop("_n")
+    return hits.join(n, "id", "left").withColumn("score", rounded(F.col("score") + F.lit(each) * F.coalesce("_n", F.lit(0)), 6)).drop("_n")
 
 
 def stale(hits: DataFrame, changed: list[str], files_col: str = "files", factor: float = 0.7) -> DataFrame:

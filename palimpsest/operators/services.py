@@ -26,10 +26,10 @@ def ranked(hits: DataFrame) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(w).cast("long"))
 
 
-def rescored(hits: DataFrame, chunks: DataFrame, episodes: DataFrame, now: int, ledger: DataFrame | None = None, boosts: DataFrame | None = None, as_of: int | None = None) -> DataFrame:
-    """Hits hydrated, then scored by recency, by the ledger's prior and by boosts, in this order; rank is that of the last score."""
+def rescored(hits: DataFrame, chunks: DataFrame, episodes: DataFrame, now: int, ledger: DataFrame | None = None, boosts: DataFrame | None = None, as_of: int | None = None, grows: bool = False) -> DataFrame:
+    """Hits hydrated, then scored by recency, by the ledger's prior and by boosts, in this order; rank is that of the last score. grows: as in recency."""
     out = hydrate.hydrate(hits, chunks, episodes, as_of).join(episodes.select("id", "valid_from"), "id", "left")
-    out = rescore.recency(out, "valid_from", now)
+    out = rescore.recency(out, "valid_from", now, grows=grows)
     out = out if ledger is None else rescore.ledger_prior(out, ledger)
     return ranked(out if boosts is None else rescore.boosted(out, boosts))
 
