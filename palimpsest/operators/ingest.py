@@ -91,21 +91,39 @@ def sentences_of(text: str) -> list[str]:
     out: list[str] = []
     for paragraph in paragraphs_of(text):
         cuts = [0]
+        last = 0  # behind the mark before
         for m in re.finditer(r"[.!?]", paragraph):
+            # no mark is part of a word, so the word before this one begins behind the last
+            before, last = last, m.end()
             if m[0] == ".":
-                word = re.search(r"([^\W\d_]*)\s*$", paragraph[: m.start()])[1]
+                word = word_before(paragraph, before, m.start())
                 if paragraph[m.end() : m.end() + 1].isdigit() or word.lower() in ABBREVIATIONS or len(word) == 1 and word.isupper():
                     continue
             cuts.append(m.end())
-        held: list[str] = []
+        held: list[list[str]] = []  # each sentence's parts
+        size = 0  # bytes of the first sentence, up to where it is long enough
         for a, b in zip(cuts, [*cuts[1:], len(paragraph)], strict=True):
             if part := paragraph[a:b].strip():
-                joins = held and (len(part.encode()) < LEAST_FRAGMENT or len(held) == 1 and len(held[0].encode()) < LEAST_FRAGMENT)
-                held[-1:] = [f"{held[-1]} {part}"] if joins else [*held[-1:], part]
-        out += held
+                if held and (len(part.encode()) < LEAST_FRAGMENT or len(held) == 1 and size < LEAST_FRAGMENT):
+                    held[-1].append(part)
+                    size += 1 + len(part.encode())
+                else:
+                    size = len(part.encode()) if not held else size
+                    held.append([part])
+        out += map(" ".join, held)
     return out
 
 
+def word_before(text: str, begin: int, end: int) -> str:
+    """The letters that stand before a place, blanks apart; nothing before begin is read."""
+    while end > begin and text[end - 1].isspace():
+        end -= 1
+    at = end
+    while at > begin and text[at - 1].isalnum() and not text[at - 1].isdecimal():
+        at -= 1
+    return text[at:end]
+
+
 def first_sentence(text: Column) -> Column:
     """Up to the first closing punctuation that blanks or the end follow."""
     return F.coalesce(F.nullif(F.trim(F.regexp_extract(text, r"^\s*([\s\S]*?[.!?]+)(?:\s|$)", 1)), F.lit("")), F.trim(text))
