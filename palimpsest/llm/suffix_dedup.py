@@ -100,12 +100,17 @@ def string_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
         return mix(out + (ends - starts).astype(U64))
 
 
-def gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The bytes of spans one after another."""
+def places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of spans one after another."""
     ends = np.cumsum(sizes)
     index = np.arange(ends[-1] if len(ends) else 0)
     index += np.repeat(starts - (ends - sizes), sizes)
-    return data[index]
+    return index
+
+
+def gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bytes of spans one after another."""
+    return data[places(starts, sizes)]
 
 
 def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -301,22 +306,22 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
         if len(chosen):
             body, windows = gather(data, start[chosen], size[chosen]), count[chosen]
             own = np.cumsum(size[chosen]) - size[chosen]
-            places = gather(np.arange(len(body)), own, windows)
-            levels = suffix_levels(body, width)
-            by_suffix = np.argsort(levels[-1][1][places], kind="stable")
-            factor = longest_previous(np.repeat(ids[chosen], windows)[by_suffix], common_prefixes(body, levels, places[by_suffix], width), width)
+            begins = places(own, windows)
+            levels = suffix_levels(body, width)[-1:]  # the whole width decides; the other levels are not read
+            by_suffix = np.argsort(levels[-1][1][begins], kind="stable")
+            factor = longest_previous(np.repeat(ids[chosen], windows)[by_suffix], common_prefixes(body, levels, begins[by_suffix], width), width)
             found = np.zeros(len(hit), bool)
-            found[gather(np.arange(len(hit)), first[chosen], windows)[by_suffix]] = factor >= width
+            found[places(first[chosen], windows)[by_suffix]] = factor >= width
             # A row of the same document and string as its owner shares its verdict.
             twin = np.flatnonzero(~whole)
             of = np.empty(len(key), np.int64)
             of[order] = owner
-            hit[gather(np.arange(len(hit)), first[twin], count[twin])] = found[gather(np.arange(len(hit)), first[of[twin]], count[twin])]
+            hit[places(first[twin], count[twin])] = gather(found, first[of[twin]], count[twin])
         some = np.add.reduceat(hit.astype(np.int64), first) > 0
         at = 0
         for (pack, _), g in zip(came, got, strict=True):
             i = at + np.flatnonzero(some[at : at + len(g[0])])
-            yield pack, squeeze(run[i], count[i].astype("<i4"), np.packbits(hit[gather(np.arange(len(hit)), first[i], count[i])])) if len(i) else b""
+            yield pack, squeeze(run[i], count[i].astype("<i4"), np.packbits(gather(hit, first[i], count[i]))) if len(i) else b""
             at += len(g[0])
 
     def finish(table: pa.Table, replies: dict[int, bytes], n_buckets: int) -> pa.Table:
@@ -327,7 +332,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
         for blob in replies.values():
             run, windows, bits = unsqueeze(blob, "<i8", "<i4", "u1")
             bits = np.unpackbits(bits)[: int(windows.sum())].astype(bool)
-            place = gather(np.arange(len(data)), start[run], windows.astype(np.int64))[bits]
+            place = places(start[run], windows.astype(np.int64))[bits]
             np.add.at(hit, place, 1)
             np.add.at(hit, place + width, -1)
         gone = np.cumsum(hit[:-1]) > 0
