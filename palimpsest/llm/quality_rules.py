@@ -53,6 +53,8 @@ P = 5
 RANDOM_STARTS = 24
 #: Starts of least determinant that go on after two steps.
 KEPT_STARTS = 8
+#: Cells that a task takes at least: sums by group, start and bin are made within tasks first, and shrink little where each has a few cells only.
+CELLS_EACH = 4_000
 #: A fit whose log determinant falls by less has converged.
 LEAST_FALL = 1e-2
 
@@ -204,6 +206,11 @@ def concentrated(cells: DataFrame, fits: DataFrame, share: float, factor: float,
     return scatter(core.groupBy("g", "start", "rows").agg(*(F.sum(c).alias(c) for c in SUMS)), factor).select("g", "start", "rows", *FIT)
 
 
+def in_fewer(cells: DataFrame) -> DataFrame:
+    """Saved cells in no more partitions than have CELLS_EACH of them on average; nothing is shuffled."""
+    return cells.coalesce(max(1, -(-cells.count() // CELLS_EACH)))
+
+
 def fit_groups(cells: DataFrame, share: float, most_steps: int) -> DataFrame:
     """Fits by group of cells (g, q0 .., n rows): g, rows, centre, factor and logdet."""
     factor = consistency(share, P)
@@ -241,7 +248,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     name = [F.lit("*"), F.concat(F.lit("l"), "lang"), F.concat(F.lit("s"), F.length("lang").cast("string"), "lang", "source")]
     finest = stats.where("NOT base_failed").groupBy("lang", "source", *Q).agg(F.count(F.lit(1)).alias("n"))
     cells = saved(finest.select(F.explode(F.array(*name)).alias("g"), *Q, "n").groupBy("g", *Q).agg(F.sum("n").alias("n")))
-    fits = saved(fit_groups(cells, share, most_steps))
+    fits = saved(fit_groups(in_fewer(cells), share, most_steps))
     # The estimate that a language and source use: their own, the language's or that of all rows.
     pairs = stats.where("NOT base_failed").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("own"))
     named = pairs.select("lang", "source", F.explode(F.array(*(F.struct(F.lit(i).alias("level"), g.alias("g")) for i, g in enumerate(name)))).alias("x")).select("lang", "source", "x.*")
