@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.arrays import LOWER, U64, flat, mix, pack_counts, ranges, shingles, span_hashes, squeeze, totals, unsqueeze, word_spans
-from palimpsest.llm.exchange import exchange
+from palimpsest.llm.exchange import exchange, packs, text_bytes
 from palimpsest.llm.shared import components, saved
 
 #: Bits of a shingle's hash by which it is counted; a collision can only make a shingle seem less rare.
@@ -60,8 +60,8 @@ def shingle_sets(table: pa.Table, words_each: int) -> tuple[np.ndarray, np.ndarr
     return h, bounds, n, cls
 
 
-def link_sets(docs: DataFrame, words_each: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", **sizes: int) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members has id, n_shingles and class for each row; links has the verified pairs (a, b) of classes. sizes: pack_bytes and bucket_bytes of the exchange."""
+def link_sets(docs: DataFrame, words_each: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", **sizes: int) -> tuple[DataFrame, DataFrame, int]:
+    """(members, links, tasks): members has id, n_shingles and class for each row; links has the verified pairs (a, b) of classes; tasks is the number of packs, beyond which no table is saved in parts. sizes: pack_bytes and bucket_bytes of the exchange."""
 
     def owners(cls: np.ndarray, n: np.ndarray) -> np.ndarray:
         """The first document of each class in a pack that has a shingle."""
@@ -113,7 +113,9 @@ def link_sets(docs: DataFrame, words_each: int = 5, percent: int = 80, id_col: s
 
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = saved(exchange(rows, [(send, reduce)], finish, f"id {kind}, n long, cls long, alone long, toks binary", 0.7, **sizes))
+    total = text_bytes(rows, "text")
+    tasks = packs(total, sizes.get("pack_bytes"))
+    sets = saved(exchange(rows, [(send, reduce)], finish, f"id {kind}, n long, cls long, alone long, toks binary", 0.7, total=total, **sizes), tasks)
     # The sets that others may resemble, once each, with what the filters need.
     classes = sets.where("toks IS NOT NULL AND id IS NOT NULL").dropDuplicates(["cls"]).select("cls", "n", "alone", "toks")
 
@@ -130,7 +132,7 @@ def link_sets(docs: DataFrame, words_each: int = 5, percent: int = 80, id_col: s
 
     entries = classes.mapInArrow(listed, "tok long, cls long, n long, pos long")
     counts = entries.groupBy("tok").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    entries = saved(entries.join(counts, "tok").withColumn("band", F.floor(F.log("n") / F.log(F.lit(100.0 / percent)))))
+    entries = saved(entries.join(counts, "tok").withColumn("band", F.floor(F.log("n") / F.log(F.lit(100.0 / percent)))), tasks)
 
     # smallest overlap o with 100 o >= percent (n + m - o), for pairs with the shared shingle at pos and pos2
     needed = f"ceil({percent} * (n + n2) / {100 + percent})"
@@ -138,16 +140,16 @@ def link_sets(docs: DataFrame, words_each: int = 5, percent: int = 80, id_col: s
     pair = [F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")]
     hubs = entries.groupBy("tok", "band").agg(F.min(F.struct("n", "cls", "pos")).alias("hub"))
     near = entries.join(hubs, ["tok", "band"]).select("*", F.col("hub.n").alias("n2"), F.col("hub.cls").alias("cls2"), F.col("hub.pos").alias("pos2"))
-    first = saved(near.where("cls <> cls2").where(possible).select(*pair).distinct())
-    sketches = saved(classes.select("cls", "n", "toks").mapInArrow(sketched, "cls long, n long, sketch binary"))
-    links = verified(saved(sifted(first, sketches, percent)), classes, percent)
+    first = saved(near.where("cls <> cls2").where(possible).select(*pair).distinct(), tasks)
+    sketches = saved(classes.select("cls", "n", "toks").mapInArrow(sketched, "cls long, n long, sketch binary"), tasks)
+    links = verified(saved(sifted(first, sketches, percent), tasks), classes, percent, tasks)
 
     # Later rounds: pairs of a list whose sets are in different components, a growing share of them at a time.
     for level in range(len(LEVELS)):
-        placed = entries.join(components(links).select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("comp", F.coalesce("component", "cls"))
+        placed = entries.join(components(links, tasks).select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("comp", F.coalesce("component", "cls"))
         parts = placed.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("k"))
         main = parts.groupBy("tok").agg(F.max(F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("tok", F.col("main.comp").alias("main"))
-        mixed = saved(placed.join(main, "tok").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).select("tok", "cls", "n", "pos", "m", "comp", "main", "blocks"))
+        mixed = saved(placed.join(main, "tok").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).select("tok", "cls", "n", "pos", "m", "comp", "main", "blocks"), tasks)
         n_mixed = mixed.count()
         if not n_mixed:  # every list lies within one component: no pair is left
             break
@@ -158,8 +160,8 @@ def link_sets(docs: DataFrame, words_each: int = 5, percent: int = 80, id_col: s
         both = members.select(columns).union(probes.select(columns)).join(sketches.select("cls", "sketch"), "cls")
         n_tasks = n_mixed // 20_000 + 1
         pairs = both.groupBy(F.pmod(F.xxhash64("tok", "block"), F.lit(n_tasks)).alias("task")).applyInArrow(crossing(percent, level), "a long, b long")
-        links = saved(links.union(verified(saved(pairs.distinct()), classes, percent)))
-    return members_of(sets), links
+        links = saved(links.union(verified(saved(pairs.distinct(), tasks), classes, percent, tasks)), tasks)
+    return members_of(sets), links, tasks
 
 
 def members_of(sets: DataFrame) -> DataFrame:
@@ -236,8 +238,8 @@ def side(df: DataFrame, c: str, *more: str) -> DataFrame:
     return df.select(F.col("cls").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in more))
 
 
-def verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose shingles are similar enough."""
+def verified(pairs: DataFrame, classes: DataFrame, percent: int, tasks: int | None = None) -> DataFrame:
+    """The pairs whose shingles are similar enough. tasks: see saved."""
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,13 +252,13 @@ def verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([v for v, o in zip(x, ok, strict=True) if o], pa.int64()) for x in (a, b)], names=["a", "b"])
 
     both = pairs.join(side(classes, "a", "n", "toks"), "a").join(side(classes, "b", "n", "toks"), "b")
-    return saved(both.select("a", "b", "n_a", "n_b", "toks_a", "toks_b").mapInArrow(checked, "a long, b long"))
+    return saved(both.select("a", "b", "n_a", "n_b", "toks_a", "toks_b").mapInArrow(checked, "a long, b long"), tasks)
 
 
 def near_duplicates(docs: DataFrame, words_each: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", **sizes: int) -> DataFrame:
     """Returns id_col, n_shingles, component_id: the least id reachable by links and equal sets, itself included."""
-    members, links = link_sets(docs, words_each, percent, id_col, text_col, **sizes)
-    joined = components(links).select(F.col("node").alias("class"), "component")
+    members, links, tasks = link_sets(docs, words_each, percent, id_col, text_col, **sizes)
+    joined = components(links, tasks).select(F.col("node").alias("class"), "component")
     # A document without shingles and a row without an id stand alone.
     placed = members.join(joined, "class", "left").withColumn("part", F.when(F.col("n_shingles") > 0, F.coalesce("component", "class")))
     least = placed.where("part IS NOT NULL AND id IS NOT NULL").groupBy("part").agg(F.min("id").alias("least"))

@@ -89,7 +89,7 @@ def exponent(shares: DataFrame, target_entropy: float | None, repetition_limit:
 
 def weights(rows: DataFrame, target_entropy: float | None, repetition_limit: float | None, budget: int | None, block_docs: int) -> DataFrame:
     """By source: tokens, docs, weight, budget, whole (epochs), rest (tokens of the last one), blocks (of an epoch)."""
-    sources = saved(rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")))
+    sources = saved(rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), 1)
     total = sources.agg(F.sum("tokens")).first()[0] or 0
     shares = sources.where("tokens > 0").select("source", (F.col("tokens") / F.lit(float(max(total, 1)))).alias("p"))
     a = exponent(shares, target_entropy, repetition_limit, None if budget is None else budget / total) if total else 1.0
@@ -136,7 +136,7 @@ def mixed_rows(docs: DataFrame, target_entropy: float | None = None, repetition_
     rows = saved(_rows(docs, tokens, id_col, text_col, source_col))
     plan = saved(weights(rows, target_entropy, repetition_limit, budget, block_docs))
     last = permuted(rows, plan, seed).where("epoch = whole").groupBy("source").agg(F.max(F.struct("block", "h", F.coalesce(F.col("id").cast("string"), F.lit("-")).alias("id"))).alias("last"))
-    by_source = saved(plan.join(last, "source", "left").select(F.col("source").alias("_s"), F.col("whole").alias("_whole"), F.col("blocks").alias("_blocks"), F.col("last").alias("_last")))
+    by_source = saved(plan.join(last, "source", "left").select(F.col("source").alias("_s"), F.col("whole").alias("_whole"), F.col("blocks").alias("_blocks"), F.col("last").alias("_last")), 1)
     own_id = F.coalesce(F.col(id_col).cast("string"), F.lit("-"))
     h = F.xxhash64(F.lit(seed), F.col("_whole"), own_id)
     at = F.struct(F.pmod(h, F.col("_blocks")).alias("block"), h.alias("h"), own_id.alias("id"))

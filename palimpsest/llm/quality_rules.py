@@ -53,7 +53,7 @@ P = 5
 RANDOM_STARTS = 24
 #: Starts of least determinant that go on after two steps.
 KEPT_STARTS = 8
-#: Cells that a task takes at least: sums by group, start and bin are made within tasks first, and shrink little where each has a few cells only.
+#: Cells that a task takes at least: sums by group, start and bin are made within tasks first, and shrink little where each has a few cells only. Tables of fits are saved in as many parts as their cells.
 CELLS_EACH = 4_000
 #: A fit whose log determinant falls by less has converged.
 LEAST_FALL = 1e-2
@@ -175,9 +175,9 @@ def distance(df: DataFrame) -> DataFrame:
     return df.withColumn("d2", sum((F.pow(x, F.lit(2.0)) for x in y), F.lit(0.0)))
 
 
-def first_fits(cells: DataFrame) -> DataFrame:
-    """(g, start, rows, FIT): where the concentration steps of each group begin."""
-    whole = saved(cells.groupBy("g").agg(*sums(F.col("n")), *(F.percentile(c, F.lit(0.5), F.col("n")).alias(f"med{i}") for i, c in enumerate(Q))))
+def first_fits(cells: DataFrame, tasks: int) -> DataFrame:
+    """(g, start, rows, FIT): where the concentration steps of each group begin. tasks: see saved."""
+    whole = saved(cells.groupBy("g").agg(*sums(F.col("n")), *(F.percentile(c, F.lit(0.5), F.col("n")).alias(f"med{i}") for i, c in enumerate(Q))), tasks)
     apart = lambda i: F.percentile(F.abs(F.col(f"q{i}") - F.col(f"med{i}")), F.lit(0.5), F.col("n"))
     medians = cells.join(small(whole.select("g", *(f"med{i}" for i in range(P)))), "g").groupBy("g").agg(*(apart(i).alias(f"mad{i}") for i in range(P)))
     robust = medians.join(small(whole.select("g", "n", *(f"med{i}" for i in range(P)))), "g").withColumns({f"m{i}": F.col(f"med{i}") / GRID[i] for i in range(P)})
@@ -214,7 +214,8 @@ def in_fewer(cells: DataFrame) -> DataFrame:
 def fit_groups(cells: DataFrame, share: float, most_steps: int) -> DataFrame:
     """Fits by group of cells (g, q0 .., n rows): g, rows, centre, factor and logdet."""
     factor = consistency(share, P)
-    fits = saved(first_fits(cells))
+    tasks = -(-cells.count() // CELLS_EACH)
+    fits = saved(first_fits(cells, tasks), tasks)
     beside = F.broadcast if fits.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else lambda df: df
     for step in range(most_steps):
         new = concentrated(cells, fits, share, factor, beside)
@@ -222,7 +223,7 @@ def fit_groups(cells: DataFrame, share: float, most_steps: int) -> DataFrame:
         both = both.select("g", "start", "rows", *(F.when(F.col("fell"), F.col(c)).otherwise(F.col(f"old.{c}")).alias(c) for c in FIT), "fell")
         if step == 1:
             both = both.withColumn("place", F.row_number().over(Window.partitionBy("g").orderBy("logdet", "start"))).where(F.col("place") <= KEPT_STARTS).drop("place")
-        both = saved(both)
+        both = saved(both, tasks)
         fits = both.drop("fell")
         if not both.where("fell").limit(1).count():
             break
@@ -240,20 +241,21 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     stats = saved(base_statistics(rows).drop("text"))
     letters = F.round(F.col("word_chars") / F.greatest("n_words", F.lit(1)) * GRID[1]).cast("long")
     typical = stats.where("NOT base_failed").rollup("lang").agg(F.percentile(letters, F.lit(0.5)).alias("centre"), F.count(F.lit(1)).alias("own"))
-    typical = saved(typical.withColumn("lang", F.coalesce("lang", F.lit("*"))))
-    overall = typical.where("lang = '*'").agg(F.max("centre")).first()[0] or 0.0
+    typical = saved(typical.withColumn("lang", F.coalesce("lang", F.lit("*"))), 1)
+    overall, usable = (x or 0 for x in typical.where("lang = '*'").agg(F.max("centre"), F.max("own")).first())
     centres = typical.where(f"lang <> '*' AND own >= {least_rows}").select("lang", (F.col("centre") / GRID[1]).alias("centre"))
     stats = stats.join(small(centres), "lang", "left")
     stats = stats.withColumns(dict(zip(Q, transformed(F.coalesce("centre", F.lit(overall / GRID[1]))), strict=True))).drop("centre")
     name = [F.lit("*"), F.concat(F.lit("l"), "lang"), F.concat(F.lit("s"), F.length("lang").cast("string"), "lang", "source")]
     finest = stats.where("NOT base_failed").groupBy("lang", "source", *Q).agg(F.count(F.lit(1)).alias("n"))
-    cells = saved(finest.select(F.explode(F.array(*name)).alias("g"), *Q, "n").groupBy("g", *Q).agg(F.sum("n").alias("n")))
-    fits = saved(fit_groups(in_fewer(cells), share, most_steps))
+    cells = finest.select(F.explode(F.array(*name)).alias("g"), *Q, "n").groupBy("g", *Q).agg(F.sum("n").alias("n"))
+    cells = saved(cells, -(-len(name) * usable // CELLS_EACH))
+    fits = saved(fit_groups(in_fewer(cells), share, most_steps), 1)
     # The estimate that a language and source use: their own, the language's or that of all rows.
     pairs = stats.where("NOT base_failed").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("own"))
     named = pairs.select("lang", "source", F.explode(F.array(*(F.struct(F.lit(i).alias("level"), g.alias("g")) for i, g in enumerate(name)))).alias("x")).select("lang", "source", "x.*")
-    usable = named.join(small(fits), "g").where((F.col("rows") >= least_rows) | (F.col("level") == 0))
-    chosen = saved(usable.groupBy("lang", "source").agg(F.max_by(F.struct(*FIT), "level").alias("f")).select("lang", "source", "f.*"))
+    able = named.join(small(fits), "g").where((F.col("rows") >= least_rows) | (F.col("level") == 0))
+    chosen = saved(able.groupBy("lang", "source").agg(F.max_by(F.struct(*FIT), "level").alias("f")).select("lang", "source", "f.*"), 1)
     out = distance(stats.join(small(chosen), ["lang", "source"], "left"))
     cutoff = chi2_quantile(1 - tail, P)
     return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(False))).alias("kept"), F.when(~F.col("base_failed"), F.round("d2", 6)).alias("d2"))
